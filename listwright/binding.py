@@ -138,9 +138,8 @@ def pain_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(0, "manual_csv"), (1, "real_data_import"), (2, "tracker")], "data_source_id long, name string"
-    )
+    rows = [(0, "manual_csv"), (1, "real_data_import"), (2, "tracker")]
+    return config.literal_table(spark, rows, ["data_source_id", "name"]).withColumn("data_source_id", F.col("data_source_id").cast("long"))
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:

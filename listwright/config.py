@@ -37,9 +37,16 @@ def category_slugs() -> list[str]:
     return [row["slug"] for row in dimensions()["categories"]]
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """Inline table: Catalyst knows its size, and no Python worker is needed to read it."""
+    cell = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    values = ", ".join("(" + ", ".join(cell(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
+
+
 def marketplaces(spark: SparkSession) -> DataFrame:
     rows = [(m["slug"], m["name"], m["website_url"]) for m in dimensions()["marketplaces"]]
-    return spark.createDataFrame(rows, "slug string, marketplace_name string, website_url string")
+    return literal_table(spark, rows, ["slug", "marketplace_name", "website_url"])
 
 
 def fees(spark: SparkSession, extra: list[tuple] = ()) -> DataFrame:
@@ -49,6 +56,8 @@ def fees(spark: SparkSession, extra: list[tuple] = ()) -> DataFrame:
         for f in dimensions()["fees"]
     ]
     rows += [tuple(r) for r in extra]
-    schema = "fee_id long, marketplace string, category string, fee_type string, fee_value double, source string, effective_date string"
-    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows, 1)], schema)
-    return df.withColumn("effective_date", F.to_date("effective_date"))
+    names = ["fee_id", "marketplace", "category", "fee_type", "fee_value", "source", "effective_date"]
+    df = literal_table(spark, [(i, *r) for i, r in enumerate(rows, 1)], names)
+    return df.withColumns({
+        "fee_id": F.col("fee_id").cast("long"), "fee_value": F.col("fee_value").cast("double"), "effective_date": F.to_date("effective_date")
+    })

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from listwright.fixed import FALSE_TOKENS, NULL_TOKENS, RISK_LEVELS, TRUE_TOKENS
 
 # Unicode whitespace (with the no-break space) and the byte-order mark.
+_SPACES = "\t\n\v\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 _SPACE = r"(?U)[\s\x{FEFF}]"
-_EDGES = r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$"
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
+_NUMBER = r"^(?:[Rr][Ss]\.?)?([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGES, "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def cell(c: Column) -> Column:
@@ -23,36 +23,50 @@ def cell(c: Column) -> Column:
 
 
 def _leading_number(c: Column) -> Column:
-    x = F.nullif(F.regexp_extract(c, _NUMBER, 0), F.lit("")).try_cast("double")
+    return F.regexp_extract(c, _NUMBER, 1).try_cast("double")
+
+
+def finite(x: Column) -> Column:
     return F.when(F.abs(x) < float("inf"), x)
 
 
-def number(c: Column) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(cell(c), r"(?U)[₹,\s\x{FEFF}]", ""), r"(?i)^Rs\.?", "")
-    return _leading_number(bare)
+# The readers below take a raw cell, or one already cleaned by ``cell`` (``clean=True``): a job that
+# reads many columns cleans each of them once, in a projection of its own.
+
+def _value(c: Column, clean: bool) -> Column:
+    return c if clean else cell(c)
+
+
+def numeric_prefix(c: Column, clean: bool = False) -> Column:
+    """Longest leading number after currency signs, separators and spaces; may overflow to infinity."""
+    return _leading_number(F.translate(_value(c, clean), "₹," + _SPACES, ""))
+
+
+def number(c: Column, clean: bool = False) -> Column:
+    return finite(numeric_prefix(c, clean))
 
 
-def integer(c: Column) -> Column:
-    return F.floor(number(c) + 0.5).cast("long")
+def integer(c: Column, clean: bool = False) -> Column:
+    return F.floor(number(c, clean) + 0.5).cast("long")
 
 
-def flag(c: Column) -> Column:
-    low = F.lower(cell(c))
+def flag(c: Column, clean: bool = False) -> Column:
+    low = F.lower(_value(c, clean))
     return F.when(low.isin(TRUE_TOKENS), True).when(low.isin(FALSE_TOKENS), False)
 
 
-def pipe_list(c: Column) -> Column:
-    parts = F.filter(F.transform(F.split(cell(c), r"\|"), trimmed), lambda p: p != "")
+def pipe_list(c: Column, clean: bool = False) -> Column:
+    parts = F.filter(F.transform(F.split(_value(c, clean), r"\|"), trimmed), lambda p: p != "")
     return F.when(F.size(parts) > 0, parts)
 
 
-def instant(c: Column) -> Column:
+def instant(c: Column, clean: bool = False) -> Column:
     """ISO dates and timestamps, with or without an offset (UTC where there is none)."""
-    return cell(c).try_cast("timestamp")
+    return _value(c, clean).try_cast("timestamp")
 
 
-def risk_level(c: Column) -> Column:
-    low = F.lower(cell(c))
+def risk_level(c: Column, clean: bool = False) -> Column:
+    low = F.lower(_value(c, clean))
     return F.when(low.isin(RISK_LEVELS), low)
 
 
@@ -66,9 +80,9 @@ def match_name(c: Column) -> Column:
     return F.trim(F.regexp_replace(letters, r"(?U)\s+", " "))
 
 
-def size_cm(c: Column) -> Column:
+def size_cm(c: Column, clean: bool = False) -> Column:
     """'30 x 20 x 25 cm' or a JSON object -> struct of three positive sides, else NULL."""
-    raw = cell(c)
+    raw = _value(c, clean)
     sides = "length_cm double, width_cm double, height_cm double"
     names = [("lengthCm", "length_cm", "length"), ("widthCm", "width_cm", "width"), ("heightCm", "height_cm", "height")]
     parsed = F.from_json(raw, ", ".join(f"`{n}` string" for group in names for n in group))
@@ -78,13 +92,13 @@ def size_cm(c: Column) -> Column:
 
     from_object = three(*[F.coalesce(*[parsed[n].try_cast("double") for n in group]) for group in names])
     bare = F.regexp_replace(F.lower(raw), "cm|mm|in|inches", "")
-    parts = F.filter(F.transform(F.split(bare, "[x×*]"), lambda p: _leading_number(trimmed(p))), lambda v: v > 0)
+    parts = F.filter(F.transform(F.split(bare, "[x×*]"), lambda p: _leading_number(trimmed(p))), lambda v: (v > 0) & (v < float("inf")))
     from_text = F.when(F.size(parts) == 3, three(*[F.get(parts, F.lit(i)) for i in range(3)]))
     return F.when(raw.startswith("{"), from_object).otherwise(from_text)
 
 
-def has_inch_or_mm(c: Column) -> Column:
-    return F.coalesce(F.lower(cell(c)).rlike(r"\d\s*(mm|in|inches)\b"), F.lit(False))
+def has_inch_or_mm(c: Column, clean: bool = False) -> Column:
+    return F.coalesce(F.lower(_value(c, clean)).rlike(r"\d\s*(mm|in|inches)\b"), F.lit(False))
 
 
 def identity_key(marketplace: Column, external_id: Column, url: Column) -> Column:

@@ -26,27 +26,34 @@ _WEB = rf"(?is)^(https?|ftp|wss?):[/\\]*(?:[^/?#@\\]*@)?{_HOST}(?::\d{{0,5}})?([
 _OTHER = r"(?is)^(?!(?:https?|ftp|wss?):)([a-z][a-z0-9+.\-]*):(?://(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?)?([^?#]*)(?:[?#].*)?$"
 
 
-def _parts(url: Column) -> tuple[Column, Column, Column, Column]:
+def parsed(url: Column) -> Column:
+    """struct(ok, scheme, host, path). Jobs that need it twice keep it as a column of its own."""
     t = trimmed(url)
-    web = t.rlike(_WEB)
-    part = lambda i: F.when(web, F.regexp_extract(t, _WEB, i)).otherwise(F.regexp_extract(t, _OTHER, i))
-    return web | t.rlike(_OTHER), F.lower(part(1)), F.lower(part(2)), part(3)
+    web_host = F.regexp_extract(t, _WEB, 2)
+    web = web_host != ""
+    return F.struct(
+        (web | t.rlike(_OTHER)).alias("ok"),
+        F.lower(F.regexp_extract(t, r"(?i)^([a-z][a-z0-9+.\-]*):", 1)).alias("scheme"),
+        F.lower(F.when(web, web_host).otherwise(F.regexp_extract(t, _OTHER, 2))).alias("host"),
+        F.when(web, F.regexp_extract(t, _WEB, 3)).otherwise(F.regexp_extract(t, _OTHER, 3)).alias("path"),
+    )
 
 
-def canonical_url(url: Column) -> Column:
+def canonical_url(url: Column, parts: Column | None = None) -> Column:
     """Scheme and lower-case host without ``www.``, then the path without trailing slashes."""
-    ok, scheme, host, path = _parts(url)
-    rebuilt = F.concat(scheme, F.lit("://"), F.regexp_replace(host, r"^www\.", ""), F.regexp_replace(path, "/+$", ""))
-    return F.when(ok, rebuilt).otherwise(trimmed(url))
+    p = parsed(url) if parts is None else parts
+    rebuilt = F.concat(p["scheme"], F.lit("://"), F.regexp_replace(p["host"], r"^www\.", ""), F.regexp_replace(p["path"], "/+$", ""))
+    return F.when(p["ok"], rebuilt).otherwise(trimmed(url))
 
 
 def is_http_url(url: Column) -> Column:
     return F.coalesce(url.rlike(r"(?i)^https?://[^\s/$.?#].[^\s]*$"), F.lit(False))
 
 
-def placeholder_reasons(url: Column) -> Column:
+def placeholder_reasons(url: Column, parts: Column | None = None) -> Column:
     """Why a URL cannot point at a real listing; empty for a genuine one."""
-    ok, scheme, host, path = _parts(url)
+    p = parsed(url) if parts is None else parts
+    ok, scheme, host, path = p["ok"], p["scheme"], p["host"], p["path"]
     labels = F.split(host, r"\.")
     tokens = F.flatten(F.transform(labels, lambda label: F.split(label, "-")))
     tld = F.element_at(labels, -1)

@@ -16,39 +16,32 @@ from listwright.fixed import COST_FIELDS, GATEWAY_FEE_TYPE, PERCENTAGE_FEE_TYPES
 from listwright.functions.numbers import half_up
 from listwright.operators.skew import is_small
 
-_FEE = ["fee_type", "fee_value", "source", "effective_date", "category"]
-
-
 def fee_schedule(fees: DataFrame, as_of: dt.date) -> tuple[DataFrame, DataFrame]:
-    """(category schedules, marketplace defaults) in force on ``as_of``, fees sorted by type.
-
-    Per fee type the newest category row wins, else the newest default row, even if newer.
-    """
-    live = fees.where(F.col("effective_date") <= F.lit(as_of))
+    """(category fees, marketplace defaults) in force on ``as_of``: one array per key, newest row per fee type."""
     order = F.struct("effective_date", -F.col("fee_id"))
-    best = live.groupBy("marketplace", "category", "fee_type").agg(
-        F.max_by(F.struct(*[c for c in _FEE if c not in ("category", "fee_type")]), order).alias("f")
-    ).select("marketplace", "category", "fee_type", "f.*")
-    fee = F.struct(*_FEE)
-    default = best.where(F.col("category") == "default")
-    own = best.where(F.col("category") != "default")
-    scopes = own.select("marketplace", F.col("category").alias("scope")).distinct()
-    inherited = scopes.join(default, "marketplace").join(
-        own.select("marketplace", F.col("category").alias("scope"), "fee_type"), ["marketplace", "scope", "fee_type"], "left_anti"
-    )
-    rows = own.withColumn("scope", F.col("category")).unionByName(inherited)
-    as_list = lambda name: F.array_sort(F.collect_list(fee)).alias(name)
-    specific = rows.groupBy("marketplace", "scope").agg(as_list("_own")).withColumnRenamed("scope", "category")
-    return specific, default.groupBy("marketplace").agg(as_list("_default"))
+    payload = F.struct("fee_value", "source", "effective_date")
+    live = fees.where(F.col("effective_date") <= F.lit(as_of))
+    best = live.groupBy("marketplace", "category", "fee_type").agg(F.max_by(payload, order).alias("f"))
+    rows = best.select("marketplace", "category", F.struct("fee_type", "f.*", "category").alias("fee"))
+    is_default = F.col("category") == "default"
+    own = rows.where(~is_default).groupBy("marketplace", "category").agg(F.collect_list("fee").alias("_own"))
+    return own, rows.where(is_default).groupBy("marketplace").agg(F.collect_list("fee").alias("_default"))
 
 
 def with_fees(products: DataFrame, fees: DataFrame, as_of: dt.date) -> DataFrame:
-    """Adds ``fees``: array of the rows in force with ``amount`` at the product's selling price."""
-    specific, default = fee_schedule(fees, as_of)
-    if is_small(fees):  # neither schedule has more rows than the fee table
-        specific, default = F.broadcast(specific), F.broadcast(default)
-    joined = products.join(specific, ["marketplace", "category"], "left").join(default, "marketplace", "left")
-    chosen = F.coalesce("_own", "_default", F.array().cast("array<struct<fee_type:string,fee_value:double,source:string,effective_date:date,category:string>>"))
+    """Adds ``fees``: the rows in force, sorted by type, with ``amount`` at the product's selling price.
+
+    Per fee type a row of the product's category beats the default, even a newer one.
+    """
+    small = is_small(fees)  # neither schedule has more rows than the fee table
+    own, default = fee_schedule(fees.coalesce(1) if small else fees, as_of)
+    if small:
+        own, default = F.broadcast(own), F.broadcast(default)
+    joined = products.join(own, ["marketplace", "category"], "left").join(default, "marketplace", "left")
+    none = F.array().cast(own.schema["_own"].dataType)
+    specific, general = F.coalesce("_own", none), F.coalesce("_default", none)
+    inherited = F.filter(general, lambda d: ~F.exists(specific, lambda o: o["fee_type"] == d["fee_type"]))
+    chosen = F.array_sort(F.concat(specific, inherited))
 
     def priced(f: Column) -> Column:
         pct = f["fee_type"].isin(PERCENTAGE_FEE_TYPES)

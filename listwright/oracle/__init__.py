@@ -1,5 +1,5 @@
 """The same results in plain SQL for DuckDB, written from the rules and not from the jobs."""
 
-from listwright.oracle import scoring
+from listwright.oracle import imports, scoring
 
-SQL = {**scoring.SQL}
+SQL = {**scoring.SQL, **imports.SQL}

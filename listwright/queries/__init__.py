@@ -1,5 +1,5 @@
 """Registered queries: the jobs applied to the driver's tables."""
 
-from listwright.queries import scoring
+from listwright.queries import imports, scoring
 
-QUERIES = {**scoring.QUERIES}
+QUERIES = {**scoring.QUERIES, **imports.QUERIES}

@@ -122,7 +122,8 @@ def score_evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def score_contributions(spark: SparkSession, sf: str) -> DataFrame:
-    df = _scored(spark, sf).select("product_id", F.explode("contributions").alias("component", "contribution"), "effective_weights")
+    cat = binding.catalog(spark, sf)
+    df = rescore.stored_scores(cat, binding.AS_OF).select("product_id", F.explode("contributions").alias("component", "contribution"), "effective_weights")
     return df.select("product_id", "component", "contribution", F.col("effective_weights")[F.col("component")].alias("effective_weight"))
 
 

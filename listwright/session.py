@@ -23,6 +23,9 @@ SETTINGS = {
     # A hot join key is split even where the split costs one more shuffle further on.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
+#: For the session builder only: call sites of every column expression double the time it takes to
+#: build a wide projection.
+STATIC_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
