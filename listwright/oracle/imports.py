@@ -5,7 +5,8 @@ from __future__ import annotations
 from listwright import binding, binding_raw, config
 from listwright.fixed import AUTOMATED_SOURCE_NAMES, NON_ATTRIBUTABLE_NAMES, OPTIONAL_FIELDS, REQUIRED_FIELDS, NUMERIC_FIELDS
 from listwright.fixed import LOOPBACK_HOSTS, PLACEHOLDER_HOST_TOKENS, PLACEHOLDER_PATH_SEGMENTS, PLACEHOLDER_TLDS
-from listwright.oracle.base import CATEGORIES, MARKETPLACES, iso, num, quote, r2, with_ctes
+from listwright.oracle.scoring import _DISCLAIMER
+from listwright.oracle.base import CATEGORIES, iso, num, quote, with_ctes
 
 _NULLS = "('', '-', 'n/a', 'na', 'null', 'none', 'unknown')"
 _NOW = f"TIMESTAMP '{binding_raw.NOW}'"
@@ -355,3 +356,40 @@ SQL = {
       {"incoming": f"""SELECT {_SEED_KEY} AS marketplace, CASE WHEN p_size % 2 = 0 THEN 'default' ELSE {binding.CATEGORY} END AS category,
         CASE p_partkey % 3 WHEN 0 THEN 'referral_percentage' WHEN 1 THEN 'commission_percentage' ELSE 'closing_fee_fixed_inr' END AS fee_type, CAST(p_size AS DOUBLE) AS fee_value FROM part"""}),
 }
+EXTRA["price_seq"] = """SELECT product_id, record_no, floor(selling_price * 100 + 0.5) / 100 AS price, floor(mrp * 100 + 0.5) / 100 AS mrp, collected_at AS seen,
+  product_id IN (SELECT product_id FROM stored_products) AS on_file, row_number() OVER (PARTITION BY product_id ORDER BY record_no) AS n FROM l_resolved"""
+_CHANGED = "s.price IS DISTINCT FROM w.state_price OR s.mrp IS DISTINCT FROM w.state_mrp"
+EXTRA["price_walk"] = f"""SELECT * FROM (WITH RECURSIVE walk AS (
+    SELECT product_id, CAST(NULL AS BIGINT) AS record_no, CAST(0 AS BIGINT) AS n, CASE WHEN on_file THEN TIMESTAMP '2026-09-01' END AS state_at,
+      CASE WHEN on_file THEN CAST(301.0 AS DOUBLE) END AS state_price, CAST(NULL AS DOUBLE) AS state_mrp, on_file AS known, false AS kept, CAST(NULL AS DOUBLE) AS price, CAST(NULL AS DOUBLE) AS mrp
+    FROM price_seq WHERE n = 1
+    UNION ALL
+    SELECT s.product_id, s.record_no, s.n, CASE WHEN (NOT w.known OR {_CHANGED}) AND (w.state_at IS NULL OR s.seen >= w.state_at) THEN s.seen ELSE w.state_at END,
+      CASE WHEN (NOT w.known OR {_CHANGED}) AND (w.state_at IS NULL OR s.seen >= w.state_at) THEN s.price ELSE w.state_price END,
+      CASE WHEN (NOT w.known OR {_CHANGED}) AND (w.state_at IS NULL OR s.seen >= w.state_at) THEN s.mrp ELSE w.state_mrp END,
+      true, NOT w.known OR {_CHANGED}, s.price, s.mrp FROM walk w JOIN price_seq s ON s.product_id = w.product_id AND s.n = w.n + 1)
+  SELECT * FROM walk WHERE kept)"""
+SQL["import_price_rows"] = q("SELECT product_id, record_no, price AS selling_price, mrp FROM price_walk")
+
+
+def _shown(c: str, numeric: bool = False) -> str:
+    return f"coalesce({num(c) if numeric else c}, 'Data unavailable')"
+
+
+_NUMBERS = {
+    "price_inr": "stored_price", "estimated_cost_inr": "stored_landed", "estimated_profit_inr": "stored_profit", "margin_pct": "stored_margin", "demand_score": "demand",
+    "competition_opportunity_score": "competition_opportunity", "differentiation_score": "differentiation", "risk_score": "risk_score", "final_score": "final_score",
+    "data_completeness": "data_completeness",
+}
+_TEXTS = {
+    "product": "name", "url": "url", "marketplace": "marketplace_name", "category": "category", "classification": "classification", "dataset_status": "dataset_status",
+    "score_status": "score_status", "source": "shown_source", "source_url": "source_url",
+}
+_RANK = "row_number() OVER (ORDER BY final_score DESC NULLS LAST, name, product_id)"
+SQL["export_csv_lines"] = with_ctes(
+    f"SELECT CAST({_RANK} AS VARCHAR) AS rank, " + ", ".join(f"{_shown(e, True)} AS {c}" for c, e in _NUMBERS.items()) + ", "
+    + ", ".join(f"{_shown(e)} AS {c}" for c, e in _TEXTS.items())
+    + f", CASE WHEN len(missing) > 0 THEN array_to_string(missing, '; ') ELSE 'None' END AS missing_critical_fields, {_DISCLAIMER} AS disclaimer, "
+    + f"coalesce({iso('collected_at')}, 'Data unavailable') AS collected_at, 'Data unavailable' AS score_computed_at FROM ranked"
+)
+SQL["export_json_lines"] = with_ctes(f"SELECT {_RANK} AS rank, name AS product, classification IS NULL AS class_is_null, 24 AS fields FROM ranked")
