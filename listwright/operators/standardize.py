@@ -13,7 +13,6 @@ from listwright.functions.numbers import discount_pct
 from listwright.functions.urls import canonical_url, parsed
 
 PAIN_TYPE = "array<struct<type:string,theme:string,detail:string,mention_count:bigint,source_name:string,source_url:string,confidence_score:double>>"
-REJECTION = ["record_no", "identifier", "code", "errors"]
 
 
 def with_fields(raw: DataFrame, fields: list[str]) -> DataFrame:

@@ -1,5 +1,5 @@
 """The same results in plain SQL for DuckDB, written from the rules and not from the jobs."""
 
-from listwright.oracle import imports, scoring, tracker
+from listwright.oracle import imports, scoring, streams, tracker
 
-SQL = {**scoring.SQL, **imports.SQL, **tracker.SQL}
+SQL = {**scoring.SQL, **imports.SQL, **tracker.SQL, **streams.SQL}

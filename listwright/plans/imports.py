@@ -8,11 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listwright import config
+from listwright import config, schemas
 from listwright.operators import dedupe, history, resolve, standardize, validate
 from listwright.session import stage
+from listwright.sources.tables import Store
 
-REJECTION = ["record_no", "identifier", "code", "errors"]
 DUPLICATE = "another record in this submission already describes this product"
 CONFLICT = "the listing URL already belongs to another product"
 
@@ -158,3 +158,27 @@ def metrics_rows(resolved: DataFrame, metrics: DataFrame, order: list[str]) -> D
     on_file = history.newest(metrics, ["product_id"], order, ["collected_at", *history.METRIC_TRIGGERS])
     rows = history.with_any_metric(resolved.select("product_id", "record_no", *history.METRIC_FIELDS, "search_term", *PROVENANCE))
     return history.changed_on_arrival(rows, "product_id", "record_no", "collected_at", history.METRIC_TRIGGERS, on_file)
+
+
+def write_import(store: Store, raw: DataFrame, run_id: str, now: Column, marketplaces: DataFrame, research: bool, version: int | None = None) -> None:
+    """Runs a submission and writes every table; repeating a run (same id and version) changes nothing.
+
+    Histories and reports go to the folder of the run. The products version is written last: until
+    then readers see the state before the import.
+    """
+    products = store.read_snapshot("products", schemas.PRODUCTS, before=version)
+    past = {name: store.read_history(name, schema, skip_run=run_id) for name, schema in [("prices", schemas.PRICES), ("metrics", schemas.METRICS)]}
+    checked = check_research(raw, now) if research else check_listings(raw, now)
+    batch = run_batch(checked, products, marketplaces, research)
+    tagged = lambda df: df.withColumn("run_id", F.lit(run_id))
+    order = ["collected_at", "run_id", "record_no"]
+    store.append("prices", tagged(price_rows(batch.resolved, past["prices"], order)), run_id)
+    store.append("metrics", tagged(metrics_rows(batch.resolved, past["metrics"], order)), run_id)
+    store.append("costs", tagged(history.cost_rows(batch.resolved)), run_id)
+    if research:
+        store.append("ledger", resolve.ledger_rows(batch.resolved, F.lit(run_id)), run_id)
+    store.append("rejections", batch.rejections, run_id)
+    store.append("runs", report(batch, research).select(F.lit(run_id).alias("run_id"), F.lit("completed").alias("status"), "measure", "n"), run_id)
+    pains = resolve.replace_by_key(store.read_snapshot("pain_points", schemas.PAIN_POINTS, before=version), resolve.pain_point_rows(batch.resolved))
+    number = store.write_snapshot("pain_points", pains, version)
+    store.write_snapshot("products", resolve.snapshot(products, batch.resolved), version or number)

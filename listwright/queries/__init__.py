@@ -1,5 +1,5 @@
 """Registered queries: the jobs applied to the driver's tables."""
 
-from listwright.queries import imports, scoring, tracker
+from listwright.queries import imports, scoring, streams, tracker
 
-QUERIES = {**scoring.QUERIES, **imports.QUERIES, **tracker.QUERIES}
+QUERIES = {**scoring.QUERIES, **imports.QUERIES, **tracker.QUERIES, **streams.QUERIES}
