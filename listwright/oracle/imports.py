@@ -207,8 +207,8 @@ _SLUGS = "SELECT slug FROM marketplaces"
 def walk(source: str) -> str:
     """Sequential dedupe of ``source`` (record_no, identity_key, name_key) as a recursion over the kept keys."""
     return f"""SELECT * FROM (
-      WITH RECURSIVE seq AS (SELECT *, row_number() OVER (ORDER BY record_no) AS n FROM {source}),
-      go AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS keys, CAST(NULL AS BIGINT) AS record_no, false AS kept
+      WITH RECURSIVE seq AS MATERIALIZED (SELECT record_no, hash(identity_key) AS identity_key, hash(name_key) AS name_key, row_number() OVER (ORDER BY record_no) AS n FROM {source}),
+      go AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS UBIGINT[]) AS keys, CAST(NULL AS BIGINT) AS record_no, false AS kept
         UNION ALL
         SELECT s.n, CASE WHEN list_contains(g.keys, s.identity_key) OR list_contains(g.keys, s.name_key) THEN g.keys ELSE list_concat(g.keys, [s.identity_key, s.name_key]) END,
           s.record_no, NOT (list_contains(g.keys, s.identity_key) OR list_contains(g.keys, s.name_key))
@@ -293,7 +293,7 @@ SQL = {
       UNION ALL SELECT record_no, coalesce(raw_name, raw_url), 'research', malformed FROM r_all WHERE malformed IS NOT NULL"""),
     "pain_point_shred": q("SELECT record_no, i - 1 AS position, pain_list[i].type AS type, pain_list[i].theme AS theme, pain_list[i].n AS mention_count FROM (SELECT record_no, pain_list, unnest(range(1, len(pain_list) + 1)) AS i FROM l)"),
     "csv_scan": q("SELECT record_no AS part, record_no + 2 AS record_no, name, url, selling_price FROM l"),
-    "json_scan": q("SELECT record_no AS part, record_no % 100 + 1 AS position, name, url, marketplace, selling_price, competitor_count, verification_requested FROM r"),
+    "json_scan": q("SELECT record_no AS part, record_no % 1000 + 1 AS position, name, url, marketplace, selling_price, competitor_count, verification_requested FROM r"),
     "validate_listings": q(f"SELECT record_no, {text('errors')} AS errors, {text('warnings')} AS warnings FROM l_checked"),
     "validate_research": q(f"SELECT record_no, code, errors, CASE WHEN code IS NULL THEN {text('warnings')} END AS warnings FROM r_checked"),
     "unknown_marketplaces": q("SELECT record_no, 'unknown marketplace ''' || marketplace || ''' — add it to the marketplaces table first' AS error FROM l WHERE marketplace NOT IN (SELECT slug FROM marketplaces)"),
@@ -356,10 +356,10 @@ SQL = {
       {"incoming": f"""SELECT {_SEED_KEY} AS marketplace, CASE WHEN p_size % 2 = 0 THEN 'default' ELSE {binding.CATEGORY} END AS category,
         CASE p_partkey % 3 WHEN 0 THEN 'referral_percentage' WHEN 1 THEN 'commission_percentage' ELSE 'closing_fee_fixed_inr' END AS fee_type, CAST(p_size AS DOUBLE) AS fee_value FROM part"""}),
 }
-EXTRA["price_seq"] = """SELECT product_id, record_no, floor(selling_price * 100 + 0.5) / 100 AS price, floor(mrp * 100 + 0.5) / 100 AS mrp, collected_at AS seen,
+EXTRA["price_seq0"] = """SELECT product_id, record_no, floor(selling_price * 100 + 0.5) / 100 AS price, floor(mrp * 100 + 0.5) / 100 AS mrp, collected_at AS seen,
   product_id IN (SELECT product_id FROM stored_products) AS on_file, row_number() OVER (PARTITION BY product_id ORDER BY record_no) AS n FROM l_resolved"""
 _CHANGED = "s.price IS DISTINCT FROM w.state_price OR s.mrp IS DISTINCT FROM w.state_mrp"
-EXTRA["price_walk"] = f"""SELECT * FROM (WITH RECURSIVE walk AS (
+EXTRA["price_walk"] = f"""SELECT * FROM (WITH RECURSIVE price_seq AS MATERIALIZED (SELECT * FROM price_seq0), walk AS (
     SELECT product_id, CAST(NULL AS BIGINT) AS record_no, CAST(0 AS BIGINT) AS n, CASE WHEN on_file THEN TIMESTAMP '2026-09-01' END AS state_at,
       CASE WHEN on_file THEN CAST(301.0 AS DOUBLE) END AS state_price, CAST(NULL AS DOUBLE) AS state_mrp, on_file AS known, false AS kept, CAST(NULL AS DOUBLE) AS price, CAST(NULL AS DOUBLE) AS mrp
     FROM price_seq WHERE n = 1

@@ -69,13 +69,10 @@ def json_scan(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "submission")
     cells = _raw(spark, sf, binding_raw.RESEARCH)
     camel = F.struct(*[F.col(c).alias(landing._camel(c)) for c in cells.columns if c != "record_no"], F.col("record_no").cast("string").alias("searchTerm"))
-    # one envelope per hundred records, each small enough for one task
-    envelopes = cells.groupBy(F.floor(F.col("record_no") / 100).alias("g")).agg(F.array_sort(F.collect_list(F.struct("record_no", camel.alias("r")))).alias("rows"))
-    envelopes.select(F.transform("rows", lambda x: x["r"]).alias("records")).repartition(8, "records").write.json(path)
-    lines = spark.read.text(path)
-    single = scratch_path(spark, "submission")
-    lines.repartition(lines.select(F.count(F.lit(1))).first()[0]).write.text(single)
-    landed = landing.read_research_json(spark, single)
+    # one envelope, and one file, per thousand records
+    envelopes = cells.groupBy(F.floor(F.col("record_no") / 1000).alias("g")).agg(F.array_sort(F.collect_list(F.struct("record_no", camel.alias("r")))).alias("rows"))
+    envelopes.select("g", F.transform("rows", lambda x: x["r"]).alias("records")).write.partitionBy("g").json(path)
+    landed = landing.read_research_json(spark, path)
     out = standardize.research(landed).where("malformed IS NULL")
     return out.select(
         F.col("search_term").cast("long").alias("part"), F.col("record_no").cast("long").alias("position"), "name", "url", "marketplace", "selling_price", "competitor_count", "verification_requested"
