@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from listwright.fixed import OPTIONAL_FIELDS, REQUIRED_FIELDS, UNLISTED_FIELDS
 from listwright.session import stage
@@ -42,22 +41,22 @@ def _camel(name: str) -> str:
 _FIELDS = REQUIRED_FIELDS + OPTIONAL_FIELDS + UNLISTED_FIELDS
 
 
-def _record_type() -> T.StructType:
-    spellings = {s: None for f in _FIELDS for s in (f, _camel(f))}
-    return T.StructType([T.StructField(s, T.StringType()) for s in spellings])
+_RECORD = ", ".join(f"`{s}` string" for s in dict.fromkeys(s for f in _FIELDS for s in (f, _camel(f))))
+_NOT_A_LIST = 'JSON payload must be an array of records, or an object with a "records" or "products" array.'
 
 
 def read_research_json(spark: SparkSession, path: str) -> DataFrame:
     """JSON submission: a bare array, or an object with ``records`` or ``products``; snake or camel case.
 
-    A lone top-level object without either list is read as an array of one record.
+    Entries that are no objects become empty records; a payload without a list is an error. A file
+    is one submission and is read by one task.
     """
-    record = _record_type()
-    envelope = T.StructType([*record.fields, T.StructField("records", T.ArrayType(record)), T.StructField("products", T.ArrayType(record))])
-    rows = spark.read.schema(envelope).option("multiLine", True).json(path)
-    alone = F.array(F.struct(*[F.col(f.name) for f in record.fields]))
-    listed = rows.select(F.posexplode(F.coalesce("records", "products", alone)).alias("_pos", "r"), "_metadata")
+    body = F.col("value")
+    files = spark.read.option("wholetext", True).text(path).select("value", "_metadata")
+    enveloped = F.from_json(body, "records array<string>, products array<string>")
+    bare = F.from_json(body, "array<string>")
+    entries = F.when(F.ltrim(body).startswith("["), bare).otherwise(F.coalesce(enveloped["records"], enveloped["products"]))
+    checked = F.coalesce(entries, F.raise_error(F.lit(_NOT_A_LIST)))
+    listed = files.select(F.posexplode(checked).alias("_pos", "entry"), "_metadata").withColumn("r", F.from_json("entry", _RECORD))
     spelled = lambda f: F.coalesce(F.col(f"r.{f}"), F.col(f"r.{_camel(f)}")) if _camel(f) != f else F.col(f"r.{f}")
     return _numbered(listed.select(*[spelled(f).alias(f) for f in _FIELDS], "_metadata"), first=1)
-
-
