@@ -13,7 +13,7 @@ from listwright.functions.text import identity_key, name_key
 from listwright.session import stage
 
 #: Rounds before the rest may be finished in one task, and how many rows that task may get.
-ROUNDS = 5
+ROUNDS = 2
 FINISH_ROWS = 200_000
 
 

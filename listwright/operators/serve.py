@@ -137,7 +137,10 @@ def requested(spark, ids: str) -> DataFrame:
 
 
 def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of the requested products; pushed to the child tables before any aggregation."""
+    """Rows of a few requested products, before anything is aggregated.
+
+    ``ids`` is a comparison (at most 5 rows) or a page (at most 500), which bounds the broadcast.
+    """
     return rows.join(F.broadcast(ids.select("product_id").distinct()), "product_id", "left_semi")
 
 

@@ -17,6 +17,8 @@ from listwright.session import stage
 
 #: Rows one key may bring into one task.
 GROUP_LIMIT = 500_000
+#: Slices of one table; with it the summary rows that are broadcast or ordered in one task are bounded too.
+MAX_SLICES = 10_000
 #: Hot keys listed on the driver; beyond that every row goes through the slices.
 HOT_LIMIT = 10_000
 #: Broadcast sides whose row count was checked.
@@ -55,16 +57,21 @@ def split_hot(df: DataFrame, keys: list[str], limit: int = GROUP_LIMIT) -> tuple
 
 
 def slices(df: DataFrame, order: list[Column], name: str, rows_per_slice: int) -> DataFrame:
-    """Range-partitioned, written copy of ``df`` with ``_slice``, ascending along ``order``."""
-    n = max(1, -(-df.count() // rows_per_slice))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    """Range-partitioned, written copy of ``df`` with ``_slice``, ascending along ``order``.
+
+    ``order`` must be a total order: equal rows would share a slice. The input is written first, as
+    counting, sampling the range bounds and shuffling would each run it again.
+    """
+    held = stage(df, name)
+    n = max(1, min(MAX_SLICES, -(-held.count() // rows_per_slice)))
+    ranged = held.repartitionByRange(n, *order).sortWithinPartitions(*order)
     return stage(ranged.withColumn("_slice", F.spark_partition_id()), name)
 
 
 def ranked(df: DataFrame, order: list[Column], out: str, rows_per_slice: int = GROUP_LIMIT) -> DataFrame:
     """``out`` = 1-based position of every row in the total order, without a one-task window."""
     cut = slices(df, order, "ranked", rows_per_slice)
-    # one row per slice, so the running sum below is over as many rows as there are slices
+    # one row per slice, at most MAX_SLICES: small enough to add up in one task and to broadcast
     counts = cut.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
     offsets = F.broadcast(counts.select("_slice", F.coalesce(before, F.lit(0)).alias("_before")))
