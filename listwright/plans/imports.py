@@ -100,9 +100,11 @@ def run_batch(checked: Checked, products: DataFrame, marketplaces: DataFrame, re
     )
 
 
-def _count(df: DataFrame, name: str, condition: Column | None = None) -> DataFrame:
-    value = F.count(F.lit(1)) if condition is None else F.count_if(condition)
-    return df.agg(value.alias("n")).select(F.lit(name).alias("measure"), "n")
+def _counts(df: DataFrame, **measures: Column | None) -> DataFrame:
+    """One aggregate over ``df``, given as (measure, n) rows; None counts all rows."""
+    row = df.agg(*[(F.count(F.lit(1)) if c is None else F.count_if(c)).alias(name) for name, c in measures.items()])
+    entries = F.array(*[F.struct(F.lit(name).alias("measure"), F.col(name).alias("n")) for name in measures])
+    return row.select(F.explode(entries).alias("r")).select("r.*")
 
 
 def report(batch: Batch, research: bool) -> DataFrame:
@@ -111,29 +113,25 @@ def report(batch: Batch, research: bool) -> DataFrame:
     A research import counts duplicates among the rejected records, a listing import beside them.
     """
     new = F.col("is_new")
+    outcome = {"created": new, "updated": ~new, "verification_downgrades": F.col("downgraded")}
+    if research:
+        outcome |= {"imported": None, "merged_into_existing": ~new, "missing_critical_fields": F.size(validate.missing_for_score()) > 0}
     parts = [
-        _count(batch.checked.standardized, "submitted" if research else "received"),
-        _count(batch.resolved, "created", new),
-        _count(batch.resolved, "updated", ~new),
-        _count(batch.rejections, "rejected"),
-        _count(batch.duplicates, "duplicates_in_file" if research else "skipped_duplicate"),
-        _count(batch.downgrades, "verification_downgrades"),
+        _counts(batch.checked.standardized, **{"submitted" if research else "received": None}),
+        _counts(batch.resolved, **outcome),
+        _counts(batch.rejections, rejected=None),
+        _counts(batch.duplicates, **{"duplicates_in_file" if research else "skipped_duplicate": None}),
     ]
     if research:
-        parts += [
-            _count(batch.resolved, "imported"),
-            _count(batch.resolved, "merged_into_existing", ~new),
-            _count(batch.missing_critical, "missing_critical_fields"),
-            _count(batch.checked.warnings, "records_with_warnings"),
-        ]
+        parts.append(_counts(batch.checked.warnings, records_with_warnings=None))
     return _union(parts)
 
 
 def dry_run(checked: Checked) -> DataFrame:
     """What an import would do, without matching or writing."""
     return _union([
-        _count(checked.standardized, "submitted"), _count(checked.accepted, "would_import"),
-        _count(checked.rejections, "would_reject"), _count(checked.warnings, "warnings"),
+        _counts(checked.standardized, submitted=None), _counts(checked.accepted, would_import=None),
+        _counts(checked.rejections, would_reject=None), _counts(checked.warnings, warnings=None),
     ])
 
 
