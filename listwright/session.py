@@ -7,7 +7,6 @@ pruning, and its size on disk lets Catalyst decide by itself whether a join may
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,20 +33,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_LOCAL_SCRATCH: dict[str, str] = {}
-
-
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for staged tables; a local folder only where none is set and Spark runs in one JVM."""
+    """The shared folder for staged tables: ``spark.checkpoint.dir``, else a folder of the session's warehouse."""
     root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR, None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="listwright-")
-    return _LOCAL_SCRATCH[app]
+    return root.rstrip("/") if root else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staged"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
