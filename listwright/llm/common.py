@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: A word: a run without ASCII white space (space, tab to carriage return).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,3 +29,20 @@ def free_name(columns: list[str], wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterator[list[tuple]]]], schema: str) -> DataFrame:
+    """``mapInArrow`` over plain Python values: nulls are None and long keys stay exact.
+
+    ``make()`` runs once per task; what it returns gets the columns of each batch as lists and yields lists of rows.
+    """
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            for rows in work(*(c.to_pylist() for c in batch.columns)):
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
+
+    return df.mapInArrow(run, schema)

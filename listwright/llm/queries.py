@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from listwright.llm import mixing, url_filter
+from listwright.llm import license_scan, mixing, packing, topk, url_filter
 from listwright.llm.common import table
 
 
@@ -10,15 +10,32 @@ def op1_url_filters(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages")).drop("weight")
 
 
+def op4_topk(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+def op5_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+
+
 def op8_mixing(spark, sf_dir):
     return mixing.assign(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op8_mixing)}
+def op10_license_scans(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("blocks")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op4_topk, op5_packing, op8_mixing, op10_license_scans)}
 
 _HITS = "len(list_filter([{terms}], lambda t: regexp_matches(u, '(^|[^a-z0-9])' || t || '([^a-z0-9]|$)')))"
 _RULES = ", ".join(f"('{rule}', '{verdict}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}')" for rule, verdict in url_filter.RULES)
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_PHRASES = ", ".join(f"({p.split()}, '{label}')" for p, label in license_scan.PHRASES.items())
+_NOTICES = ", ".join(f"({sorted(set(t.split()))}, '{label}', {license_scan.need(len(set(t.split())), license_scan.CONTAINMENT)})" for label, t in license_scan.NOTICES)
+
 SQL = {
     "op1_url_filters": f"""
 WITH parts AS (
@@ -36,6 +53,15 @@ judged AS (
 SELECT page_id, host, path, best.r AS rule,
   coalesce(best.v, CASE WHEN n_strict > 0 OR n_soft >= {url_filter.MIN_SOFT} THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft
 FROM judged""",
+    "op4_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op8_mixing": f"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, coalesce(md5(doc_id::VARCHAR), '') AS k
@@ -58,4 +84,23 @@ q AS (SELECT *, greatest(0, least(size, goal - start)) AS first, greatest(0, lea
 SELECT doc_id, size, source_size, target, (first + second)::BIGINT AS taken,
   CASE WHEN first > 0 THEN 2 * (share * (a + b) / 2) / (a + sqrt(greatest(0, a * a + 2 * (b - a) * (share * (a + b) / 2)))) END AS position
 FROM q""",
+    "op10_license_scans": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+phrases(p, label) AS (VALUES {_PHRASES}),
+notices(t, label, need) AS (VALUES {_NOTICES}),
+places AS (SELECT r, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + len(p)] = p)) AS i FROM d, phrases WHERE list_has_all(w, p)),
+base AS (SELECT r, count(*) AS n, min(i) AS a, max(i) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM places GROUP BY r),
+blocks AS (
+  SELECT r, w[k + 1 : k + {license_scan.BLOCK}] AS b
+  FROM (SELECT r, w, unnest(range(0, greatest(len(w) - {license_scan.BLOCK} + {license_scan.STEP}, 1), {license_scan.STEP})) AS k FROM d)),
+matches AS (
+  SELECT r, label, len(list_intersect(list_distinct(b), t)) AS shared, len(t) AS size, need
+  FROM blocks, notices),
+found AS (SELECT r, label, max(shared::DOUBLE / size) AS c FROM matches WHERE shared >= need GROUP BY r, label),
+labels AS (SELECT r, label FROM places UNION SELECT r, label FROM found),
+joined AS (SELECT r, string_agg(label, ',' ORDER BY label) AS l FROM labels GROUP BY r),
+best AS (SELECT r, max(c) AS c FROM found GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a AS first_word, b AS last_word,
+  coalesce(base.l, '') AS base_labels, coalesce(joined.l, '') AS labels, CASE WHEN n > 0 THEN 1.0 ELSE coalesce(c, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN joined USING (r) LEFT JOIN best USING (r)""",
 }

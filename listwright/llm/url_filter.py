@@ -11,12 +11,11 @@ hits and is allowed. Repeated rows are judged each for itself; other columns are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import ahocorasick
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from listwright.llm.common import map_rows
+
 #: (rule, verdict)
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Weighted vocabulary: a strict term alone blocks.
@@ -74,18 +73,19 @@ def hits(url: str | None, terms) -> tuple[int, int, float]:
 def judge(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, min_soft: int = MIN_SOFT) -> DataFrame:
     """One row per page: host, path, the deciding rule or null, the verdict and the hits of the vocabulary."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         terms = automaton(strict, soft)
-        for batch in batches:
+
+        def work(ids, urls):
             rows = []
-            for url in batch["url"]:
+            for page_id, url in zip(ids, urls):
                 host, path = split_url(url)
                 n_strict, n_soft, weight = hits(url, terms)
                 rule = fitting(host, path, rules)
                 verdict = rule[1] if rule else "block" if n_strict or n_soft >= min_soft else "allow"
-                rows.append((host, path, rule[0] if rule else None, verdict, n_strict, n_soft, weight))
-            out = pd.DataFrame(rows, columns=["host", "path", "rule", "verdict", "n_strict", "n_soft", "weight"])
-            out.insert(0, "page_id", batch["page_id"].to_numpy())
-            yield out
+                rows.append((page_id, host, path, rule[0] if rule else None, verdict, n_strict, n_soft, weight))
+            yield rows
+
+        return work
 
-    return pages.selectExpr("cast(page_id as long) page_id", "url").mapInPandas(run, SCHEMA)
+    return map_rows(pages.selectExpr("cast(page_id as long) page_id", "url"), make, SCHEMA)
