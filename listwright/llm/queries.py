@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from listwright.llm import license_scan, mixing, packing, topk, url_filter
+from listwright.llm import jaccard, license_scan, mixing, packing, topk, url_filter
 from listwright.llm.common import table
 
 
@@ -23,11 +23,15 @@ def op8_mixing(spark, sf_dir):
     return mixing.assign(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scans(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("blocks")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op4_topk, op5_packing, op8_mixing, op10_license_scans)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op4_topk, op5_packing, op8_mixing, op9_jaccard_join, op10_license_scans)}
 
 _HITS = "len(list_filter([{terms}], lambda t: regexp_matches(u, '(^|[^a-z0-9])' || t || '([^a-z0-9]|$)')))"
 _RULES = ", ".join(f"('{rule}', '{verdict}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}')" for rule, verdict in url_filter.RULES)
@@ -84,6 +88,20 @@ q AS (SELECT *, greatest(0, least(size, goal - start)) AS first, greatest(0, lea
 SELECT doc_id, size, source_size, target, (first + second)::BIGINT AS taken,
   CASE WHEN first > 0 THEN 2 * (share * (a + b) / 2) / (a + sqrt(greatest(0, a * a + 2 * (b - a) * (share * (a + b) / 2)))) END AS position
 FROM q""",
+    "op9_jaccard_join": """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT r, doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1), lambda i: hash(array_to_string(w[i : i + 4], ' ')))) AS g, least(len(w), 5) AS k
+  FROM d),
+t AS (SELECT r, unnest(g) AS g, k, len(g) AS n FROM s),
+p AS (SELECT a.r AS x, b.r AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM t a JOIN t b ON a.g = b.g AND a.k = b.k AND a.r < b.r GROUP BY a.r, b.r),
+l AS (SELECT x, y FROM p WHERE 100 * c >= 75 * (n + m - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l UNION ALL SELECT r, r FROM d),
+reach(x, y) AS (SELECT r, r FROM d UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x),
+root AS (SELECT x, min(doc_id) AS c FROM reach JOIN d ON d.r = y GROUP BY x)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, c AS component_id FROM s JOIN root ON root.x = s.r""",
     "op10_license_scans": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 phrases(p, label) AS (VALUES {_PHRASES}),
