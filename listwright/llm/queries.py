@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from listwright.llm import jaccard, license_scan, mixing, packing, topk, url_filter
+from listwright.llm import cover_tree, jaccard, license_scan, mixing, packing, topk, url_filter
 from listwright.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op5_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
 
+def op7_cover_tree(spark, sf_dir):
+    return cover_tree.link(table(spark, sf_dir, "embeddings"))
+
+
 def op8_mixing(spark, sf_dir):
     return mixing.assign(table(spark, sf_dir, "documents")).drop("source")
 
@@ -31,7 +35,7 @@ def op10_license_scans(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("blocks")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op4_topk, op5_packing, op8_mixing, op9_jaccard_join, op10_license_scans)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op4_topk, op5_packing, op7_cover_tree, op8_mixing, op9_jaccard_join, op10_license_scans)}
 
 _HITS = "len(list_filter([{terms}], lambda t: regexp_matches(u, '(^|[^a-z0-9])' || t || '([^a-z0-9]|$)')))"
 _RULES = ", ".join(f"('{rule}', '{verdict}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}')" for rule, verdict in url_filter.RULES)
@@ -66,6 +70,16 @@ p AS (
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op7_cover_tree": f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= {cover_tree.COSINE}),
+reach(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x),
+root AS (SELECT x, min(y) AS c FROM reach GROUP BY x),
+n AS (SELECT x, count(*) AS n FROM e GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept
+FROM embeddings LEFT JOIN n ON n.x = vec_id LEFT JOIN root ON root.x = vec_id""",
     "op8_mixing": f"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, coalesce(md5(doc_id::VARCHAR), '') AS k
