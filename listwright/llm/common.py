@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,3 +47,22 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterator[list[tuple
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
 
     return df.mapInArrow(run, schema)
+
+
+def add_up(parts: DataFrame, dtype: str) -> dict[int, np.ndarray]:
+    """Sums binary arrays of ``dtype`` by ``chunk`` (columns chunk, values) in the cluster; the driver gets one array per chunk.
+
+    The caller's number of chunks is fixed, so the result does not grow with the data.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, values in zip(*(c.to_pylist() for c in batch.columns)):
+                part = np.frombuffer(values, dtype)
+                sums[chunk] = sums[chunk] + part if chunk in sums else part
+        if sums:
+            yield pa.RecordBatch.from_pydict({"chunk": list(sums), "values": [s.tobytes() for s in sums.values()]}, schema=pa.schema([("chunk", pa.int64()), ("values", pa.binary())]))
+
+    rows = parts.select(F.col("chunk").cast("long"), "values").repartition("chunk").mapInArrow(add, "chunk long, values binary").collect()
+    return {r["chunk"]: np.frombuffer(r["values"], dtype) for r in rows}

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from listwright.llm.common import map_rows
+from listwright.llm.common import add_up, map_rows
 from listwright.llm.graph import components
 from listwright.session import stage
 
@@ -120,7 +120,7 @@ def _profile(docs: DataFrame) -> DataFrame:
         if open_sets:
             counts += np.bincount(np.concatenate(open_sets).astype(np.int64), minlength=COUNTERS)
         if counts.any():
-            rows = [(1, *[None] * (3 + len(BUCKETS)), i, counts[i * chunk : (i + 1) * chunk].astype("<u4").tobytes()) for i in range(COUNTERS // chunk)]
+            rows = [(1, *[None] * (3 + len(BUCKETS)), i, counts[i * chunk : (i + 1) * chunk].astype("<i8").tobytes()) for i in range(COUNTERS // chunk)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "counts" else pa.int64()) for c, k in zip(zip(*rows), names)], names=names)
 
     return stage(docs.mapInArrow(run, schema), "jaccard-profile")
@@ -129,18 +129,9 @@ def _profile(docs: DataFrame) -> DataFrame:
 def _levels(profile: DataFrame) -> np.ndarray:
     """Twice the logarithm of each counter; a fixed number of rows reaches the driver."""
 
-    def add(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in group:
-            for chunk, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                part = np.frombuffer(counts, "<u4").astype(np.int64)
-                sums[chunk] = sums[chunk] + part if chunk in sums else part
-        if sums:
-            yield pa.RecordBatch.from_pydict({"chunk": list(sums), "counts": [s.astype("<i8").tobytes() for s in sums.values()]}, schema=pa.schema([("chunk", pa.int64()), ("counts", pa.binary())]))
-
-    rows = profile.where("kind = 1").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk long, counts binary").collect()
-    counts = b"".join(r["counts"] for r in sorted(rows, key=lambda r: r["chunk"])) or bytes(8 * COUNTERS)
-    return np.floor(2 * np.log2(np.frombuffer(counts, "<i8") + 1)).astype(np.uint8)
+    sums = add_up(profile.where("kind = 1").select("chunk", F.col("counts").alias("values")), "<i8")
+    counts = np.concatenate([sums[i] for i in sorted(sums)]) if sums else np.zeros(COUNTERS)
+    return np.floor(2 * np.log2(counts + 1)).astype(np.uint8)
 
 
 def _prefixes(texts: DataFrame, levels: np.ndarray) -> DataFrame:

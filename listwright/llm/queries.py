@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
-from listwright.llm import cover_tree, jaccard, license_scan, mixing, packing, topk, url_filter
-from listwright.llm.common import table
+from pyspark.sql import functions as F
+
+from listwright.llm import cover_tree, jaccard, language_id, license_scan, mixing, packing, quality, topk, url_filter
+from listwright.llm.common import fold, table
 
 
 def op1_url_filters(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages")).drop("weight")
 
 
+def op2_quality(spark, sf_dir):
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) == 0)
+
+
+def op3_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    chain = language_id.learn(docs, fold(F.col("doc_id"), 3) != 1)
+    held_out = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    return language_id.predict(docs, chain).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_topk(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top(vectors, vectors.where("vec_id % 50 = 0"), 5)
@@ -35,7 +48,7 @@ def op10_license_scans(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("blocks")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op4_topk, op5_packing, op7_cover_tree, op8_mixing, op9_jaccard_join, op10_license_scans)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_quality, op3_language_id, op4_topk, op5_packing, op7_cover_tree, op8_mixing, op9_jaccard_join, op10_license_scans)}
 
 _HITS = "len(list_filter([{terms}], lambda t: regexp_matches(u, '(^|[^a-z0-9])' || t || '([^a-z0-9]|$)')))"
 _RULES = ", ".join(f"('{rule}', '{verdict}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}')" for rule, verdict in url_filter.RULES)
