@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from listwright.llm import cover_tree, jaccard, language_id, license_scan, mixing, packing, quality, topk, url_filter
+from listwright.llm import cover_tree, jaccard, language_id, license_scan, mixing, packing, pii, quality, topk, url_filter
 from listwright.llm.common import fold, table
 
 
@@ -32,6 +32,11 @@ def op5_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
 
+def op6_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.learn(docs))
+
+
 def op7_cover_tree(spark, sf_dir):
     return cover_tree.link(table(spark, sf_dir, "embeddings"))
 
@@ -48,7 +53,7 @@ def op10_license_scans(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("blocks")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_quality, op3_language_id, op4_topk, op5_packing, op7_cover_tree, op8_mixing, op9_jaccard_join, op10_license_scans)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_quality, op3_language_id, op4_topk, op5_packing, op6_pii, op7_cover_tree, op8_mixing, op9_jaccard_join, op10_license_scans)}
 
 _HITS = "len(list_filter([{terms}], lambda t: regexp_matches(u, '(^|[^a-z0-9])' || t || '([^a-z0-9]|$)')))"
 _RULES = ", ".join(f"('{rule}', '{verdict}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}')" for rule, verdict in url_filter.RULES)
