@@ -67,7 +67,8 @@ def document_frequency(docs: DataFrame, notices=NOTICES) -> dict[bytes, int]:
         for batch in batches:
             for text in batch["text"]:
                 seen.update(vocabulary.intersection(words_of(text)))
-        yield pd.DataFrame({"word": [w.decode() for w in seen], "n": list(seen.values())})
+        if seen:
+            yield pd.DataFrame({"word": [w.decode() for w in seen], "n": list(seen.values())})
 
     rows = docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     return {w: 0 for w in vocabulary} | {r["word"].encode(): r["n"] for r in rows}

@@ -17,7 +17,7 @@ a query and list.
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part, nor do null ids;
 vectors meet only vectors of their own length; a candidate row that repeats counts once for each row, a repeated query id
 is asked once, with its smallest vector; ties go to the smaller vec_id; a query without candidates has no rows; other columns
-are ignored; an empty table gives no rows. Scores beyond 64 bits are cut to the largest long.
+are ignored; an empty table gives no rows. Scores beyond 64 bits are cut to the largest long, and their order among each other is open.
 """
 
 from __future__ import annotations
