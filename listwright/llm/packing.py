@@ -13,7 +13,7 @@ itself; other columns are ignored; an empty table gives no rows. ``sequence_id``
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 from zlib import crc32
 
 import numpy as np
@@ -26,38 +26,56 @@ from listwright.llm.common import map_rows
 VOCABULARY = "word_bpe_49k.json"
 END, MAX = 1, 2048
 #: Longer parts between white space are not kept in the table; beyond so many parts a task starts a new table.
-KEPT_CHARS, KEPT_PARTS = 32, 600_000
+KEPT_CHARS, KEPT_PARTS = 32, 500_000
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
 
 
-class Encoder:
-    """Ids as little-endian unsigned 32-bit numbers, for a tokenizer none of whose tokens holds or looks beyond white space."""
+class Encoder(dict):
+    """Ids as little-endian unsigned 32-bit numbers by part between white space, for this vocabulary's rules.
+
+    Parts of printable ASCII and Latin-1 letters are lower-cased and split here by the tokenizer's own pattern, and only
+    its model is asked, once for each piece; all others go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            # Python takes the separators \x1c-\x1f for white space, the tokenizer doesn't.
-            if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-                yield self._encoded([text])[0]
-                continue
-            parts = text.split()
-            if new := [p for p in set(parts) if p not in self.known]:
-                if len(self.known) > KEPT_PARTS:
-                    self.known.clear()
-                    new = list(set(parts))
-                self.known.update(zip(new, self._encoded(new)))
-            yield b"".join(map(self.known.__getitem__, parts))
-            for p in new:
-                if len(p) > KEPT_CHARS:
-                    del self.known[p]
+        self.pieces: dict[str, bytes] = {}
+        # The byte alphabet of byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on.
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = (b for b in range(256) if b not in printable)
+        self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            text = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+            found = np.array([t.id for t in self.tokenizer.model.tokenize(text)], "<u4").tobytes()
+            if len(self.pieces) >= KEPT_PARTS:
+                self.pieces.clear()
+            self.pieces[piece] = found
+        return found
+
+    def __missing__(self, part: str) -> bytes:
+        found = b"".join(map(self.piece, _PIECE.findall(part.lower()))) if len(part) <= KEPT_CHARS and _PLAIN.fullmatch(part) and "<|" not in part else self.whole(part)
+        if len(part) <= KEPT_CHARS:
+            if len(self) >= KEPT_PARTS:
+                self.clear()
+            self[part] = found
+        return found
+
+    def encode(self, text: str) -> bytes:
+        # Python takes the separators \x1c-\x1f for white space, the tokenizer doesn't.
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return self.whole(text)
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 def lengths(tokens: int, most: int) -> list[int]:
@@ -77,8 +95,8 @@ def pack(docs: DataFrame, path: str | None = None, most: int = MAX, end: int = E
 
         def work(doc_ids, texts):
             rows: list[tuple] = []
-            for doc_id, ids in zip(doc_ids, encoder.encode(["" if t is None else t for t in texts])):
-                ids += last
+            for doc_id, text in zip(doc_ids, texts):
+                ids = encoder.encode(text or "") + last
                 start, total = 0, len(ids) // 4
                 for n in lengths(total, most):
                     part = ids[4 * start : 4 * (start + n)]
