@@ -31,7 +31,7 @@ from listwright.llm.common import map_rows
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
-LONGEST, SAMPLE, EXAMPLES, ROUNDS, RATE = 6, 6000, 250, 30, 0.5
+LONGEST, SAMPLE, EXAMPLES, ROUNDS, RATE = 6, 6000, 250, 60, 0.5
 #: Least probability of a segment the field adds to the base.
 SURE = 0.8
 

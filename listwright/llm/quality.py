@@ -4,7 +4,8 @@ One pass over the whole texts gives each document ``STATISTICS``. Scaled to mean
 are mapped to ``FEATURES`` cosines of random projections, whose inner products approximate a Gaussian kernel of width
 ``WIDTH``. Ridge weights solve the normal equations, which every task sums over its labelled rows and the cluster sums
 over tasks; only the sums (of fixed size) reach the driver. Raw scores are calibrated by isotonic regression over counts in ``BINS``
-fixed bins of the score, again of fixed size. All labelled rows are used.
+fixed bins of the score, again of fixed size; the scores it sees come from weights solved without the row's own of ``FOLDS`` parts. All
+labelled rows are used.
 
 Defined cases: null text is empty text and is scored like any other; labels that are null or whose doc_id is null or
 missing teach nothing, a doc_id labelled several times teaches once per label; without labels every score is 0.5; repeated
@@ -29,7 +30,7 @@ STATISTICS = (
     "log_bytes", "log_words", "word_bytes", "word_spread", "letters", "digits", "upper", "spaces", "stops", "shouts", "symbols", "bars", "other",
     "distinct", "top_word", "repeats", "line_words", "repeated_lines", "short_words", "long_words", "symbol_words", "cased_words",
 )
-FEATURES, WIDTH, RIDGE, BINS, CLIP = 384, 3.0, 1e-3, 2048, 6.0
+FEATURES, WIDTH, RIDGE, BINS, CLIP, FOLDS = 384, 3.0, 1e-3, 2048, 6.0, 4
 THRESHOLD = 0.3
 #: Classes of bytes: letters (all of a non-ASCII letter's bytes too), digits, upper case, white space, sentence marks, shouts, bars, other symbols, quotes and hyphens.
 _CLASS = bytes(
@@ -96,38 +97,45 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _sums(labelled: DataFrame, per_batch) -> dict[int, np.ndarray]:
-    """Adds up the arrays ``per_batch(statistics, labels)`` gives by chunk, over batches, tasks and the cluster."""
+    """Adds up the arrays ``per_batch(statistics, labels, parts)`` gives by chunk, over batches, tasks and the cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             if batch.num_rows:
-                part = per_batch(_matrix(batch.column(0)), batch.column(1).to_numpy().astype(float))
+                part = per_batch(_matrix(batch.column(0)), batch.column(1).to_numpy().astype(float), batch.column(2).to_numpy())
                 total = part if total is None else total + part
         if total is not None:
             yield pa.RecordBatch.from_pydict({"chunk": list(range(len(total))), "values": [row.tobytes() for row in total]}, schema=pa.schema([("chunk", pa.int64()), ("values", pa.binary())]))
 
-    return add_up(labelled.select("statistics", "quality").mapInArrow(run, "chunk long, values binary"), "<f8")
+    part = F.pmod(F.xxhash64("statistics"), F.lit(FOLDS)).cast("int")
+    return add_up(labelled.select("statistics", F.col("quality").cast("int"), part).mapInArrow(run, "chunk long, values binary"), "<f8")
 
 
 def fit(labelled: DataFrame, features: int = FEATURES, width: float = WIDTH, ridge: float = RIDGE):
     """The scorer of rows of statistics, learned from columns statistics and quality (0 or 1); None without rows."""
-    moments = _sums(labelled, lambda x, y: np.array([np.full(x.shape[1], len(x)), x.sum(axis=0), (x * x).sum(axis=0)]))
+    moments = _sums(labelled, lambda x, y, part: np.array([np.full(x.shape[1], len(x)), x.sum(axis=0), (x * x).sum(axis=0)]))
     if not moments:
         return None
     n, mean = moments[0][0], moments[1] / moments[0]
     kernel = Kernel(mean, np.sqrt(np.maximum(0, moments[2] / moments[0] - mean**2)), features, width)
 
-    def normal(x, y):
+    def normal(x, y, part):
         z = kernel.features(x)
-        return np.vstack([z.T @ z, y @ z])
+        each = (part == k for k in range(FOLDS))
+        return np.vstack([np.vstack([z[own].T @ z[own], y[own] @ z[own], np.full(z.shape[1], own.sum())]) for own in each])
 
     sums = _sums(labelled, normal)
-    gram = np.array([sums[i] for i in range(len(sums) - 1)])
-    weights = np.linalg.solve(gram + ridge * n * np.eye(len(gram)), sums[len(sums) - 1])
+    parts = np.array([sums[i] for i in range(len(sums))]).reshape(FOLDS, -1, len(sums[0]))
 
-    def count(x, y):
-        at = _bin(kernel.features(x) @ weights)
+    def solve(total):
+        return np.linalg.solve(total[:-2] + ridge * max(1.0, total[-1, 0]) * np.eye(total.shape[1]), total[-2])
+
+    weights = solve(parts.sum(axis=0))
+    without = np.array([solve(parts.sum(axis=0) - p) for p in parts])
+
+    def count(x, y, part):
+        at = _bin((kernel.features(x) * without[part]).sum(axis=1))
         return np.array([np.bincount(at, minlength=BINS), np.bincount(at, y, BINS)], float)
 
     seen = _sums(labelled, count)
