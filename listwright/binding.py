@@ -109,7 +109,7 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda e: F.expr(e).cast("double")
-    return observations(spark, sf_dir).where("l_linenumber % 2 = 1").withColumns({
+    return observations(spark, sf_dir).withColumns({
         "product_cost": F.when(F.expr("l_partkey % 7 <> 0"), half_up(F.col("selling_price") * 0.4)),
         "shipping_cost": number("CASE WHEN l_partkey % 9 <> 4 THEN 30 + l_partkey % 50 END"),
         "packaging_cost": number("l_partkey % 20"),
@@ -122,7 +122,7 @@ def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pain_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = table(spark, sf_dir, "lineitem").where("l_partkey % 9 <> 0").groupBy(
+    grouped = table(spark, sf_dir, "lineitem").groupBy(
         "l_partkey", "l_returnflag", "l_linestatus", "l_linenumber"
     ).agg(F.count(F.lit(1)).alias("mention_count"))
     return grouped.select(

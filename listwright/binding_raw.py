@@ -84,12 +84,12 @@ RESEARCH = {
     "dataset_status": "CASE WHEN p_partkey % 18 = 4 THEN 'sample' WHEN p_partkey % 5 = 0 THEN 'verified' ELSE '' END",
     "verification_requested": _FLAG.format(n=4),
 }
-#: Products on file before the import: some parts, under the keys their rows carry.
+#: Products on file before the import: every part, one of seven under the keys its rows carry, the others under keys no row has.
 STORED = {
     "product_id": "'S' || p_partkey", "marketplace": f"lower({_MARKET})",
-    "external_id": "CASE WHEN p_partkey % 4 < 2 THEN 'X' || (p_partkey - p_partkey % 8) || CASE WHEN p_partkey % 8 = 4 THEN 'b' ELSE '' END END",
-    "url": "'https://shop' || (p_partkey % 7) || '.in/dp/' || (p_partkey - p_partkey % 3) || CASE WHEN p_partkey % 10 = 0 THEN '' ELSE '/old' END",
-    "normalized_name": "lower(p_name) || ' ' || (p_partkey % 5)",
+    "external_id": "CASE WHEN p_partkey % 4 < 2 THEN 'X' || (p_partkey - p_partkey % 8) || CASE WHEN p_partkey % 8 = 4 THEN 'b' ELSE '' END || CASE WHEN p_partkey % 7 = 3 THEN '' ELSE 'z' END END",
+    "url": "'https://shop' || (p_partkey % 7) || '.in/dp/' || (p_partkey - p_partkey % 3) || CASE WHEN p_partkey % 7 <> 3 THEN '/off/' || p_partkey WHEN p_partkey % 10 = 0 THEN '' ELSE '/old' END",
+    "normalized_name": "lower(p_name) || ' ' || (p_partkey % 5) || CASE WHEN p_partkey % 7 = 3 THEN '' ELSE ' off list' END",
     "dataset_status": "CASE p_partkey % 3 WHEN 0 THEN 'SAMPLE' WHEN 1 THEN 'UNVERIFIED' ELSE 'VERIFIED' END",
     "name": "p_name", "brand": "p_brand", "source_name": "'Field Notes'",
 }
@@ -101,7 +101,7 @@ def raw(spark: SparkSession, sf_dir: str, cells: dict[str, str]) -> DataFrame:
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binding.table(spark, sf_dir, "part").where("p_partkey % 7 = 3").select(*[F.expr(e).alias(c) for c, e in STORED.items()])
+    return binding.table(spark, sf_dir, "part").select(*[F.expr(e).alias(c) for c, e in STORED.items()])
 
 
 def sql(cells: dict[str, str]) -> str:
@@ -109,4 +109,4 @@ def sql(cells: dict[str, str]) -> str:
 
 
 def stored_sql() -> str:
-    return "SELECT " + ", ".join(f"{e} AS {c}" for c, e in STORED.items()) + " FROM part WHERE p_partkey % 7 = 3"
+    return "SELECT " + ", ".join(f"{e} AS {c}" for c, e in STORED.items()) + " FROM part"

@@ -10,6 +10,11 @@ from listwright.fixed import FALSE_TOKENS, NULL_TOKENS, RISK_LEVELS, TRUE_TOKENS
 # Unicode whitespace (with the no-break space) and the byte-order mark.
 _SPACES = "\t\n\v\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 _SPACE = r"(?U)[\s\x{FEFF}]"
+#: (shape, format) of dates that are not ISO; month names are English.
+_DATE_FORMS = [
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"), (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}$", "yyyy/M/d H:mm"), (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (r"^\d{1,2} \p{L}{3} \d{4}$", "d MMM yyyy"), (r"^\d{1,2} \p{L}{4,} \d{4}$", "d MMMM yyyy"), (r"^\p{L}{3} \d{1,2}, \d{4}$", "MMM d, yyyy"), (r"^\p{L}{4,} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+]
 _NUMBER = r"^(?:[Rr][Ss]\.?)?([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
 
@@ -61,8 +66,10 @@ def pipe_list(c: Column, clean: bool = False) -> Column:
 
 
 def instant(c: Column, clean: bool = False) -> Column:
-    """ISO dates and timestamps, with or without an offset (UTC where there is none)."""
-    return _value(c, clean).try_cast("timestamp")
+    """Dates with or without a time (UTC where there is no offset): ISO, then the other common forms. A time alone is no date."""
+    raw = _value(c, clean)
+    iso_form = F.when(raw.rlike(r"^[+-]?\d{4,}(-|$)"), raw.try_cast("timestamp"))
+    return F.coalesce(iso_form, *[F.when(raw.rlike(shape), F.try_to_timestamp(raw, F.lit(form))) for shape, form in _DATE_FORMS])
 
 
 def risk_level(c: Column, clean: bool = False) -> Column:

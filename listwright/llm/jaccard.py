@@ -5,13 +5,14 @@ A document's set holds its distinct shingles of ``N`` words as 64-bit hashes. Eq
 1. groups: nodes that agree in two MinHash values share a bucket, each bucket's best connected node is its centre,
    and every node is compared exactly with the centre it shares most buckets with. The components of these links are
    the groups: real links, so nothing in a group has to be compared again.
-2. matrix: tokens are ordered by how often they occur (a count of all documents in a table of fixed size), rarest
-   first. Of a similar pair the rarest token they share stands in both prefixes of ``n - ceil(0.75 n) + 1`` tokens, with
+2. matrix: tokens are ordered by how often they occur (from tables of fixed size over all documents: which tokens
+   some task met twice, and how often each occurs), rarest first. Of a similar pair the rarest token they share stands in both prefixes of ``n - ceil(0.75 n) + 1`` tokens, with
    enough tokens left behind it (positional filter). The matrix holds one row per token and group, with the
    group's range of set sizes. Groups with a token in common that passes the length and positional filters are candidates.
 3. bound: the nodes of the smaller group ask the blocks (up to about ``BLOCK`` nodes) of the other one. A block's token union
    bounds the overlap with each of its nodes; only where the bound reaches 0.75 of the query is the block opened and
-   its nodes compared exactly. A query needs one link to a group, since the group is connected already.
+   its nodes compared exactly. Before whole sets are moved, parity bits of fixed size, which differ no more than the
+   sets do, rule out most queries and nodes. A query needs one link to a group, since the group is connected already.
 
 The components of all links are exact: what isn't compared is already connected or can't link. A hot token, group or
 centre is never gathered: the matrix has one row per token and group, blocks have a bounded size, and the queries of a
@@ -27,7 +28,8 @@ itself; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +46,12 @@ N = 5
 ABOVE, BELOW = 3, 4
 #: MinHash values, two to a bucket.
 HASHES = 16
-#: Fixed sizes: counters of the token counts, hashed ids that choose texts, nodes of a block, queries of a task's share of a block.
-COUNTERS, BITS, BLOCK, SHARE = 1 << 20, 1 << 20, 64, 512
+#: Fixed sizes, as powers of two: counters of token counts, bits of repeated tokens, hashed ids that choose texts.
+COUNTERS, MARKS, BITS = 20, 26, 20
+#: Parity bits of a set.
+PARITY = 4096
+#: Nodes of a block, queries of one task's share of a block, buckets a node has to share with its centre.
+BLOCK, SHARE, VOTES = 64, 512, 2
 _MULTIPLIERS = np.random.default_rng(20).integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 BUCKETS = [f"b{i}" for i in range(HASHES // 2)]
@@ -92,14 +98,16 @@ def prefix(n: int) -> int:
 
 
 def _profile(docs: DataFrame) -> DataFrame:
-    """One pass: a row per document (kind 0: doc_id, n, node, MinHash buckets) and the token counts of each task (kind 1)."""
+    """One pass: a row per document (kind 0: doc_id, n, node, MinHash buckets), the token counts of each task (kind 1) and the tokens a task met twice (kind 2)."""
     names = ["kind", "doc_id", "n", "node", *BUCKETS, "chunk", "counts"]
     schema = ", ".join(f"{c} {'binary' if c == 'counts' else 'long'}" for c in names)
     chunk = 1 << 14
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, open_sets, waiting = np.zeros(COUNTERS, np.int64), [], 0
-        shift = np.uint64(64 - COUNTERS.bit_length() + 1)
+        counts, open_sets, waiting = np.zeros(1 << COUNTERS, np.int64), [], 0
+        met, twice = np.zeros(1 << MARKS, bool), []
+        shift, mark_shift = np.uint64(64 - COUNTERS), np.uint64(64 - MARKS)
+        add = lambda: counts + np.bincount(np.concatenate(open_sets).astype(np.int64), minlength=len(counts))
         for batch in batches:
             rows = []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -110,37 +118,62 @@ def _profile(docs: DataFrame) -> DataFrame:
                 least = (_MULTIPLIERS[:, None] * tokens).min(axis=1)
                 buckets = ((least[0::2] * _STEP) ^ least[1::2]).astype(np.int64).tolist()
                 rows.append((0, doc_id, len(tokens), node_of(tokens), *buckets, None, None))
+                marks = (tokens >> mark_shift).astype(np.int64)
+                twice.append(marks[met[marks]])
+                met[marks] = True
                 open_sets.append(tokens >> shift)
                 waiting += len(tokens)
-                if waiting > COUNTERS:
-                    counts += np.bincount(np.concatenate(open_sets).astype(np.int64), minlength=COUNTERS)
-                    open_sets, waiting = [], 0
+                if waiting > len(counts):
+                    counts, open_sets, waiting, twice = add(), [], 0, [np.unique(np.concatenate(twice))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "counts" else pa.int64()) for c, k in zip(zip(*rows), names)], names=names)
         if open_sets:
-            counts += np.bincount(np.concatenate(open_sets).astype(np.int64), minlength=COUNTERS)
+            counts = add()
         if counts.any():
-            rows = [(1, *[None] * (3 + len(BUCKETS)), i, counts[i * chunk : (i + 1) * chunk].astype("<i8").tobytes()) for i in range(COUNTERS // chunk)]
+            blank = [None] * (3 + len(BUCKETS))
+            rows = [(1, *blank, i, counts[i * chunk : (i + 1) * chunk].astype("<i8").tobytes()) for i in range(len(counts) // chunk)]
+            marks = np.unique(np.concatenate(twice))
+            edges = np.searchsorted(marks, np.arange(0, len(met) + 1, 1 << COUNTERS))
+            rows += [(2, *blank, i, marks[a:b].astype("<i4").tobytes()) for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "counts" else pa.int64()) for c, k in zip(zip(*rows), names)], names=names)
 
     return stage(docs.mapInArrow(run, schema), "jaccard-profile")
 
 
+def _repeated(profile: DataFrame) -> np.ndarray:
+    """Packed bits of the tokens some task met twice; of fixed size."""
+
+    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, marks in zip(*(c.to_pylist() for c in batch.columns)):
+                own = bits.setdefault(chunk, np.zeros(1 << COUNTERS, bool))
+                own[np.frombuffer(marks, "<i4") & ((1 << COUNTERS) - 1)] = True
+        if bits:
+            yield pa.RecordBatch.from_pydict({"chunk": list(bits), "marks": [np.packbits(b, bitorder="little").tobytes() for b in bits.values()]}, schema=pa.schema([("chunk", pa.int64()), ("marks", pa.binary())]))
+
+    size = (1 << COUNTERS) // 8
+    out = np.zeros((1 << MARKS) // 8, np.uint8)
+    for row in profile.where("kind = 2").select("chunk", "counts").repartition("chunk").mapInArrow(union, "chunk long, marks binary").collect():
+        out[row["chunk"] * size : (row["chunk"] + 1) * size] = np.frombuffer(row["marks"], np.uint8)
+    return out
+
+
 def _levels(profile: DataFrame) -> np.ndarray:
-    """Twice the logarithm of each counter; a fixed number of rows reaches the driver."""
+    """Twice the logarithm of each counter, plus one; a fixed number of rows reaches the driver."""
 
     sums = add_up(profile.where("kind = 1").select("chunk", F.col("counts").alias("values")), "<i8")
-    counts = np.concatenate([sums[i] for i in sorted(sums)]) if sums else np.zeros(COUNTERS)
-    return np.floor(2 * np.log2(counts + 1)).astype(np.uint8)
+    counts = np.concatenate([sums[i] for i in sorted(sums)]) if sums else np.zeros(1 << COUNTERS)
+    return 1 + np.floor(2 * np.log2(counts + 1)).astype(np.uint8)
 
 
-def _prefixes(texts: DataFrame, levels: np.ndarray) -> DataFrame:
+def _prefixes(texts: DataFrame, levels: np.ndarray, repeated: np.ndarray) -> DataFrame:
     """token, node, size (set size in the upper, tokens from this one on in the lower 32 bits) for the prefix of each document."""
-    shared = texts.sparkSession.sparkContext.broadcast(levels)
+    shared = texts.sparkSession.sparkContext.broadcast((levels, repeated))
     names = ["token", "node", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, shift = shared.value, np.uint64(64 - COUNTERS.bit_length() + 1)
+        (level, marked), shift, mark_shift = shared.value, np.uint64(64 - COUNTERS), np.uint64(64 - MARKS)
         out: list[tuple[np.ndarray, ...]] = []
         rows = 0
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
@@ -149,8 +182,10 @@ def _prefixes(texts: DataFrame, levels: np.ndarray) -> DataFrame:
                 tokens = shingles(text)
                 if (n := len(tokens)) == 0:
                     continue
-                # Sorted by value already, so a stable sort by level orders by (level, token).
-                first = np.argsort(level[tokens >> shift], kind="stable")[: prefix(n)]
+                marks = (tokens >> mark_shift).astype(np.int64)
+                often = (marked[marks >> 3] >> (marks & 7).astype(np.uint8)) & 1
+                # Sorted by value already, so a stable sort orders by (met once or how often, token).
+                first = np.argsort(level[tokens >> shift] * often, kind="stable")[: prefix(n)]
                 out.append((tokens[first].astype(np.int64), np.full(len(first), node_of(tokens)), (n << 32) + n - np.arange(len(first), dtype=np.int64)))
                 rows += len(first)
                 if rows > 100_000:
@@ -162,10 +197,16 @@ def _prefixes(texts: DataFrame, levels: np.ndarray) -> DataFrame:
     return texts.mapInArrow(run, "token long, node long, size long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, tokens (sorted 64-bit hashes) of the wanted (node, doc_id)."""
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS)).cast("int").alias("bit")
-    bits = wanted.select(bit(F.col("rep"))).distinct()  # BITS rows at most
+def parity(tokens: np.ndarray) -> bytes:
+    """A bit for each of PARITY counters: whether an odd number of tokens fell on it. Sets that differ in d tokens differ in d bits at most."""
+    odd = np.bincount((tokens & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, form: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """node, n, payload (``form`` of the sorted hashes) of the wanted (node, doc_id)."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITS)).cast("int").alias("bit")
+    bits = wanted.select(bit(F.col("rep"))).distinct()  # 2 ** BITS rows at most
     some = docs.select("doc_id", "text", bit(F.col("doc_id"))).join(F.broadcast(bits), "bit", "left_semi").select("doc_id", "text")
 
     def make():
@@ -173,7 +214,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             rows = []
             for doc_id, text in zip(ids, texts):
                 if len(tokens := shingles(text)):
-                    rows.append((doc_id, node_of(tokens), tokens.tobytes()))
+                    rows.append((doc_id, node_of(tokens), len(tokens), form(tokens)))
                 if len(rows) >= 2_000:
                     yield rows
                     rows = []
@@ -181,13 +222,13 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
         return work
 
-    found = map_rows(some, make, "doc_id long, node long, tokens binary")
+    found = map_rows(some, make, "doc_id long, node long, n int, payload binary")
     found = found.join(wanted.select("node", "rep"), "node").where("doc_id = rep")
-    return found.groupBy("node").agg(F.first("tokens").alias("tokens"))
+    return found.groupBy("node").agg(F.first("n").alias("n"), F.first("payload").alias("payload"))
 
 
-def _links(sets: DataFrame, blocks: DataFrame, queries: DataFrame) -> DataFrame:
-    """a, b: for each query (block, slice, node) one similar node of its block (block, slice, node), if there is one.
+def _meet(sets: DataFrame, blocks: DataFrame, queries: DataFrame, answer: Callable[[list, int, int, bytes], list[int]]) -> DataFrame:
+    """block, slice, a, b: what ``answer`` gives for the nodes (node, n, payload) of a block and each of its queries.
 
     The queries of a block are dealt into shares by their number; a share gets its own copy of the block.
     """
@@ -199,42 +240,66 @@ def _links(sets: DataFrame, blocks: DataFrame, queries: DataFrame) -> DataFrame:
     rows = rows.repartition("block", "slice", "share").sortWithinPartitions("block", "slice", "share", "asks")
 
     def make():
-        state = {"key": None, "nodes": [], "union": None}
+        state = {"key": None, "nodes": []}
 
-        def work(block, part, share, asks, nodes, sets):
+        def work(block, part, share, asks, nodes, sizes, payloads):
             found = []
-            for k, asking, node, raw in zip(zip(block, part, share), asks, nodes, sets):
-                tokens = np.frombuffer(raw, np.uint64)
+            for k, asking, node, n, payload in zip(zip(block, part, share), asks, nodes, sizes, payloads):
                 if k != state["key"]:
-                    state.update(key=k, nodes=[], union=None)
-                if not asking:
-                    state["nodes"].append((node, tokens))
-                    continue
-                own = state["nodes"]
-                if state["union"] is None:
-                    state["union"] = own[0][1] if len(own) == 1 else np.unique(np.concatenate([t for _, t in own] or [tokens[:0]]))
-                if BELOW * overlap(tokens, state["union"]) < ABOVE * len(tokens):
-                    continue
-                for other, theirs in own:
-                    if other != node and BELOW * min(len(tokens), len(theirs)) >= ABOVE * max(len(tokens), len(theirs)) and similar(overlap(tokens, theirs), len(tokens), len(theirs)):
-                        found.append((node, other))
-                        break
+                    state.update(key=k, nodes=[])
+                if asking and state["nodes"]:  # a slice may have got no node
+                    found += [(k[0], k[1], node, other) for other in answer(state["nodes"], node, n, payload)]
+                elif not asking:
+                    state["nodes"].append((node, n, payload))
             yield found
 
         return work
 
-    return map_rows(rows.select("block", "slice", "share", "asks", "node", "tokens"), make, "a long, b long")
+    return map_rows(rows.select("block", "slice", "share", "asks", "node", "n", "payload"), make, "block long, slice int, a long, b long")
+
+
+def _possible(held: list[tuple[int, int, bytes]], node: int, n: int, payload: bytes) -> list[int]:
+    """The nodes whose parity bits allow a link: sets at the threshold differ in a seventh of their sizes at most."""
+    bits = np.frombuffer(payload, np.uint64)
+    differ = np.bitwise_count(np.frombuffer(b"".join(h[2] for h in held), np.uint64).reshape(len(held), -1) ^ bits).sum(axis=1)
+    return [other for (other, m, _), d in zip(held, differ) if other != node and (ABOVE + BELOW) * int(d) <= (BELOW - ABOVE) * (n + m)]
+
+
+def _linked(held: list[tuple[int, int, bytes]], node: int, n: int, payload: bytes) -> list[int]:
+    """One similar node of the block, if there is one: the block is opened only if its token union holds enough of the query."""
+    tokens = np.frombuffer(payload, np.uint64)
+    sets = [np.frombuffer(h[2], np.uint64) for h in held]
+    union = sets[0] if len(sets) == 1 else np.unique(np.concatenate(sets))
+    if BELOW * overlap(tokens, union) < ABOVE * n:
+        return []
+    for (other, m, _), theirs in zip(held, sets):
+        if other != node and BELOW * min(n, m) >= ABOVE * max(n, m) and similar(overlap(tokens, theirs), n, m):
+            return [other]
+    return []
+
+
+def _links(docs: DataFrame, nodes: DataFrame, blocks: DataFrame, queries: DataFrame) -> DataFrame:
+    """a, b: for each query (block, slice, node) one similar node of its block (block, slice, node), if there is one.
+
+    Parity bits, a fraction of the sets' size, go first and leave few queries and nodes for the sets themselves.
+    """
+    named = lambda *parts: nodes.join(reduce(lambda x, y: x.unionByName(y), [p.select("node") for p in parts]).distinct(), "node", "left_semi")
+    possible = stage(_meet(_sets(docs, named(blocks, queries), parity), blocks, queries, _possible), "jaccard-possible")
+    asked = possible.select("block", "slice", F.col("a").alias("node")).distinct()
+    opened = possible.select("block", "slice", F.col("b").alias("node")).distinct()
+    return stage(_meet(_sets(docs, named(asked, opened), np.ndarray.tobytes), opened, asked, _linked).select("a", "b"), "jaccard-links")
 
 
 def _centres(nodes: DataFrame) -> DataFrame:
-    """node, centre: the centre a node shares most buckets with. A bucket's centre is its node with the most bucket fellows."""
-    in_bucket = nodes.select("node", F.posexplode(F.array(*BUCKETS)).alias("at", "bucket"))
+    """node, centre: the centre a node shares most buckets with, VOTES at least. A bucket's centre is its node with the most bucket fellows."""
+    in_bucket = nodes.select("node", "n", F.posexplode(F.array(*BUCKETS)).alias("at", "bucket"))
     sizes = in_bucket.groupBy("at", "bucket").agg(F.count("*").alias("fellows")).where("fellows > 1")
     known = stage(in_bucket.join(sizes, ["at", "bucket"]), "jaccard-buckets")
     weight = known.groupBy("node").agg(F.sum("fellows").alias("weight"))
     ranked = known.join(weight, "node")
-    best = ranked.groupBy("at", "bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("centre"))
-    votes = ranked.join(best, ["at", "bucket"]).where("node <> centre").groupBy("node", "centre").count()
+    best = ranked.groupBy("at", "bucket").agg(F.max(F.struct("weight", "node", "n")).alias("best")).select("at", "bucket", F.col("best.node").alias("centre"), F.col("best.n").alias("size"))
+    alike = (F.least("n", "size") * BELOW >= F.greatest("n", "size") * ABOVE) & (F.col("node") != F.col("centre"))
+    votes = ranked.join(best, ["at", "bucket"]).where(alike).groupBy("node", "centre").count().where(F.col("count") >= VOTES)
     return votes.groupBy("node").agg(F.max(F.struct("count", "centre"))["centre"].alias("centre"))
 
 
@@ -258,7 +323,7 @@ def join(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id it is linked to directly or through others, itself included)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     profile = _profile(texts)
-    levels = _levels(profile)
+    levels, repeated = _levels(profile), _repeated(profile)
     rows = profile.where("kind = 0").select("doc_id", "n", "node")
     nodes = profile.where("kind = 0 and doc_id is not null and n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), *(F.min(b).alias(b) for b in BUCKETS))
     nodes = stage(nodes, "jaccard-nodes")
@@ -266,11 +331,10 @@ def join(docs: DataFrame) -> DataFrame:
     centres = stage(_centres(nodes), "jaccard-centres")
     around = centres.select(F.col("centre").alias("block"), F.lit(0).alias("slice"), "node")
     middles = centres.select(F.col("centre").alias("block"), F.lit(0).alias("slice"), F.col("centre").alias("node")).distinct()
-    wanted = nodes.join(around.select("node").unionByName(middles.select("node")).distinct(), "node", "left_semi")
-    groups = stage(_labels(nodes, _links(_sets(texts, wanted), middles, around)), "jaccard-groups")
+    groups = stage(_labels(nodes, _links(texts, nodes, middles, around)), "jaccard-groups")
 
     of_token = Window.partitionBy("token")
-    prefixes = _prefixes(texts.where("doc_id is not null").select("text"), levels)
+    prefixes = _prefixes(texts.where("doc_id is not null").select("text"), levels, repeated)
     shared = prefixes.withColumn("low", F.min("node").over(of_token)).withColumn("high", F.max("node").over(of_token)).where("low < high").drop("low", "high")
     pairs = _candidates(stage(shared.distinct(), "jaccard-prefixes"), groups)
 
@@ -282,9 +346,7 @@ def join(docs: DataFrame) -> DataFrame:
     asking = sided.join(groups.select("group", "node"), "group").select("block", "node", F.explode(F.sequence(F.lit(0), (F.col("slices") - 1).cast("int"))).alias("slice"))
     opened = sided.select(F.col("block").alias("group"), "slices").distinct().join(groups.select("group", "node"), "group")
     opened = opened.select(F.col("group").alias("block"), "node", F.pmod(F.xxhash64("node"), "slices").cast("int").alias("slice"))
-    involved = sided.select("group").unionByName(sided.select(F.col("block").alias("group"))).distinct()
-    wanted = groups.join(involved, "group", "left_semi")
-    found = stage(_links(_sets(texts, wanted), opened, asking), "jaccard-links")
+    found = _links(texts, nodes, opened, asking)
 
     name = groups.select("node", "group")
     between = found.join(name.withColumnsRenamed({"node": "a", "group": "ga"}), "a").join(name.withColumnsRenamed({"node": "b", "group": "gb"}), "b")

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listwright.functions.text import identity_key, name_key
+from listwright.operators.graph import components
 from listwright.session import stage
 
-#: Rounds before the rest may be finished in one task, and how many rows that task may get.
+#: Rounds of winners before the open rows are decided component by component.
 ROUNDS = 2
-FINISH_ROWS = 200_000
 
 
 def with_keys(listings: DataFrame) -> DataFrame:
@@ -25,10 +25,13 @@ def with_keys(listings: DataFrame) -> DataFrame:
 
 
 def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    identities, names = set(), set()
+    """The row-by-row rule for rows sorted by (component, record number)."""
+    component, identities, names = None, set(), set()
     for pdf in batches:
         keep = []
-        for identity, name in zip(pdf["identity_key"], pdf["name_key"]):
+        for root, identity, name in zip(pdf["root"], pdf["identity_key"], pdf["name_key"]):
+            if root != component:
+                component, identities, names = root, set(), set()
             fresh = identity not in identities and name not in names
             if fresh:
                 identities.add(identity)
@@ -37,25 +40,20 @@ def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
 
 
-def keep_first(keyed: DataFrame, rounds: int = ROUNDS, finish_rows: int = FINISH_ROWS) -> DataFrame:
+def keep_first(keyed: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``record_no`` of the kept rows, as the row-by-row rule keeps them.
 
     A row is kept if neither of its keys was registered by an earlier *kept* row. Copies with both
     keys alike are folded to their first row before anything is shuffled by a single key. Each
     round then keeps the open rows that come first under both of their keys and drops the open
-    rows that share a key with them; what stays open is decided in the next round. The winners are
-    aggregated per key and joined on the unique record number, so a hot key never meets itself.
+    rows that share a key with them. The winners are aggregated per key and joined on the unique record number, so a hot
+    key never meets itself. Rows that are still open are chains of keys; rows of different components of their
+    keys can't touch each other, so the rule runs over the components side by side, each streamed in record order.
     """
     columns = ["identity_key", "name_key", "record_no"]
     pairs = keyed.groupBy("identity_key", "name_key").agg(F.min("record_no").alias("record_no")).select(*columns)
     undecided, kept = stage(pairs, "undecided"), []
-    done = 0
-    while True:
-        left = undecided.limit(finish_rows + 1).count() if done >= rounds else None
-        if left is not None and left <= finish_rows:
-            if left:
-                kept.append(undecided.coalesce(1).sortWithinPartitions("record_no").mapInPandas(_finish, undecided.schema))
-            break
+    for _ in range(rounds):
         first = lambda key: undecided.groupBy(key).agg(F.min_by(F.struct(*columns), "record_no").alias("r")).select("r.*")
         winners = stage(first("identity_key").join(first("name_key").select("record_no"), "record_no", "left_semi").select(*columns), "winners")
         kept.append(winners)
@@ -64,10 +62,14 @@ def keep_first(keyed: DataFrame, rounds: int = ROUNDS, finish_rows: int = FINISH
             .join(winners.select("name_key"), "name_key", "left_anti").select(*columns),
             "undecided",
         )
-        done += 1
         if undecided.isEmpty():
             break
-    return reduce(lambda a, b: a.unionByName(b), kept).select("record_no")
+    else:
+        linked = undecided.withColumns({"a": F.xxhash64(F.lit("identity"), "identity_key"), "b": F.xxhash64(F.lit("name"), "name_key")})
+        roots = components(linked.select("a", "b")).select(F.col("node").alias("a"), "root")
+        open_rows = linked.join(roots, "a").select("root", *columns).repartition("root").sortWithinPartitions("root", "record_no")
+        kept.append(open_rows.mapInPandas(_finish, open_rows.schema))
+    return reduce(lambda a, b: a.unionByName(b), [k.select("record_no") for k in kept])
 
 
 def split_duplicates(keyed: DataFrame, **options) -> DataFrame:

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from listwright.fixed import COST_FIELDS, GATEWAY_FEE_TYPE, PERCENTAGE_FEE_TYPES
 from listwright.functions.numbers import half_up
-from listwright.operators.skew import is_small
 
 def fee_schedule(fees: DataFrame, as_of: dt.date) -> tuple[DataFrame, DataFrame]:
     """(category fees, marketplace defaults) in force on ``as_of``: one array per key, newest row per fee type."""
@@ -33,11 +32,9 @@ def with_fees(products: DataFrame, fees: DataFrame, as_of: dt.date) -> DataFrame
 
     Per fee type a row of the product's category beats the default, even a newer one.
     """
-    small = is_small(fees)  # neither schedule has more rows than the fee table
-    own, default = fee_schedule(fees.coalesce(1) if small else fees, as_of)
-    if small:
-        own, default = F.broadcast(own), F.broadcast(default)
-    joined = products.join(own, ["marketplace", "category"], "left").join(default, "marketplace", "left")
+    own, default = fee_schedule(fees, as_of)
+    # One row per marketplace; the category schedule's size decides at run time whether it is broadcast.
+    joined = products.join(own, ["marketplace", "category"], "left").join(F.broadcast(default), "marketplace", "left")
     none = F.array().cast(own.schema["_own"].dataType)
     specific, general = F.coalesce("_own", none), F.coalesce("_default", none)
     inherited = F.filter(general, lambda d: ~F.exists(specific, lambda o: o["fee_type"] == d["fee_type"]))

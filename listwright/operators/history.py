@@ -113,9 +113,7 @@ def changed_on_arrival(
         known = on_file.select(key, F.unix_micros(at).alias("_entry_at"), _signature(fields).alias("_entry_sig"))
         entry = lambda df: df.join(known, key, "left")
     calm, hot = split_hot(rows, [key], limit)
-    parts = []
-    if calm is not None:
-        parts.append(_replay(entry(calm.withColumn("_slice", F.lit(0).cast("long"))), key, arrival, at))
+    parts = [_replay(entry(calm.withColumn("_slice", F.lit(0).cast("long"))), key, arrival, at)]
     if hot is not None:
         cut = stage(entry(hot.withColumn("_slice", F.floor(F.col(arrival) / limit).cast("long"))), "arrival-slices")
         first = cut.groupBy(key, "_slice").agg(F.first("_entry_at").alias("_entry_at"), F.first("_entry_sig").alias("_entry_sig"))

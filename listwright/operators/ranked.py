@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from listwright.operators.skew import broadcast_checked, ranked
+from listwright.operators.skew import ranked
 
 SORTABLE = {
     "finalScore": "final_score",
@@ -68,8 +68,8 @@ class ProductQuery:
 
 def rank_base(products: DataFrame, scores: DataFrame, marketplaces: DataFrame, sources: DataFrame) -> DataFrame:
     """Product with its score, marketplace name and data source; ``marketplace_slug`` stays for filters."""
-    names = broadcast_checked(marketplaces.select(F.col("slug").alias("marketplace"), "marketplace_name"))
-    origin = broadcast_checked(sources.select("data_source_id", F.col("name").alias("_source")))
+    names = marketplaces.select(F.col("slug").alias("marketplace"), "marketplace_name")
+    origin = sources.select("data_source_id", F.col("name").alias("_source"))
     joined = products.join(scores, "product_id", "left").join(names, "marketplace", "left").join(origin, "data_source_id", "left")
     empty = F.array().cast("array<string>")
     return joined.withColumns({
@@ -119,11 +119,13 @@ def _order(q: ProductQuery) -> list[Column]:
 
 
 def page(base: DataFrame, q: ProductQuery) -> DataFrame:
-    """One page with rank numbers: top (offset + limit) rows first, numbered only then."""
+    """One page with rank numbers: the first page numbers its rows only, a later one numbers all rows by ranges."""
     order = _order(q)
-    top = filtered(base, q).orderBy(*order).limit(q.offset + q.limit)
-    numbered = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
-    return numbered.where(F.col("rank") > q.offset)
+    rows = filtered(base, q)
+    if q.offset:
+        rank = F.col("rank")
+        return ranked(rows, order, "rank").withColumn("rank", rank.cast("long")).where((rank > q.offset) & (rank <= q.offset + q.limit))
+    return rows.orderBy(*order).limit(q.limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def total(base: DataFrame, q: ProductQuery) -> DataFrame:

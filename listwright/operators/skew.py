@@ -17,84 +17,59 @@ from listwright.session import stage
 
 #: Rows one key may bring into one task.
 GROUP_LIMIT = 500_000
-#: Slices of one table; with it the summary rows that are broadcast or ordered in one task are bounded too.
-MAX_SLICES = 10_000
-#: Hot keys listed on the driver; beyond that every row goes through the slices.
-HOT_LIMIT = 10_000
-#: Broadcast sides whose row count was checked.
-BROADCAST_ROWS = 100_000
+#: Slices whose summary rows are added up in one task; those tasks' sums are added up once more.
+SLICE_GROUP = 1_000
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    return df.limit(rows + 1).count() <= rows
-
-
-def broadcast_checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a dimension that was counted and found small; unchanged otherwise."""
-    return F.broadcast(df) if is_small(df, rows) else df
-
-
-def hot_keys(df: DataFrame, keys: list[str], limit: int = GROUP_LIMIT) -> list | None:
-    """Keys with more than ``limit`` rows, or None when there are too many to list."""
-    found = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-        .select(*keys).limit(HOT_LIMIT + 1).collect()
-    )
-    return found if len(found) <= HOT_LIMIT else None
-
-
-def split_hot(df: DataFrame, keys: list[str], limit: int = GROUP_LIMIT) -> tuple[DataFrame | None, DataFrame | None]:
-    """(rows of ordinary keys, rows of hot keys); a missing part is None."""
-    found = hot_keys(df, keys, limit)
-    if found is None:
-        return None, df
-    if not found:
+def split_hot(df: DataFrame, keys: list[str], limit: int = GROUP_LIMIT) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary keys, rows of hot keys, None if no key is hot). Hot keys stay a table and are joined, whatever their number."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+    hot = stage(counts, "hot-keys")
+    if hot.isEmpty():
         return df, None
-    key_types = df.select(*keys).schema
-    listed = F.broadcast(df.sparkSession.createDataFrame(found, key_types))
-    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(listed[k]) for k in keys])
-    return df.join(listed, same, "left_anti"), df.join(listed, same, "left_semi")
+    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(hot[f"_hot_{k}"]) for k in keys])
+    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
 
 
 def slices(df: DataFrame, order: list[Column], name: str, rows_per_slice: int) -> DataFrame:
-    """Range-partitioned, written copy of ``df`` with ``_slice``, ascending along ``order``.
+    """Range-partitioned, written copy of ``df``: ``_slice`` ascends along ``order``, ``_within`` counts from 1 inside a slice.
 
     ``order`` must be a total order: equal rows would share a slice. The input is written first, as
-    counting, sampling the range bounds and shuffling would each run it again.
+    counting, sampling the range bounds and shuffling would each run it again. A row's place in its sorted partition is
+    in the low bits of its id, so numbering takes no further shuffle.
     """
     held = stage(df, name)
-    n = max(1, min(MAX_SLICES, -(-held.count() // rows_per_slice)))
+    n = max(1, -(-held.count() // rows_per_slice))
     ranged = held.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    return stage(ranged.withColumn("_slice", F.spark_partition_id()), name)
+    placed = ranged.withColumn("_id", F.monotonically_increasing_id())
+    return stage(placed.withColumns({"_slice": F.shiftright("_id", 33), "_within": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1}).drop("_id"), name)
 
 
 def ranked(df: DataFrame, order: list[Column], out: str, rows_per_slice: int = GROUP_LIMIT) -> DataFrame:
-    """``out`` = 1-based position of every row in the total order, without a one-task window."""
+    """``out`` = 1-based position of every row in the total order, without a one-task window over rows."""
     cut = slices(df, order, "ranked", rows_per_slice)
-    # one row per slice, at most MAX_SLICES: small enough to add up in one task and to broadcast
-    counts = cut.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = F.broadcast(counts.select("_slice", F.coalesce(before, F.lit(0)).alias("_before")))
-    within = F.row_number().over(Window.partitionBy("_slice").orderBy(*order))
-    numbered = cut.withColumn("_within", within).join(offsets, "_slice")
-    return numbered.withColumn(out, F.col("_within") + F.col("_before")).drop("_slice", "_within", "_before")
+    counts = cut.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n")).withColumn("_group", F.floor(F.col("_slice") / SLICE_GROUP))
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    groups = counts.groupBy("_group").agg(F.sum("_n").alias("_sum"))
+    groups = groups.select("_group", F.coalesce(F.sum("_sum").over(ahead(Window.orderBy("_group"))), F.lit(0)).alias("_ahead"))
+    inside = F.coalesce(F.sum("_n").over(ahead(Window.partitionBy("_group").orderBy("_slice"))), F.lit(0))
+    offsets = counts.withColumn("_inside", inside).join(groups, "_group").select("_slice", (F.col("_inside") + F.col("_ahead")).alias("_before"))
+    return cut.join(offsets, "_slice").withColumn(out, F.col("_within") + F.col("_before")).drop("_slice", "_within", "_before")
 
 
 def ranked_within(df: DataFrame, keys: list[str], order: list[Column], out: str, limit: int = GROUP_LIMIT) -> DataFrame:
     """1-based position inside each key; a hot key is numbered slice by slice."""
     calm, hot = split_hot(df, keys, limit)
-    parts = []
-    if calm is not None:
-        parts.append(calm.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")))
-    if hot is not None:
-        cut = slices(hot, [F.col(k) for k in keys] + order, "ranked-within", limit)
-        counts = cut.groupBy("_slice", *keys).agg(F.count(F.lit(1)).alias("_n"))
-        running = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-        before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(running), F.lit(0))).drop("_n")
-        within = F.row_number().over(Window.partitionBy("_slice", *keys).orderBy(*order))
-        joined = cut.withColumn("_within", within).join(before, ["_slice", *keys])
-        parts.append(joined.withColumn(out, (F.col("_within") + F.col("_before")).cast("long")).drop("_slice", "_within", "_before"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    numbered = calm.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+    if hot is None:
+        return numbered
+    cut = slices(hot, [F.col(k) for k in keys] + order, "ranked-within", limit).drop("_within")
+    counts = cut.groupBy("_slice", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    running = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(running), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy("_slice", *keys).orderBy(*order))
+    joined = cut.withColumn("_within", within).join(before, ["_slice", *keys])
+    return numbered.unionByName(joined.withColumn(out, (F.col("_within") + F.col("_before")).cast("long")).drop("_slice", "_within", "_before"))
 
 
 def with_previous(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, limit: int = GROUP_LIMIT) -> DataFrame:
@@ -103,14 +78,12 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], value: str,
     ``value`` must not be NULL (pass a struct to carry several columns).
     """
     calm, hot = split_hot(df, keys, limit)
-    parts = []
-    if calm is not None:
-        parts.append(calm.withColumn(out, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order))))
-    if hot is not None:
-        cut = slices(hot, [F.col(c) for c in [*keys, *order]], "previous", limit)
-        last = cut.groupBy("_slice", *keys).agg(F.max_by(value, F.struct(*order)).alias("_last"))
-        carried = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice"))).drop("_last")
-        inside = F.lag(value).over(Window.partitionBy("_slice", *keys).orderBy(*order))
-        joined = cut.withColumn("_inside", inside).join(carried, ["_slice", *keys], "left")
-        parts.append(joined.withColumn(out, F.coalesce("_inside", "_carry")).drop("_slice", "_inside", "_carry"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    seen = calm.withColumn(out, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
+    if hot is None:
+        return seen
+    cut = slices(hot, [F.col(c) for c in [*keys, *order]], "previous", limit).drop("_within")
+    last = cut.groupBy("_slice", *keys).agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    carried = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice"))).drop("_last")
+    inside = F.lag(value).over(Window.partitionBy("_slice", *keys).orderBy(*order))
+    joined = cut.withColumn("_inside", inside).join(carried, ["_slice", *keys], "left")
+    return seen.unionByName(joined.withColumn(out, F.coalesce("_inside", "_carry")).drop("_slice", "_inside", "_carry"))

@@ -130,9 +130,7 @@ def check_research(records: DataFrame, categories: list[str], now: Column) -> Da
 
 def unknown_marketplace(rows: DataFrame, marketplaces: DataFrame) -> DataFrame:
     """Adds ``known_marketplace``; the dimension is counted before it is broadcast."""
-    from listwright.operators.skew import broadcast_checked
-
-    known = broadcast_checked(marketplaces.select(F.col("slug").alias("marketplace")).distinct().withColumn("known_marketplace", F.lit(True)))
+    known = marketplaces.select(F.col("slug").alias("marketplace")).distinct().withColumn("known_marketplace", F.lit(True))
     return rows.join(known, "marketplace", "left").withColumn("known_marketplace", F.coalesce("known_marketplace", F.lit(False)))
 
 

@@ -124,12 +124,12 @@ CTES: dict[str, str] = {
       CAST((l_partkey % 13) * 2.25 AS DOUBLE) AS advertising_cost,
       CASE WHEN l_partkey % 3 <> 0 THEN CAST(l_partkey % 30 AS DOUBLE) END AS return_allowance,
       CASE WHEN l_partkey % 4 <> 0 THEN CAST((l_partkey % 6) * 1.125 AS DOUBLE) END AS other_costs
-      FROM obs WHERE l_linenumber % 2 = 1""",
+      FROM obs""",
     "pains": """SELECT 'P' || l_partkey AS product_id, CASE l_returnflag WHEN 'R' THEN 'complaint' WHEN 'A' THEN 'positive' ELSE 'opportunity' END AS type,
       l_returnflag || l_linestatus || l_linenumber AS theme, count(*) AS mention_count,
       any_value(CASE WHEN l_linestatus = 'O' THEN 'field notes' ELSE 'review desk' END) AS source_name,
       'https://reviews.in/' || l_partkey AS source_url, TIMESTAMP '2024-01-01' + to_seconds(l_partkey) AS collected_at
-      FROM lineitem WHERE l_partkey % 9 <> 0 GROUP BY l_partkey, l_returnflag, l_linestatus, l_linenumber""",
+      FROM lineitem GROUP BY l_partkey, l_returnflag, l_linestatus, l_linenumber""",
     "fees": f"SELECT * FROM (VALUES {FEES}) AS t(fee_id, marketplace, category, fee_type, fee_value, source, effective_date)",
     "marketplaces": f"SELECT * FROM (VALUES {MARKETPLACES}) AS t(slug, marketplace_name)",
     "sources": "SELECT * FROM (VALUES (0, 'manual_csv'), (1, 'real_data_import'), (2, 'tracker')) AS t(data_source_id, source)",

@@ -293,7 +293,8 @@ SQL = {
       UNION ALL SELECT record_no, coalesce(raw_name, raw_url), 'research', malformed FROM r_all WHERE malformed IS NOT NULL"""),
     "pain_point_shred": q("SELECT record_no, i - 1 AS position, pain_list[i].type AS type, pain_list[i].theme AS theme, pain_list[i].n AS mention_count FROM (SELECT record_no, pain_list, unnest(range(1, len(pain_list) + 1)) AS i FROM l)"),
     "csv_scan": q("SELECT record_no AS part, record_no + 2 AS record_no, name, url, selling_price FROM l"),
-    "json_scan": q("SELECT record_no AS part, record_no % 1000 + 1 AS position, name, url, marketplace, selling_price, competitor_count, verification_requested FROM r"),
+    "json_scan": q("""SELECT record_no AS part, n.position, name, url, marketplace, selling_price, competitor_count, verification_requested FROM r
+      JOIN (SELECT p_partkey, row_number() OVER (ORDER BY (p_partkey // 1000) || '/', p_partkey) AS position FROM part) n ON n.p_partkey = r.record_no"""),
     "validate_listings": q(f"SELECT record_no, {text('errors')} AS errors, {text('warnings')} AS warnings FROM l_checked"),
     "validate_research": q(f"SELECT record_no, code, errors, CASE WHEN code IS NULL THEN {text('warnings')} END AS warnings FROM r_checked"),
     "unknown_marketplaces": q("SELECT record_no, 'unknown marketplace ''' || marketplace || ''' — add it to the marketplaces table first' AS error FROM l WHERE marketplace NOT IN (SELECT slug FROM marketplaces)"),
@@ -332,10 +333,10 @@ SQL = {
         ("would_reject", "(SELECT record_no FROM r_all WHERE malformed IS NOT NULL UNION ALL SELECT record_no FROM r_checked WHERE code IS NOT NULL)"), ("warnings", "(SELECT * FROM r_checked WHERE code IS NULL AND len(warnings) > 0)"))
         + ") UNION ALL SELECT 'listing', * FROM (" + _ROWS(("submitted", "raw_l"), ("would_import", "l_ok"),
         ("would_reject", "(SELECT record_no FROM l_all WHERE malformed IS NOT NULL UNION ALL SELECT record_no FROM l_checked WHERE len(errors) > 0)"), ("warnings", "(SELECT * FROM l_ok WHERE len(warnings) > 0)")) + ")"),
-    "batch_source_names": q("SELECT string_agg(source_name, ', ' ORDER BY source_name) AS sources FROM (SELECT DISTINCT source_name FROM r WHERE source_name <> '')"),
+    "batch_source_names": q("SELECT DISTINCT source_name FROM r WHERE source_name <> ''"),
     "regate_stored": with_ctes(f"""SELECT product_id, CASE WHEN dataset_status = 'VERIFIED' AND source_name = 'seed_demo_data' THEN 'SAMPLE' WHEN doubtful THEN 'UNVERIFIED' ELSE dataset_status END AS dataset_status,
-      CASE WHEN dataset_status = 'VERIFIED' AND source_name = 'seed_demo_data' THEN 'Seed/demo data can never hold VERIFIED status.'
-        WHEN doubtful THEN 'Downgraded by the VerificationGate migration: the VERIFIED claim could not be supported by a real, traceable source.'
+      CASE WHEN dataset_status = 'VERIFIED' AND source_name = 'seed_demo_data' THEN 'Rows of the seed source are samples and cannot be VERIFIED.'
+        WHEN doubtful THEN 'The stored VERIFIED claim was withdrawn: its source or its address cannot be traced.'
         WHEN has_notes THEN 'claim refused' END AS notes
       FROM (SELECT *, dataset_status = 'VERIFIED' AND (len({reasons('url')}) > 0 OR len({reasons('source_url')}) > 0 OR {unattributed('source_name')}) AS doubtful FROM products)"""),
     "status_backfill": with_ctes(f"""SELECT product_id, CASE WHEN data_source_id = 2 THEN 'kept' ELSE {match_name('name')} END AS normalized_name,

@@ -74,7 +74,7 @@ SQL = {
     "tracker_history": q(f"SELECT CAST(part AS VARCHAR) AS asin, series, position, {iso('seen')} AS \"at\", value FROM points"),
     "tracker_price_and_rank": q(f"""SELECT CAST(part AS VARCHAR) AS asin, series, count(*) AS points, {iso('min(seen)')} AS first_at, {iso('max(seen)')} AS last_at, max_by(value, position) AS last_value
       FROM points WHERE series IN ('AMAZON', 'SALES_RANK') GROUP BY part, series"""),
-    "tracker_dump_scan": q("""SELECT p_partkey AS part, 1 AS record_no, asin, title, 19 AS series, buyBoxPrice AS buy_box, fba AS is_fba,
+    "tracker_dump_scan": q("""SELECT p_partkey AS part, row_number() OVER (ORDER BY p_partkey) AS record_no, 1 AS position, asin, title, 19 AS series, buyBoxPrice AS buy_box, fba AS is_fba,
       CASE WHEN p_partkey % 4 = 0 THEN -1 WHEN p_partkey % 4 = 1 THEN 3 ELSE 0 END AS images, packageLength FROM cells"""),
     "tracker_listings": q(f"""SELECT record_no, shown AS name, coalesce('https://amazon.in/dp/' || id, '') AS url, id AS external_id, maker AS brand, CASE WHEN p_partkey % 6 <> 0 THEN p_type END AS subcategory,
       CASE WHEN len(image_urls) > 0 THEN array_to_string(image_urls, '|') END AS image_urls, size AS sizes, nullif(color, '') AS colors, CASE WHEN p_partkey % 9 = 0 THEN 'V' || p_partkey END AS variants,

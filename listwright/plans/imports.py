@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from listwright import config, schemas
 from listwright.operators import dedupe, history, resolve, standardize, validate
 from listwright.session import stage
-from listwright.sources.tables import Store
+from listwright.sources.tables import Run, Store
 
 DUPLICATE = "another record in this submission already describes this product"
 CONFLICT = "the listing URL already belongs to another product"
@@ -158,25 +159,64 @@ def metrics_rows(resolved: DataFrame, metrics: DataFrame, order: list[str]) -> D
     return history.changed_on_arrival(rows, "product_id", "record_no", "collected_at", history.METRIC_TRIGGERS, on_file)
 
 
-def write_import(store: Store, raw: DataFrame, run_id: str, now: Column, marketplaces: DataFrame, research: bool, version: int | None = None) -> None:
-    """Runs a submission and writes every table; repeating a run (same id and version) changes nothing.
+def findings(batch: Batch) -> DataFrame:
+    """What an import noticed besides the rejections: kind, record, details."""
+    none = F.array().cast("array<string>")
+    kinds = {
+        "duplicate": (batch.duplicates, none), "warning": (batch.checked.warnings, F.col("warnings")),
+        "downgrade": (batch.downgrades, F.col("reasons")), "missing_critical": (batch.missing_critical, F.col("missing")),
+    }
+    return _union([df.select(F.lit(kind).alias("kind"), "record_no", "identifier", F.coalesce(details, none).alias("details")) for kind, (df, details) in kinds.items()])
 
-    Histories and reports go to the folder of the run. The products version is written last: until
-    then readers see the state before the import.
+
+def source_names(standardized: DataFrame) -> DataFrame:
+    """The distinct source names of a submission, one row each."""
+    return standardized.where("source_name <> ''").select("source_name").distinct()
+
+
+def _run_row(spark, run_id: str, data_source_id: int | None, status: str, now: Column, counts: dict[str, int], error: str | None) -> DataFrame:
+    row = (run_id, data_source_id, status, *(counts.get(c) for c in ("received", "created", "updated", "rejected", "duplicates")), error)
+    df = spark.createDataFrame([row], "run_id string, data_source_id bigint, status string, received bigint, created bigint, updated bigint, rejected bigint, duplicates bigint, error string")
+    return df.withColumns({"created_at": now, "finished_at": F.current_timestamp()}).select(*[f.split()[0] for f in schemas.RUNS.split(",")])
+
+
+def write_import(store: Store, raw: DataFrame, run_id: str, now: Column, marketplaces: DataFrame, research: bool, data_source_id: int | None = None) -> None:
+    """Runs a submission and commits all its tables together; a run that is committed already changes nothing.
+
+    A run that fails leaves the tables as they were and a row with its error in the run log.
     """
-    products = store.read_snapshot("products", schemas.PRODUCTS, before=version)
-    past = {name: store.read_history(name, schema, skip_run=run_id) for name, schema in [("prices", schemas.PRICES), ("metrics", schemas.METRICS)]}
+    if store.is_committed(run_id):
+        return
+    try:
+        with store.begin(run_id) as run:
+            _write(run, store, raw, run_id, now, marketplaces, research, data_source_id)
+    except Exception as error:
+        attempt = f"failed-{uuid.uuid4().hex}"
+        store.append("runs", _run_row(store.spark, run_id, data_source_id, "failed", now, {}, str(error)[:2000]), attempt)
+        raise
+
+
+def _write(run: Run, store: Store, raw: DataFrame, run_id: str, now: Column, marketplaces: DataFrame, research: bool, data_source_id: int | None) -> None:
+    products = store.read_snapshot("products", schemas.PRODUCTS)
+    runs = store.read_history("runs", schemas.RUNS).where("status = 'completed'").select("run_id", F.col("finished_at").alias("run_at"))
+    past = {name: store.read_history(name, schema).join(runs, "run_id", "left") for name, schema in [("prices", schemas.PRICES), ("metrics", schemas.METRICS)]}
     checked = check_research(raw, now) if research else check_listings(raw, now)
     batch = run_batch(checked, products, marketplaces, research)
     tagged = lambda df: df.withColumn("run_id", F.lit(run_id))
-    order = ["collected_at", "run_id", "record_no"]
-    store.append("prices", tagged(price_rows(batch.resolved, past["prices"], order)), run_id)
-    store.append("metrics", tagged(metrics_rows(batch.resolved, past["metrics"], order)), run_id)
-    store.append("costs", tagged(history.cost_rows(batch.resolved)), run_id)
+    order = ["collected_at", "run_at", "record_no"]  # of rows collected at one time the one of the later run is newer
+    run.append("prices", tagged(price_rows(batch.resolved, past["prices"], order)))
+    run.append("metrics", tagged(metrics_rows(batch.resolved, past["metrics"], order)))
+    run.append("costs", tagged(history.cost_rows(batch.resolved)))
     if research:
-        store.append("ledger", resolve.ledger_rows(batch.resolved, F.lit(run_id)), run_id)
-    store.append("rejections", batch.rejections, run_id)
-    store.append("runs", report(batch, research).select(F.lit(run_id).alias("run_id"), F.lit("completed").alias("status"), "measure", "n"), run_id)
-    pains = resolve.replace_by_key(store.read_snapshot("pain_points", schemas.PAIN_POINTS, before=version), resolve.pain_point_rows(batch.resolved))
-    number = store.write_snapshot("pain_points", pains, version)
-    store.write_snapshot("products", resolve.snapshot(products, batch.resolved), version or number)
+        run.append("ledger", resolve.ledger_rows(batch.resolved, F.lit(run_id)))
+    run.append("rejections", batch.rejections)
+    run.append("findings", tagged(findings(batch)).select("run_id", "kind", "record_no", "identifier", "details"))
+    measures = stage(report(batch, research), "report")
+    run.append("reports", tagged(measures).select("run_id", "measure", "n"))
+    pains = resolve.replace_by_key(store.read_snapshot("pain_points", schemas.PAIN_POINTS), resolve.pain_point_rows(batch.resolved))
+    run.write_snapshot("pain_points", pains)
+    run.write_snapshot("products", resolve.snapshot(products, batch.resolved))
+    counts = {r["measure"]: r["n"] for r in measures.collect()}
+    named = {"received": ("submitted", "received"), "duplicates": ("duplicates_in_file", "skipped_duplicate")}
+    counts |= {name: next((counts[m] for m in found if m in counts), None) for name, found in named.items()}
+    run.append("runs", _run_row(store.spark, run_id, data_source_id, "completed", now, counts, None))

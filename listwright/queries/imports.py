@@ -57,9 +57,9 @@ def csv_scan(spark: SparkSession, sf: str) -> DataFrame:
     """The raw listings written as CSV files, landed again and standardized."""
     path = scratch_path(spark, "submission")
     cells = _raw(spark, sf, binding_raw.LISTING).withColumn("best_seller_rank", F.col("record_no")).withColumnRenamed("name", " Name ").drop("record_no")
-    # one file: the record number is then the position in the whole submission
-    cells.orderBy("best_seller_rank").coalesce(1).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
-    landed = landing.read_csv(spark, path)
+    # several files in the order of their names: the record number is the position in the whole submission
+    cells.repartitionByRange(8, "best_seller_rank").sortWithinPartitions("best_seller_rank").write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    landed = landing.read_csv(spark, path, line_breaks=False)
     out = standardize.listings(landed, _now()).where("malformed IS NULL")
     return out.select(F.col("best_seller_rank").alias("part"), F.col("record_no").cast("long").alias("record_no"), "name", "url", "selling_price")
 
@@ -249,9 +249,7 @@ def dry_run(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def batch_source_names(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct source names of a submission in one line; the set is aggregated before it is joined."""
-    df = standardize.usable_rows(standardize.research(_raw(spark, sf, binding_raw.RESEARCH))).where("source_name <> ''")
-    return df.select("source_name").distinct().agg(F.array_join(F.array_sort(F.collect_list("source_name")), ", ").alias("sources"))
+    return imports.source_names(standardize.usable_rows(standardize.research(_raw(spark, sf, binding_raw.RESEARCH))))
 
 
 def export_csv_lines(spark: SparkSession, sf: str) -> DataFrame:

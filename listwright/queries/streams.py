@@ -59,7 +59,7 @@ def stream_import(spark: SparkSession, sf: str) -> DataFrame:
     cells = binding_raw.raw(spark, sf, binding_raw.LISTING)
     cells.write.option("header", True).option("escape", '"').option("emptyValue", "").csv(source)
     store = Store(spark, root)
-    rows = imports.submissions(spark, source, cells.columns)
+    rows = imports.submissions(spark, source, cells.columns).drop("_metadata")
     now = F.to_timestamp(F.lit(binding_raw.NOW))
     imports.continuous_import(rows, store, checkpoint, now, config.marketplaces(spark), research=False).awaitTermination()
     products = store.read_snapshot("products", schemas.PRODUCTS)

@@ -46,10 +46,11 @@ def tracker_dump_scan(spark: SparkSession, sf: str) -> DataFrame:
     """The objects written as response envelopes and scanned again."""
     path = scratch_path(spark, "dump")
     objects = binding_tracker.products(spark, sf).withColumn("domainId", F.col("record_no").cast("int"))
+    objects = objects.repartitionByRange(4, "domainId").sortWithinPartitions("domainId")
     objects.select(F.lit(1).alias("tokensLeft"), F.array(F.struct("*")).alias("products")).write.json(path)
     rows = read_dump(spark, path, multi_line=False)
     return rows.select(
-        F.col("domainId").cast("long").alias("part"), "record_no", "asin", "title", F.size("csv").cast("long").alias("series"), F.col("stats.buyBoxPrice").alias("buy_box"),
+        F.col("domainId").cast("long").alias("part"), "record_no", "position", "asin", "title", F.size("csv").cast("long").alias("series"), F.col("stats.buyBoxPrice").alias("buy_box"),
         F.col("stats.buyBoxIsFBA").alias("is_fba"), F.coalesce(F.size("images"), F.lit(-1)).cast("long").alias("images"), "packageLength",
     )
 

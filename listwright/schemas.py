@@ -21,4 +21,8 @@ PAIN_POINTS = """product_id string, type string, theme string, detail string, me
 LEDGER = """product_id string, record_no bigint, field_name string, raw_value string, numeric_value double, source_name string,
   source_url string, observed_at timestamp, confidence_score double, run_id string"""
 REJECTIONS = "record_no bigint, identifier string, code string, errors array<string>"
-RUNS = "run_id string, status string, measure string, n bigint"
+#: Duplicates, warnings, downgrades and missing critical fields of a run.
+FINDINGS = "run_id string, kind string, record_no bigint, identifier string, details array<string>"
+REPORTS = "run_id string, measure string, n bigint"
+RUNS = """run_id string, data_source_id bigint, status string, created_at timestamp, finished_at timestamp, received bigint, created bigint,
+  updated bigint, rejected bigint, duplicates bigint, error string"""

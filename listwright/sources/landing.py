@@ -1,36 +1,41 @@
-"""Scans of submitted files: every cell a string, every record numbered within its file."""
+"""Scans of submitted files: every cell a string, every record numbered over the submission and within its file."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from listwright.fixed import OPTIONAL_FIELDS, REQUIRED_FIELDS, UNLISTED_FIELDS
 from listwright.session import stage
 
 
-def _numbered(rows: DataFrame, first: int) -> DataFrame:
-    """Adds ``record_no``: position in its file, counted from ``first``.
+def numbered(rows: DataFrame, first: int) -> DataFrame:
+    """Adds ``record_no``, unique in the submission, and ``line_no``, the position in the file; both count from ``first``.
 
-    Each file is read by one task from start to end, so its rows have consecutive task ids; the
-    landed copy fixes them before the first id per file is looked up.
+    Files count in the order of their paths. A block of a file is read by one task from start to end, so its rows have
+    consecutive task ids; the landed copy fixes them before the first id of each block is looked up.
     """
-    landed = stage(rows.withColumns({"file": F.col("_metadata.file_path"), "_at": F.monotonically_increasing_id()}), "landed")
-    start = landed.groupBy("file").agg(F.min("_at").alias("_start"))
-    return landed.join(start, "file").withColumn("record_no", F.col("_at") - F.col("_start") + first).drop("_at", "_start")
+    landed = stage(rows.withColumns({"file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()}), "landed")
+    blocks = landed.groupBy("file", "_block").agg(F.min("_at").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    ahead = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = blocks.select("file", "_block", "_start", ahead(Window.orderBy("file", "_block")).alias("_before"), ahead(Window.partitionBy("file").orderBy("_block")).alias("_inside"))
+    place = F.col("_at") - F.col("_start") + first
+    out = landed.join(offsets, ["file", "_block"]).withColumns({"record_no": place + F.col("_before"), "line_no": place + F.col("_inside")})
+    return out.drop("_block", "_at", "_start", "_before", "_inside")
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
     """CSV submission: header names lower-cased and trimmed, cells trimmed, ragged rows kept.
 
-    Files of one submission must share their header; a different one is an error, not a shift.
+    Files of one submission must share their header; a different one is an error, not a shift. Files whose cells hold no
+    line breaks are split among tasks with ``line_breaks=False``; otherwise a file is read by one task.
     """
     rows = (
-        spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE")
+        spark.read.option("header", True).option("multiLine", line_breaks).option("escape", '"').option("mode", "PERMISSIVE")
         .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("enforceSchema", False).csv(path)
     )
     names = {c: c.strip().lower() for c in rows.columns}
-    return _numbered(rows.withColumnsRenamed(names), first=2)
+    return numbered(rows.withColumnsRenamed(names), first=2)
 
 
 def _camel(name: str) -> str:
@@ -59,4 +64,4 @@ def read_research_json(spark: SparkSession, path: str) -> DataFrame:
     checked = F.coalesce(entries, F.raise_error(F.lit(_NOT_A_LIST)))
     listed = files.select(F.posexplode(checked).alias("_pos", "entry"), "_metadata").withColumn("r", F.from_json("entry", _RECORD))
     spelled = lambda f: F.coalesce(F.col(f"r.{f}"), F.col(f"r.{_camel(f)}")) if _camel(f) != f else F.col(f"r.{f}")
-    return _numbered(listed.select(*[spelled(f).alias(f) for f in _FIELDS], "_metadata"), first=1)
+    return numbered(listed.select(*[spelled(f).alias(f) for f in _FIELDS], "_metadata"), first=1)

@@ -1,60 +1,129 @@
-"""Stored tables: snapshots rewritten in versions, histories appended per run."""
+"""Stored tables: snapshots rewritten in versions, histories appended per run, one commit per run."""
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _folders(spark: SparkSession, path: str) -> list[str]:
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
-
-
-def _complete(spark: SparkSession, path: str) -> bool:
-    return "_SUCCESS" in _folders(spark, path)
-
-
 class Store:
-    """Parquet tables under one root.
+    """Parquet tables under one root, read through the newest commit.
 
-    A snapshot version becomes visible when Spark has written its ``_SUCCESS`` file; readers take
-    the newest complete version, so a lost job leaves the previous one in place. A run overwrites
-    only its own folder of a history, which makes a repeated run harmless.
+    A run writes its tables into folders of its own and then creates one commit file, which names the run and the
+    snapshot versions in force. Readers see the snapshots of the newest commit and the history folders of committed runs, so
+    either all tables of a run are visible or none. The commit file is created exclusively: of two runs that started
+    from the same commit one fails and has to be repeated. A run whose id is committed has nothing left to do.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def versions(self, name: str) -> list[int]:
-        base = f"{self.root}/{name}"
-        return [int(f.split("=")[1]) for f in _folders(self.spark, base) if f.startswith("version=") and _complete(self.spark, f"{base}/{f}")]
-
-    def write_snapshot(self, name: str, df: DataFrame, version: int | None = None) -> int:
-        known = self.versions(name)
-        number = version if version is not None else (max(known) + 1 if known else 1)
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/version={number:010d}")
-        return number
-
-    def read_snapshot(self, name: str, schema, before: int | None = None) -> DataFrame:
-        """Newest complete version (older than ``before``), or an empty table."""
-        known = [v for v in self.versions(name) if before is None or v < before]
-        if not known:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/version={max(known):010d}")
+    def _path(self, *parts: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def commits(self) -> list[tuple[int, str]]:
+        """(number, run id), oldest first."""
+        fs, folder = self._path("_commits")
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted((int(n[:10]), n[11:-5]) for n in names if n.endswith(".json") and n[:10].isdigit())
+
+    def is_committed(self, run_id: str) -> bool:
+        return any(run == run_id for _, run in self.commits())
+
+    def _versions(self) -> dict[str, str]:
+        commits = self.commits()
+        if not commits:
+            return {}
+        number, run = commits[-1]
+        return json.loads(self._read_text(f"{number:010d}-{run}.json"))
+
+    def _exists(self, name: str) -> bool:
+        fs, path = self._path("_commits", name)
+        return fs.exists(path)
+
+    def _read_text(self, name: str) -> str:
+        fs, path = self._path("_commits", name)
+        stream = fs.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _write_text(self, name: str, text: str, overwrite: bool) -> None:
+        fs, path = self._path("_commits", name)
+        stream = fs.create(path, overwrite)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
+    def begin(self, run_id: str) -> Run:
+        return Run(self, run_id)
+
+    def write_snapshot(self, name: str, df: DataFrame) -> None:
+        """A snapshot as a run of its own."""
+        with self.begin(f"{name}-{uuid.uuid4().hex}") as run:
+            run.write_snapshot(name, df)
 
     def append(self, name: str, df: DataFrame, run_id: str) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/run={run_id}")
-
-    def read_history(self, name: str, schema, skip_run: str | None = None) -> DataFrame:
-        """All complete runs of a history, optionally without one that is being repeated."""
-        base = f"{self.root}/{name}"
-        runs = [f for f in _folders(self.spark, base) if f.startswith("run=") and f != f"run={skip_run}" and _complete(self.spark, f"{base}/{f}")]
-        if not runs:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{base}/{f}" for f in runs])
+        """Rows of a history as a run of its own; nothing happens if the run is committed already."""
+        if not self.is_committed(run_id):
+            with self.begin(run_id) as run:
+                run.append(name, df)
+
+    def read_snapshot(self, name: str, schema) -> DataFrame:
+        folder = self._versions().get(name)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{folder}") if folder else self.spark.createDataFrame([], schema)
+
+    def read_history(self, name: str, schema) -> DataFrame:
+        """Rows of all committed runs."""
+        fs, base = self._path(name)
+        known = {f"run={run}" for _, run in self.commits()}
+        found = [s.getPath().getName() for s in fs.listStatus(base)] if fs.exists(base) else []
+        runs = [f"{self.root}/{name}/{f}" for f in sorted(found) if f in known]
+        return self.spark.read.schema(schema).parquet(*runs) if runs else self.spark.createDataFrame([], schema)
+
+
+class Run:
+    """Writes of one run; used as a context, it commits at the end unless an error occurred."""
+
+    def __init__(self, store: Store, run_id: str) -> None:
+        self.store, self.run_id = store, run_id
+        commits = store.commits()
+        self.number = commits[-1][0] + 1 if commits else 1
+        self.versions = store._versions()
+
+    def write_snapshot(self, name: str, df: DataFrame) -> None:
+        folder = f"version={self.number:010d}-{self.run_id}"
+        df.write.mode("overwrite").parquet(f"{self.store.root}/{name}/{folder}")
+        self.versions[name] = folder
+
+    def append(self, name: str, df: DataFrame) -> None:
+        df.write.mode("overwrite").parquet(f"{self.store.root}/{name}/run={self.run_id}")
+
+    def commit(self) -> None:
+        newest = self.store.commits()
+        if newest and newest[-1][0] >= self.number:
+            raise RuntimeError(f"run {newest[-1][1]} was committed meanwhile; repeat run {self.run_id}")
+        # The number is claimed first, as two runs would create files of different names. A claim without a commit is one of
+        # a run that was lost in between; repeating that run goes on from there.
+        claim = f"{self.number:010d}.claim"
+        if self.store._exists(claim):
+            holder = self.store._read_text(claim)
+            if holder != self.run_id:
+                raise RuntimeError(f"commit {self.number} is claimed by run {holder}; repeat that run, then {self.run_id}")
+        else:
+            self.store._write_text(claim, self.run_id, overwrite=False)
+        self.store._write_text(f"{self.number:010d}-{self.run_id}.json", json.dumps(self.versions), overwrite=True)
+
+    def __enter__(self) -> Run:
+        return self
+
+    def __exit__(self, error, *_) -> None:
+        if error is None:
+            self.commit()
 
 
 def insert_if_absent(stored: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
@@ -73,6 +142,10 @@ def seed_fees(stored: DataFrame, incoming: DataFrame, marketplaces: DataFrame) -
     return insert_if_absent(stored, known, ["marketplace", "category", "fee_type", "effective_date"]), skipped
 
 
+def run_by_id(runs: DataFrame, run_id: str) -> DataFrame:
+    return runs.where(F.col("run_id") == run_id)
+
+
 def newest_runs(runs: DataFrame, limit: int = 25) -> DataFrame:
     return runs.orderBy(F.col("created_at").desc(), F.col("run_id").desc()).limit(limit)
 

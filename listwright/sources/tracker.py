@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from listwright.sources.landing import numbered
+
 _SIZES = ", ".join(f"{kind}{side} bigint" for kind in ("package", "item") for side in ("Length", "Width", "Height", "Weight"))
 PRODUCT = f"""
   asin string, domainId int, productType int, title string, brand string, manufacturer string,
@@ -33,6 +35,7 @@ def envelope_schema() -> str:
 
 
 def read_dump(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Response envelopes -> one row per product object, with its position in the response."""
+    """Response envelopes -> one row per product object, numbered over the dump, with its position in the response."""
     rows = spark.read.schema(envelope_schema()).option("multiLine", multi_line).json(path)
-    return rows.select(F.posexplode("products").alias("_pos", "p")).select((F.col("_pos") + 1).cast("long").alias("record_no"), "p.*")
+    objects = rows.select(F.posexplode("products").alias("_pos", "p"), "_metadata")
+    return numbered(objects.select((F.col("_pos") + 1).cast("long").alias("position"), "p.*", "_metadata"), first=1).drop("file", "line_no")

@@ -2,31 +2,51 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from listwright.plans.imports import write_import
 from listwright.session import prepare, stage
+from listwright.sources.landing import numbered
 from listwright.sources.tables import Store
 
 
 def submissions(spark: SparkSession, path: str, fields: list[str], max_files: int | None = None) -> DataFrame:
-    """A directory of CSV submissions as a stream of all-string rows (the columns in file order)."""
+    """A directory of CSV submissions as a stream of all-string rows with their place (``file``, ``block``).
+
+    ``fields`` are the columns in file order; a file with another header is an error, not a shift of its columns.
+    """
     reader = spark.readStream.schema(", ".join(f"`{f}` string" for f in fields)).option("header", True).option("multiLine", True).option("escape", '"')
-    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).csv(path)
+    reader = reader.option("enforceSchema", False).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+    rows = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).csv(path)
+    return rows.select(*[F.col(f).alias(f.strip().lower()) for f in fields], "_metadata")
 
 
-def continuous_import(rows: DataFrame, store: Store, checkpoint: str, now: Column, marketplaces: DataFrame, research: bool) -> StreamingQuery:
+def continuous_import(
+    rows: DataFrame, store: Store, checkpoint: str, now: Column, marketplaces: DataFrame, research: bool,
+    data_source_id: int | None = None, after: Callable[[Store, str], None] | None = None,
+) -> StreamingQuery:
     """Imports every micro-batch as one run.
 
-    Run id and product version follow from the batch id, so a batch that is replayed after a lost
-    driver or executor overwrites its own output. Rows without a ``record_no`` are numbered as landed.
+    The run id follows from the checkpoint folder and the batch id: streams never share ids, and a batch that is replayed
+    after a lost driver or executor finds its run committed, or starts it anew on the tables as they are. ``after`` is
+    called with the run id of each committed batch (to rescore, for example). Rows without a ``record_no`` are numbered.
     """
+    stream = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:12]
 
     def run(batch: DataFrame, batch_id: int) -> None:
         prepare(batch.sparkSession)
-        numbered = batch.withColumn("record_no", F.col("record_no").cast("long")) if "record_no" in batch.columns else batch.withColumn("record_no", F.monotonically_increasing_id())
-        write_import(store, stage(numbered, "landed"), f"stream-{batch_id:010d}", now, marketplaces, research, version=batch_id + 1)
+        run_id = f"stream-{stream}-{batch_id:010d}"
+        if "record_no" in batch.columns:
+            landed = stage(batch.withColumn("record_no", F.col("record_no").cast("long")).drop("_metadata"), "landed")
+        else:
+            landed = numbered(batch, first=2) if "_metadata" in batch.columns else stage(batch.withColumn("record_no", F.monotonically_increasing_id()), "landed")
+        write_import(store, landed, run_id, now, marketplaces, research, data_source_id)
+        if after is not None:
+            after(store, run_id)
 
     return rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,7 +7,8 @@ from listwright import config, schemas
 from listwright.operators import standardize
 from listwright.plans import imports
 from listwright.sources import landing
-from listwright.sources.tables import Store, insert_if_absent
+from listwright.sources.tables import Store, insert_if_absent, last_completed_run
+from listwright.streaming.imports import continuous_import, submissions
 
 GOLDEN = dict(
     product_name="Leakproof  Bottle", marketplace="Amazon_IN", product_url="https://www.amazon.in/dp/B0ABCDEFGH?ref=x", observed_price="₹1249", observed_at="2026-09-28T11:00:00+05:30",
@@ -56,8 +57,8 @@ def test_first_failing_rule_gives_the_code(spark, now):
     assert got[6][1] == ["observed_price must be greater than zero, got -1", "rating must be between 0 and 5, got 9"]
 
 
-def _import(spark, store, rows, run, now, research=True, version=None):
-    imports.write_import(store, _raw(spark, rows), run, now(), config.marketplaces(spark), research, version)
+def _import(spark, store, rows, run, now, research=True):
+    imports.write_import(store, _raw(spark, rows), run, now(), config.marketplaces(spark), research)
     return {r.product_id: r for r in store.read_snapshot("products", schemas.PRODUCTS).collect()}
 
 
@@ -70,7 +71,11 @@ def test_import_reimport_and_changes(spark, now, tmp_path):
     other = {**GOLDEN, "product_id": None, "product_url": "https://shop.in/p/2/", "product_name": "Second one", "verification_requested": "no"}
     first = _import(spark, store, [GOLDEN, other, {**GOLDEN, "product_name": "same id again"}, {**other, "product_url": "https://shop.in/p/3"}], "run-1", now)
     assert sorted(p.dataset_status for p in first.values()) == ["UNVERIFIED", "VERIFIED"]
-    report = {r.measure: r.n for r in store.read_history("runs", schemas.RUNS).collect()}
+    report = {r.measure: r.n for r in store.read_history("reports", schemas.REPORTS).collect()}
+    (logged,) = store.read_history("runs", schemas.RUNS).collect()
+    assert (logged.run_id, logged.status, logged.received, logged.created, logged.updated, logged.rejected, logged.duplicates) == ("run-1", "completed", 4, 2, 0, 2, 2)
+    noticed = store.read_history("findings", schemas.FINDINGS)
+    assert {r.kind: r["count"] for r in noticed.groupBy("kind").count().collect()}["duplicate"] == 2
     assert report["submitted"] == 4 and report["created"] == 2 and report["duplicates_in_file"] == 2 and report["rejected"] == 2 and report["updated"] == 0
     assert _n(store, "prices", schemas.PRICES) == 2 and _n(store, "ledger", schemas.LEDGER) > 30
 
@@ -84,9 +89,77 @@ def test_import_reimport_and_changes(spark, now, tmp_path):
     assert product.brand is None and _n(store, "prices", schemas.PRICES) == 3 and _n(store, "metrics", schemas.METRICS) == 2
     assert store.read_snapshot("pain_points", schemas.PAIN_POINTS).where(F.col("product_id") == product.product_id).count() == 2
 
-    version = max(store.versions("products"))
-    replay = _import(spark, store, [changed], "run-3", now, version=version)
-    assert replay == after and _n(store, "prices", schemas.PRICES) == 3 and max(store.versions("products")) == version
+    commits = store.commits()
+    replay = _import(spark, store, [changed], "run-3", now)
+    assert replay == after and _n(store, "prices", schemas.PRICES) == 3 and store.commits() == commits
+
+
+def test_a_failed_run_leaves_the_tables_and_is_logged(spark, now, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path))
+    before = _import(spark, store, [GOLDEN], "run-1", now)
+    monkeypatch.setattr(imports.resolve, "snapshot", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        _import(spark, store, [{**GOLDEN, "observed_price": "5"}], "run-2", now)
+    monkeypatch.undo()
+    assert {r.product_id: r for r in store.read_snapshot("products", schemas.PRODUCTS).collect()} == before and _n(store, "prices", schemas.PRICES) == 1
+    runs = {r.run_id: r for r in store.read_history("runs", schemas.RUNS).collect()}
+    assert runs["run-2"].status == "failed" and "division" in runs["run-2"].error
+    _import(spark, store, [{**GOLDEN, "observed_price": "5"}], "run-2", now)
+    assert _n(store, "prices", schemas.PRICES) == 2 and last_completed_run(store.read_history("runs", schemas.RUNS), config.literal_table(spark, [(1, "x")], ["data_source_id", "name"])).first().run_id == "run-2"
+
+
+def test_two_runs_from_one_commit(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    one, two = store.begin("one"), store.begin("two")
+    rows = spark.createDataFrame([("a",)], "k string")
+    for run in (one, two):
+        run.append("t", rows)
+    one.commit()
+    with pytest.raises(RuntimeError, match="repeat run two"):
+        two.commit()
+    assert store.read_history("t", "k string").count() == 1
+    with store.begin("two") as again:
+        again.append("t", rows)
+    assert store.read_history("t", "k string").count() == 2
+
+
+def test_several_files_are_one_submission(spark, now, tmp_path):
+    head = "name,url,marketplace,category,selling_price,collected_at,product_cost\n"
+    row = lambda i: f"Thing number {i},https://shop.in/{i},meesho,home-organization,{100 + i},2026-09-0{i},{i}\n"
+    (tmp_path / "a.csv").write_text(head + row(1) + row(2))
+    (tmp_path / "b.csv").write_text(head + row(3) + row(4) + row(4))
+    raw = landing.read_csv(spark, str(tmp_path / "*.csv"))
+    assert sorted((r.record_no, r.line_no) for r in raw.collect()) == [(2, 2), (3, 3), (4, 2), (5, 3), (6, 4)]
+    assert sorted(r.record_no for r in landing.read_csv(spark, str(tmp_path / "*.csv"), line_breaks=False).collect()) == [2, 3, 4, 5, 6]
+    store = Store(spark, str(tmp_path / "store"))
+    imports.write_import(store, raw, "r", now(), config.marketplaces(spark), False)
+    report = {r.measure: r.n for r in store.read_history("reports", schemas.REPORTS).collect()}
+    assert (report["received"], report["created"], report["skipped_duplicate"]) == (5, 4, 1) and _n(store, "costs", schemas.COSTS) == 4
+
+
+def test_streams_on_a_used_store(spark, now, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    _import(spark, store, [GOLDEN], "run-1", now)
+    head = "name,url,marketplace,category,selling_price,collected_at,product_cost\n"
+    fields = head.strip().split(",")
+    row = lambda i, price: f"Thing number {i},https://shop.in/{i},meesho,home-organization,{price},2026-09-0{i},1\n"
+
+    def feed(name, *files):
+        (tmp_path / name).mkdir(exist_ok=True)
+        for file, text in files:
+            (tmp_path / name / file).write_text(text)
+        rows = submissions(spark, str(tmp_path / name), fields, max_files=1)
+        continuous_import(rows, store, str(tmp_path / f"{name}-state"), now(), config.marketplaces(spark), False).awaitTermination()
+
+    feed("first", ("1.csv", head + row(1, 10)), ("2.csv", head + row(2, 20)), ("3.csv", head + row(1, 11)))
+    feed("second", ("1.csv", head + row(3, 30)))
+    names = {r.name for r in store.read_snapshot("products", schemas.PRODUCTS).collect()}
+    assert names == {"Leakproof Bottle", "Thing number 1", "Thing number 2", "Thing number 3"} and _n(store, "prices", schemas.PRICES) == 5
+    commits = store.commits()
+    feed("second")
+    assert store.commits() == commits
+    with pytest.raises(Exception):
+        feed("third", ("1.csv", "url,name,marketplace,category,selling_price,collected_at,product_cost\nhttps://shop.in/9,Nine,meesho,home-organization,1,2026-09-01,1\n"))
 
 
 def test_sample_products_are_never_matched_by_research(spark, now, tmp_path):
@@ -126,7 +199,8 @@ def test_research_json_shapes(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"productName":"One","observedPrice":12.5,"productDimensions":{"lengthCm":1,"widthCm":2,"heightCm":3}}, null, {"product_name":"Two"}]')
     (tmp_path / "b.json").write_text('{"products":[{"productName":"Three","competition_signal":7}]}')
     rows = landing.read_research_json(spark, str(tmp_path / "*.json"))
-    got = {(r.file[-6], r.record_no): r for r in rows.collect()}
+    assert sorted(r.record_no for r in rows.collect()) == [1, 2, 3, 4]
+    got = {(r.file[-6], r.line_no): r for r in rows.collect()}
     assert {k: v.product_name for k, v in got.items() if v.product_name} == {("a", 1): "One", ("a", 3): "Two", ("b", 1): "Three"}
     one = standardize.research(rows.where("product_name = 'One'")).first()
     assert one.selling_price == 12.5 and tuple(one.dimensions) == (1, 2, 3)

@@ -74,12 +74,12 @@ def _greedy(rows):
     return kept
 
 
-@pytest.mark.parametrize("seed,rounds,finish", [(1, 50, 0), (2, 1, 10_000), (3, 2, 5)])
-def test_dedupe_equals_the_loop(spark, seed, rounds, finish):
+@pytest.mark.parametrize("seed,rounds", [(1, 50), (2, 1), (3, 2), (4, 0)])
+def test_dedupe_equals_the_loop(spark, seed, rounds):
     rng = random.Random(seed)
     rows = [(i, f"id{rng.randrange(60)}", "n0" if rng.random() < 0.4 else f"n{rng.randrange(50)}") for i in range(200)]
     df = spark.createDataFrame(rows, "record_no long, identity_key string, name_key string").repartition(3)
-    assert {r.record_no for r in dedupe.keep_first(df, rounds, finish).collect()} == _greedy(rows)
+    assert {r.record_no for r in dedupe.keep_first(df, rounds).collect()} == _greedy(rows)
 
 
 def test_dropped_rows_do_not_register_their_keys(spark):
