@@ -28,6 +28,14 @@ def test_instants(values):
     assert seen == ["2026-09-28T05:30:00.000Z", "2026-09-28T00:00:00.000Z", None]
 
 
+def test_dates_of_other_forms(values):
+    cells = ["2026/09/28", "9/28/2026", "28 Sep 2026", "28 September 2026", "Sep 28, 2026", "September 28, 2026", "2026/9/8 7:05", "12:30", "T10:00", "2026-13-01", "28/28/2026", "last week"]
+    seen = values(t.iso(t.instant(F.col("x"))), cells)
+    day = "2026-09-28T00:00:00.000Z"
+    assert seen == [day] * 6 + ["2026-09-08T07:05:00.000Z"] + [None] * 5
+
+
+
 def test_urls_and_names(values):
     x = F.col("x")
     cells = ["https://www.Example.com/demo/item/?utm=1", "HTTPS://example.com:443/demo/item#x", "https://me:pw@example.com/demo/item//", "  not a url "]

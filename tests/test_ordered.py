@@ -86,3 +86,18 @@ def test_dropped_rows_do_not_register_their_keys(spark):
     rows = [(1, "id1", "n1"), (2, "id1", "n2"), (3, "id2", "n2")]
     df = spark.createDataFrame(rows, "record_no long, identity_key string, name_key string")
     assert {r.record_no for r in dedupe.keep_first(df).collect()} == {1, 3}
+
+
+def test_long_chains_and_a_hot_name(spark):
+    chain = [(2 * i + k, f"id{i + k}", f"n{i}") for i in range(5_000) for k in (0, 1)]
+    hot = [(20_000 + i, f"h{i % 700}", "hot" if i % 3 else f"m{i % 900}") for i in range(3_000)]
+    df = spark.createDataFrame(chain + hot, "record_no long, identity_key string, name_key string").repartition(4)
+    assert {r.record_no for r in dedupe.keep_first(df).collect()} == _greedy(chain + hot)
+
+
+def test_positions_with_many_slices(spark, monkeypatch):
+    from listwright.operators import skew
+
+    monkeypatch.setattr(skew, "SLICE_GROUP", 3)
+    df = spark.range(500).select((F.col("id") * 7 % 500).alias("v"))
+    assert all(r.n == r.v + 1 for r in ranked(df, [F.col("v")], "n", rows_per_slice=20).collect())
