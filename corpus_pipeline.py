@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from listwright.llm import jaccard, language_id, mixing, packing, pii
 from listwright.llm.common import table
-from listwright.session import stage
+from listwright.session import prepare, stage
 
 #: A text none of whose languages holds this share of its words is rejected.
 LEAST_SHARE = 0.35
@@ -30,22 +30,27 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return language_id.identified(docs, language_id.learn(docs, F.lit(True)), LEAST_SHARE)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return jaccard.one_of_each(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return _counted(pii.redact(docs, pii.learn(docs)))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return _counted(mixing.mix(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return packing.pack(docs)
 
 

@@ -3,7 +3,8 @@ import pytest
 from brute import jaccard as brute
 from brute import shingles
 
-from listwright.llm import graph, jaccard
+from listwright.llm import jaccard
+from listwright.operators import graph
 
 SCHEMA = "doc_id long, text string, n long, node string, `group` int"
 
