@@ -171,7 +171,14 @@ SQL = {
     "verified_opportunities": _explain("dataset_status <> 'SAMPLE' AND score_status='COMPLETE' AND final_score IS NOT NULL", 20),
     "opportunities_all_incomplete": _explain("score_status='INCOMPLETE'", 500),
     "compare_products": with_ctes(f"""SELECT ids.position, product_id, name, category, marketplace, selling_price, mrp, review_count, total_cost, profit, margin_pct, roi_pct,
-      complaint_count, opportunity_count FROM {_IDS} JOIN econ USING (product_id)"""),
+      complaint_count, opportunity_count, final_score, classification, score_status, risk_score FROM {_IDS} JOIN ranked USING (product_id)"""),
+    "product_detail": with_ctes(f"""SELECT product_id, name, brand, profit, final_score, data_completeness, (SELECT count(*) FROM applied_fees f WHERE f.product_id = ranked.product_id) AS fee_rows,
+      1 + (SELECT count(DISTINCT 1) FROM prices t WHERE t.product_id = ranked.product_id) + (SELECT count(DISTINCT 1) FROM metrics t WHERE t.product_id = ranked.product_id)
+        + (SELECT count(DISTINCT 1) FROM costs t WHERE t.product_id = ranked.product_id) + (SELECT count(DISTINCT 1) FROM pains t WHERE t.product_id = ranked.product_id) AS provenance_rows,
+      nullif((SELECT count(DISTINCT s) FROM (SELECT source_name AS s FROM products p WHERE p.product_id = ranked.product_id UNION SELECT source_name FROM pains t WHERE t.product_id = ranked.product_id) WHERE s IS NOT NULL), 0) AS sources_rows,
+      nullif((SELECT count(*) FROM prices t WHERE t.product_id = ranked.product_id), 0) AS prices_rows, nullif((SELECT count(*) FROM metrics t WHERE t.product_id = ranked.product_id), 0) AS metrics_rows,
+      nullif((SELECT count(*) FROM costs t WHERE t.product_id = ranked.product_id), 0) AS costs_rows, nullif((SELECT count(*) FROM pains t WHERE t.product_id = ranked.product_id), 0) AS pain_points_rows
+      FROM {_IDS} JOIN ranked USING (product_id)"""),
     "product_detail_histories": with_ctes(" UNION ALL ".join([
         _position("prices", "price", "selling_price"), _position("metrics", "metrics", "review_count"), _position("costs", "cost", "product_cost"),
         f"SELECT product_id, 'pain:' || theme, 0, CAST(mention_count AS DOUBLE), source_name FROM pains WHERE product_id IN (SELECT product_id FROM {_IDS})"])),

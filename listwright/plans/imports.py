@@ -198,12 +198,11 @@ def write_import(store: Store, raw: DataFrame, run_id: str, now: Column, marketp
 
 def _write(run: Run, store: Store, raw: DataFrame, run_id: str, now: Column, marketplaces: DataFrame, research: bool, data_source_id: int | None) -> None:
     products = store.read_snapshot("products", schemas.PRODUCTS)
-    runs = store.read_history("runs", schemas.RUNS).where("status = 'completed'").select("run_id", F.col("finished_at").alias("run_at"))
-    past = {name: store.read_history(name, schema).join(runs, "run_id", "left") for name, schema in [("prices", schemas.PRICES), ("metrics", schemas.METRICS)]}
+    past = {name: store.with_run_time(store.read_history(name, schema)) for name, schema in [("prices", schemas.PRICES), ("metrics", schemas.METRICS)]}
     checked = check_research(raw, now) if research else check_listings(raw, now)
     batch = run_batch(checked, products, marketplaces, research)
     tagged = lambda df: df.withColumn("run_id", F.lit(run_id))
-    order = ["collected_at", "run_at", "record_no"]  # of rows collected at one time the one of the later run is newer
+    order = ["collected_at", "run_at", "run_id", "record_no"]  # of rows collected at one time the one of the later run is newer
     run.append("prices", tagged(price_rows(batch.resolved, past["prices"], order)))
     run.append("metrics", tagged(metrics_rows(batch.resolved, past["metrics"], order)))
     run.append("costs", tagged(history.cost_rows(batch.resolved)))

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright import config
+from listwright import config, schemas
 from listwright.fixed import COMPONENTS
 from listwright.functions.numbers import discount_pct, half_up
 from listwright.operators import scoring, serve
@@ -16,6 +16,7 @@ from listwright.operators.economics import with_economics, with_fees
 from listwright.operators.history import METRIC_FIELDS, newest
 from listwright.operators.ranked import ProductQuery, page, rank_base
 from listwright.session import stage
+from listwright.sources.tables import Store
 
 COST_COLUMNS = [
     "product_cost", "shipping_cost", "packaging_cost", "marketplace_fee_override", "payment_fee",
@@ -105,6 +106,26 @@ def stored_scores(cat: Catalog, as_of: dt.date, cfg: dict | None = None, **optio
     return stage(score_table(scored(cat, as_of, cfg, **options), cfg), "scores")
 
 
+def write_scores(store: Store, cat: Catalog, as_of: dt.date, run_id: str, computed_at, cfg: dict | None = None) -> None:
+    """Rescores the catalog and commits the score table, each row with the breakdown behind its sub-scores."""
+    cfg = cfg or config.scoring()
+    explained = stage(scoring.evidence(scored(cat, as_of, cfg), cfg), "explained")
+    breakdown = explained.select("product_id", F.to_json("score_breakdown").alias("score_breakdown"))
+    with store.begin(run_id) as run:
+        run.write_snapshot("scores", score_table(explained, cfg, computed_at).join(breakdown, "product_id"))
+
+
+def stored_catalog(store: Store, fees: DataFrame, marketplaces: DataFrame, sources: DataFrame) -> Catalog:
+    """The catalog as the newest commit has it; of rows collected at one time the one of the later run is newer."""
+    history = lambda name, schema: store.with_run_time(store.read_history(name, schema))
+    return Catalog(
+        products=store.read_snapshot("products", schemas.PRODUCTS).withColumn("data_source_id", F.lit(None).cast("long")),
+        prices=history("prices", schemas.PRICES), metrics=history("metrics", schemas.METRICS),
+        costs=history("costs", schemas.COSTS).withColumn("record_no", F.lit(0).cast("long")), pain_points=store.read_snapshot("pain_points", schemas.PAIN_POINTS),
+        fees=fees, marketplaces=marketplaces, sources=sources, tiebreak=("run_at", "run_id", "record_no"),
+    )
+
+
 def restricted(cat: Catalog, ids: DataFrame) -> Catalog:
     """The catalog cut to a few requested products before anything is aggregated."""
     return replace(cat, **{name: serve.only(getattr(cat, name), ids) for name in ("products", "prices", "metrics", "costs", "pain_points")})

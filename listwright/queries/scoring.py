@@ -11,7 +11,7 @@ from listwright.functions.numbers import half_up
 from listwright.operators import history, scoring, serve
 from listwright.operators.economics import fee_rows
 from listwright.operators.ranked import ProductQuery, all_ranked, filtered, page, rank_base
-from listwright.plans import rescore
+from listwright.plans import detail, rescore
 
 OBS_KEYS = ["l_orderkey", "l_linenumber", "l_suppkey"]
 
@@ -222,16 +222,23 @@ IDS = " P7, ,P3,P63,,P100 , P12,P5"
 
 
 def compare_products(spark: SparkSession, sf: str) -> DataFrame:
-    ids = serve.requested(spark, IDS)
-    cat = binding.catalog(spark, sf)
-    wanted = rescore.restricted(cat, ids)
-    detail = rescore.economics(wanted, binding.AS_OF)
-    return ids.join(F.broadcast(detail), "product_id").select(
+    cat, scores = _products_and_scores(spark, sf)
+    return detail.compare(cat, scores, serve.requested(spark, IDS), binding.AS_OF).select(
         "position", "product_id", "name", "category", "marketplace", "selling_price", "mrp", "review_count", "total_cost", "profit",
-        "margin_pct", "roi_pct", "complaint_count", "opportunity_count",
+        "margin_pct", "roi_pct", "complaint_count", "opportunity_count", "score.final_score", "score.classification", "score.score_status", "score.risk_score",
     )
 
 
+def product_detail(spark: SparkSession, sf: str) -> DataFrame:
+    """Every part of the requested products' details: the score, and how much each other part holds."""
+    cat, scores = _products_and_scores(spark, sf)
+    parts = detail.product_detail(cat, scores, serve.requested(spark, IDS), binding.AS_OF)
+    out = parts.product.select("product_id", "name", "brand", "profit", "score.final_score", "score.data_completeness", F.coalesce(F.size("fees"), F.lit(0)).cast("long").alias("fee_rows"))
+    for name in ("provenance", "sources", "prices", "metrics", "costs", "pain_points"):
+        out = out.join(getattr(parts, name).groupBy("product_id").agg(F.count(F.lit(1)).alias(f"{name}_rows")), "product_id", "left")
+    return out
+
+
 def product_detail_histories(spark: SparkSession, sf: str) -> DataFrame:
     """The three newest-first histories and the pain points of the requested products, in long form."""
     ids = serve.requested(spark, IDS)
@@ -284,7 +291,7 @@ QUERIES = {
         latest_price, latest_metrics, latest_cost, price_change_history, metrics_change_history, price_change_on_arrival,
         price_history_newest_first, cost_append, fee_asof, unit_economics, cohort_stats, sub_scores, score_evidence, score_contributions,
         product_scores, classification_counts, ranked_products, ranked_filtered, ranked_total, ranked_by_class, export_rows, dashboard_summary,
-        category_rollup, opportunity_explanations, verified_opportunities, opportunities_all_incomplete, compare_products,
+        category_rollup, opportunity_explanations, verified_opportunities, opportunities_all_incomplete, compare_products, product_detail,
         product_detail_histories, provenance_list, product_sources, pain_point_counts, main_pain_points,
     ]
 }

@@ -26,3 +26,5 @@ FINDINGS = "run_id string, kind string, record_no bigint, identifier string, det
 REPORTS = "run_id string, measure string, n bigint"
 RUNS = """run_id string, data_source_id bigint, status string, created_at timestamp, finished_at timestamp, received bigint, created bigint,
   updated bigint, rejected bigint, duplicates bigint, error string"""
+SCORES = """product_id string, selling_price double, final_score double, score_status string, risk_score double, classification string,
+  data_completeness double, computed_at timestamp, score_breakdown string"""

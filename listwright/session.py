@@ -22,7 +22,7 @@ SETTINGS = {
     # A hot join key is split even where the split costs one more shuffle further on.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Whole texts travel in batches: fewer rows at a time bound what a Python worker holds.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 #: For the session builder only: call sites of every column expression double the time it takes to
 #: build a wide projection.

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from listwright import schemas
+
 
 class Store:
     """Parquet tables under one root, read through the newest commit.
@@ -74,9 +76,15 @@ class Store:
                 run.append(name, df)
 
     def read_snapshot(self, name: str, schema) -> DataFrame:
+        """The table of the newest commit; an empty one if there is none."""
         folder = self._versions().get(name)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{folder}") if folder else self.spark.createDataFrame([], schema)
 
+    def with_run_time(self, rows: DataFrame) -> DataFrame:
+        """Adds ``run_at``, when the row's run was finished; NULL for rows of no completed run."""
+        runs = self.read_history("runs", schemas.RUNS).where("status = 'completed'")
+        return rows.join(runs.select("run_id", F.col("finished_at").alias("run_at")), "run_id", "left")
+
     def read_history(self, name: str, schema) -> DataFrame:
         """Rows of all committed runs."""
         fs, base = self._path(name)

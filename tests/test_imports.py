@@ -210,3 +210,20 @@ def test_insert_if_absent(spark):
     stored = spark.createDataFrame([("a", 1)], "k string, v int")
     incoming = spark.createDataFrame([("a", 9), ("b", 3), ("b", 2)], "k string, v int")
     assert [tuple(r) for r in insert_if_absent(stored, incoming, ["k"]).collect()] == [("b", 2)]
+
+
+def test_scores_of_the_store(spark, now, tmp_path):
+    import datetime as dt
+
+    from listwright.plans import rescore
+
+    store = Store(spark, str(tmp_path))
+    other = {**GOLDEN, "product_id": "OTHER", "product_url": "https://shop.in/p/2/", "product_name": "Second one", "supplier_cost": None}
+    _import(spark, store, [GOLDEN, other], "run-1", now)
+    sources = config.literal_table(spark, [(1, "real_data_import")], ["data_source_id", "name"])
+    cat = rescore.stored_catalog(store, config.fees(spark), config.marketplaces(spark), sources)
+    rescore.write_scores(store, cat, dt.date(2026, 10, 1), "rescore-1", dt.datetime(2026, 10, 1))
+    rows = {r.product_id: r for r in store.read_snapshot("scores", schemas.SCORES).collect()}
+    assert len(rows) == 2 and {r.score_status for r in rows.values()} == {"COMPLETE", "INCOMPLETE"}
+    assert all('"subScores"' in r.score_breakdown and r.computed_at == dt.datetime(2026, 10, 1) for r in rows.values())
+    assert len(store.read_snapshot("products", schemas.PRODUCTS).collect()) == 2
