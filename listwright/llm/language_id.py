@@ -26,15 +26,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh32_intdigest
 
 from listwright.llm.common import map_rows
 
 UNKNOWN = "und"
-DIMENSIONS = 1 << 15
+DIMENSIONS, LETTERS = 1 << 15, 24
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 SAMPLE, RUNS, RUN = 150, 8, 32
 FREQUENT, ROUNDS, RATE, RIDGE, SWITCH = 3, 50, 0.15, 1e-4, 16
-STEP, WORDS, KEPT = 16, 100_000, 600_000
+STEP, WORDS, KEPT = 16, 60_000, 200_000
 #: Bound of the difference of a word's scores, so that products over a block stay within double precision.
 SPAN = 30.0
 _WORD = re.compile(r"[^\W\d_]+")
@@ -45,15 +45,30 @@ def words_of(text: str | None) -> list[str]:
     return found if not any(w[0] > "\x7f" for w in found) else [w for w in found if any(map(str.isalpha, w))]
 
 
-def features(word: str, lexicon: frozenset[str]) -> list[int]:
-    """Hashed affixes of up to 3 letters, n-grams of 2 and 3 letters, the length and, from the lexicon, the word."""
-    short = word[:24]
-    names = [f"<{short[:k]}" for k in (1, 2, 3)] + [f"{word[-k:]}>" for k in (1, 2, 3)]
-    names += [short[i : i + k] for k in (2, 3) for i in range(len(short) - k + 1)]
-    names.append(f"#{min(len(word), 12)}")
-    if word in lexicon:
-        names.append(f"={word}")
-    return [xxh32_intdigest(n) % DIMENSIONS for n in names]
+def _hashed(kind: int, *letters: np.ndarray) -> np.ndarray:
+    mixed = np.full(letters[0].shape, kind, np.uint64)
+    for part in letters:
+        mixed = (mixed + part) * _MIX
+        mixed ^= mixed >> np.uint64(29)
+    return (mixed % np.uint64(DIMENSIONS)).astype(np.int32)
+
+
+def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the weights, which of them hold) of each word: affixes of up to 3 letters, n-grams of 2 and 3 of its first
+    LETTERS letters, its length and, from the lexicon, the word itself. All but the last are hashed, for all words at once."""
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    letter = np.array(words, f"<U{LETTERS}").view(np.uint32).reshape(len(words), LETTERS).astype(np.uint64)
+    tail = np.array([w[-3:].rjust(3, "\0") for w in words], "<U3").view(np.uint32).reshape(len(words), 3).astype(np.uint64)
+    two = _hashed(7, letter[:, :-1], letter[:, 1:])
+    three = _hashed(8, letter[:, :-2], letter[:, 1:-1], letter[:, 2:])
+    heads = [_hashed(k, *letter[:, :k].T) for k in (1, 2, 3)]
+    tails = [_hashed(3 + k, *tail[:, 3 - k :].T) for k in (1, 2, 3)]
+    size = _hashed(9, np.minimum(length, 12).astype(np.uint64))
+    own = np.fromiter((lexicon.get(w, -1) for w in words), np.int64, len(words))
+    places = np.column_stack([*heads, *tails, size, DIMENSIONS + np.maximum(own, 0), two, three])
+    seen = np.minimum(length, LETTERS)[:, None]
+    enough = [length >= k for k in (1, 2, 3)]
+    return places, np.column_stack([*enough, *enough, np.ones(len(words), bool), own >= 0, np.arange(2, LETTERS + 1) <= seen, np.arange(3, LETTERS + 1) <= seen])
 
 
 def _softened(scores: np.ndarray) -> np.ndarray:
@@ -63,16 +78,18 @@ def _softened(scores: np.ndarray) -> np.ndarray:
 class Chain:
     """Weights of the features and log transitions between the languages; the state before the first word is unknown."""
 
-    def __init__(self, languages: list[str], lexicon: frozenset[str]):
+    def __init__(self, languages: list[str], lexicon: list[str]):
         n = len(languages)
-        self.languages, self.lexicon = languages, lexicon
-        self.weights, self.moves = np.zeros((DIMENSIONS, n)), np.zeros((n, n))
+        self.languages, self.lexicon = languages, {w: i for i, w in enumerate(lexicon)}
+        self.weights, self.moves = np.zeros((DIMENSIONS + len(lexicon) + 1, n)), np.zeros((n, n))
 
     def score(self, words: list[str]) -> np.ndarray:
         """Scores of words, each taken alone."""
-        found = [features(w, self.lexicon) for w in words]
-        edges = np.cumsum([0] + [len(f) for f in found])[:-1]
-        return np.add.reduceat(self.weights[np.concatenate([np.array(f) for f in found])], edges, axis=0)
+        out = np.empty((len(words), len(self.languages)))
+        for at in range(0, len(words), 4096):
+            places, held = features(words[at : at + 4096], self.lexicon)
+            out[at : at + 4096] = self.weights[np.where(held, places, -1)].sum(axis=1)  # the last row stays 0
+        return out
 
     def posteriors(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Probability of each language at each word of texts laid end to end, ``lengths`` words each (all above 0)."""
@@ -174,12 +191,12 @@ def fit(runs: dict[str, list[list[str]]]) -> Chain | None:
         return None
     words, labels = _spliced(runs, languages)
     counts = Counter(words)
-    chain = Chain(languages, frozenset(w for w, c in counts.items() if c >= FREQUENT))
     types = sorted(counts)
+    chain = Chain(languages, [w for w in types if counts[w] >= FREQUENT])
     place = {w: i for i, w in enumerate(types)}
     ids = np.fromiter((place[w] for w in words), int, len(words))
-    found = [features(w, chain.lexicon) for w in types]
-    sizes, flat = np.array([len(f) for f in found]), np.concatenate([np.array(f) for f in found])
+    places, held = features(types, chain.lexicon)
+    flat, sizes = places[held], held.sum(axis=1)
     edges, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(types)), sizes)
     n, count = len(languages), len(labels)
     gold = np.eye(n)[labels]
@@ -205,7 +222,7 @@ def fit(runs: dict[str, list[list[str]]]) -> Chain | None:
             message /= message.sum(axis=1, keepdims=True)
         rest = (gold - expected).reshape(-1, n)
         by_type = np.stack([np.bincount(ids, rest[:, i], len(types)) for i in range(n)], axis=1)
-        slope = {"w": np.stack([np.bincount(flat, by_type[owner, i], DIMENSIONS) for i in range(n)], axis=1) / count - RIDGE * chain.weights, "m": (seen_moves - moved) / count}
+        slope = {"w": np.stack([np.bincount(flat, by_type[owner, i], len(chain.weights)) for i in range(n)], axis=1) / count - RIDGE * chain.weights, "m": (seen_moves - moved) / count}
         for key, value in (("w", chain.weights), ("m", chain.moves)):
             first[key] = 0.9 * first[key] + 0.1 * slope[key]
             second[key] = 0.99 * second[key] + 0.01 * slope[key] ** 2

@@ -34,7 +34,7 @@ def brute(scores, moves):
 def test_posteriors_equal_all_labellings(monkeypatch):
     monkeypatch.setattr(language_id, "STEP", 3)
     random = np.random.default_rng(4)
-    model = language_id.Chain(["a", "b", "c"], frozenset())
+    model = language_id.Chain(["a", "b", "c"], [])
     model.moves = random.normal(size=(3, 3))
     lengths = np.array([1, 7, 3, 2, 6])
     scores = random.normal(size=(lengths.sum(), 3)) * 3
