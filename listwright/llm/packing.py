@@ -4,8 +4,8 @@ A document's tokens and one end token are cut into pieces of ``MAX`` tokens and,
 of its length, longest first. Every piece is a sequence of its own, so none crosses documents and none needs padding;
 sequences of equal length form a bucket, from which batches without padding are drawn (``write_buckets``).
 
-White space separates tokens in this vocabulary, so a text is cut at white space and the ids of each short part are
-looked up in a bounded table per task; parts not in it are encoded by the tokenizer.
+Tokens of this vocabulary lie within the pieces of a pattern, so the ids of short pieces are looked up in a bounded table
+per task; pieces not in it are encoded by the tokenizer's model.
 
 Defined cases: null text is empty text and gives one piece with the end token; repeated rows are packed each for
 itself; other columns are ignored; an empty table gives no rows. ``sequence_id`` is unique in the result.
@@ -14,6 +14,7 @@ itself; other columns are ignored; an empty table gives no rows. ``sequence_id``
 from __future__ import annotations
 
 import re
+from struct import pack as pack_ints
 from zlib import crc32
 
 import numpy as np
@@ -25,18 +26,19 @@ from listwright.llm.common import map_rows
 
 VOCABULARY = "word_bpe_49k.json"
 END, MAX = 1, 2048
-#: Longer parts between white space are not kept in the table; beyond so many parts a task starts a new table.
-KEPT_CHARS, KEPT_PARTS = 32, 500_000
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Longer pieces are not kept in the table; beyond so many pieces a task starts a new table.
+KEPT_CHARS, KEPT_PIECES = 32, 200_000
+_PLAIN, _SEPARATOR = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*"), re.compile(r"[\x1c-\x1f]")
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\t-\r ]+")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
 
 
 class Encoder(dict):
-    """Ids as little-endian unsigned 32-bit numbers by part between white space, for this vocabulary's rules.
+    """Ids as little-endian unsigned 32-bit numbers, by piece, for this vocabulary's rules.
 
-    Parts of printable ASCII and Latin-1 letters are lower-cased and split here by the tokenizer's own pattern, and only
-    its model is asked, once for each piece; all others go through the whole tokenizer.
+    Texts of printable ASCII, Latin-1 letters and ASCII white space are lower-cased and split here by the tokenizer's own
+    pattern, and only its model is asked, once for each piece in the table. Of other texts the parts between white
+    space that are plain are handled so, the others go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -44,38 +46,36 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces: dict[str, bytes] = {}
         # The byte alphabet of byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = (b for b in range(256) if b not in printable)
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            text = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            found = np.array([t.id for t in self.tokenizer.model.tokenize(text)], "<u4").tobytes()
-            if len(self.pieces) >= KEPT_PARTS:
-                self.pieces.clear()
-            self.pieces[piece] = found
-        return found
-
-    def __missing__(self, part: str) -> bytes:
-        found = b"".join(map(self.piece, _PIECE.findall(part.lower()))) if len(part) <= KEPT_CHARS and _PLAIN.fullmatch(part) and "<|" not in part else self.whole(part)
-        if len(part) <= KEPT_CHARS:
-            if len(self) >= KEPT_PARTS:
+    def __missing__(self, piece: str) -> bytes:
+        text = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        ids = [t.id for t in self.tokenizer.model.tokenize(text)]
+        found = pack_ints(f"<{len(ids)}I", *ids)
+        if len(piece) <= KEPT_CHARS:
+            if len(self) >= KEPT_PIECES:
                 self.clear()
-            self[part] = found
+            self[piece] = found
         return found
 
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, _PIECE.findall(text.lower())))
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
+        if "<|" in text:  # may be the string of a special token
+            return self.whole(text)
+        if _PLAIN.fullmatch(text):
+            return self.plain(text)
         # Python takes the separators \x1c-\x1f for white space, the tokenizer doesn't.
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        if _SEPARATOR.search(text):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(self.plain(part) if _PLAIN.fullmatch(part) else self.whole(part) for part in text.split())
 
 
 def lengths(tokens: int, most: int) -> list[int]:
