@@ -105,7 +105,7 @@ def _profile(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, open_sets, waiting = np.zeros(1 << COUNTERS, np.int64), [], 0
-        met, twice = np.zeros(1 << MARKS, bool), []
+        met, twice = np.zeros((1 << MARKS) // 8, np.uint8), []
         shift, mark_shift = np.uint64(64 - COUNTERS), np.uint64(64 - MARKS)
         add = lambda: counts + np.bincount(np.concatenate(open_sets).astype(np.int64), minlength=len(counts))
         for batch in batches:
@@ -119,8 +119,10 @@ def _profile(docs: DataFrame) -> DataFrame:
                 buckets = ((least[0::2] * _STEP) ^ least[1::2]).astype(np.int64).tolist()
                 rows.append((0, doc_id, len(tokens), node_of(tokens), *buckets, None, None))
                 marks = (tokens >> mark_shift).astype(np.int64)
-                twice.append(marks[met[marks]])
-                met[marks] = True
+                byte, bit = marks >> 3, np.left_shift(1, marks & 7).astype(np.uint8)
+                twice.append(marks[met[byte] & bit > 0])
+                first = np.flatnonzero(np.diff(byte, prepend=-1))  # the marks ascend, so those of one byte are neighbours
+                met[byte[first]] |= np.bitwise_or.reduceat(bit, first)
                 open_sets.append(tokens >> shift)
                 waiting += len(tokens)
                 if waiting > len(counts):
@@ -133,7 +135,7 @@ def _profile(docs: DataFrame) -> DataFrame:
             blank = [None] * (3 + len(BUCKETS))
             rows = [(1, *blank, i, counts[i * chunk : (i + 1) * chunk].astype("<i8").tobytes()) for i in range(len(counts) // chunk)]
             marks = np.unique(np.concatenate(twice))
-            edges = np.searchsorted(marks, np.arange(0, len(met) + 1, 1 << COUNTERS))
+            edges = np.searchsorted(marks, np.arange(0, (1 << MARKS) + 1, 1 << COUNTERS))
             rows += [(2, *blank, i, marks[a:b].astype("<i4").tobytes()) for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "counts" else pa.int64()) for c, k in zip(zip(*rows), names)], names=names)
 
