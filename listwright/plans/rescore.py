@@ -119,7 +119,7 @@ def stored_catalog(store: Store, fees: DataFrame, marketplaces: DataFrame, sourc
     """The catalog as the newest commit has it; of rows collected at one time the one of the later run is newer."""
     history = lambda name, schema: store.with_run_time(store.read_history(name, schema))
     return Catalog(
-        products=store.read_snapshot("products", schemas.PRODUCTS).withColumn("data_source_id", F.lit(None).cast("long")),
+        products=store.read_snapshot("products", schemas.PRODUCTS).select("*", "dimensions.*", F.lit(None).cast("long").alias("data_source_id")),
         prices=history("prices", schemas.PRICES), metrics=history("metrics", schemas.METRICS),
         costs=history("costs", schemas.COSTS).withColumn("record_no", F.lit(0).cast("long")), pain_points=store.read_snapshot("pain_points", schemas.PAIN_POINTS),
         fees=fees, marketplaces=marketplaces, sources=sources, tiebreak=("run_at", "run_id", "record_no"),
