@@ -32,9 +32,11 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 from xxhash import xxh3_64_intdigest
 
 from listwright.llm.common import add_up, map_rows
@@ -321,8 +323,8 @@ def _candidates(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
     return matrix.join(other, "token").where((F.col("group") < F.col("group2")) & lengths & enough).select(F.col("group").alias("a"), F.col("group2").alias("b")).distinct()
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id it is linked to directly or through others, itself included)."""
+def _linked_rows(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n, node, component_id and first: whether the row has its component's smallest (doc_id, node)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     profile = _profile(texts)
     levels, repeated = _levels(profile), _repeated(profile)
@@ -354,20 +356,38 @@ def join(docs: DataFrame) -> DataFrame:
     between = found.join(name.withColumnsRenamed({"node": "a", "group": "ga"}), "a").join(name.withColumnsRenamed({"node": "b", "group": "gb"}), "b")
     roots = components(between.select(F.col("ga").alias("a"), F.col("gb").alias("b"))).select(F.col("node").alias("group"), "root")
     whole = groups.join(roots, "group", "left").select("node", "rep", F.coalesce("root", "group").alias("root"))
-    smallest = whole.groupBy("root").agg(F.min("rep").alias("component"))
-    named = whole.join(smallest, "root").select("node", "component")
+    smallest = whole.groupBy("root").agg(F.min(F.struct("rep", "node")).alias("least"))
+    named = whole.join(smallest, "root").select("node", F.col("least.rep").alias("component"), (F.col("node") == F.col("least.node")).alias("leads"))
     out = rows.join(named, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("doc_id", "n", "node", component.alias("component_id"), (F.col("leads") & (F.col("doc_id") == F.col("component"))).alias("first"))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id it is linked to directly or through others, itself included)."""
+    return _linked_rows(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+@F.pandas_udf(LongType())
+def _nodes(texts: pd.Series) -> pd.Series:
+    return pd.Series([node_of(tokens) if len(tokens := shingles(text)) else None for text in texts], dtype="Int64")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without near copies: of each component the row of the smallest doc_id, of repeated doc_ids the first by text. Rows without doc_id stay."""
-    linked = stage(join(docs).select("doc_id", "component_id"), "jaccard-components")
-    gone = linked.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = linked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    once = rest.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    several = rest.join(repeated, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"), place.alias("place")).where("place = 1").select("row.*")
-    return once.unionByName(several)
+    """The documents without near copies: of each component one row, that of the smallest doc_id and then node, the first by text.
+
+    Rows are told apart by doc_id and node, so rows that share a doc_id are decided each for itself. Rows without
+    doc_id and rows with an empty set are linked with nothing and stay.
+    """
+    linked = stage(_linked_rows(docs).where("doc_id is not null and node is not null").select("doc_id", "node", "first"), "jaccard-components")
+    ids = linked.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("first").alias("first"))
+    text = F.col("text").cast("binary")
+    blank = F.coalesce(~F.decode(text, "ISO-8859-1").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    # A doc_id on one row with a set stands for that row; only of the others the node is made again from the text.
+    once = docs.join(ids.where("rows > 1 or not first").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    empty = docs.where(blank).join(ids.where("rows > 1 or not first").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    repeated = docs.where(~blank).join(ids.where("rows > 1").select("doc_id"), "doc_id", "left_semi")
+    repeated = repeated.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _nodes(text).alias("node"))
+    several = repeated.join(linked.where("first").select("doc_id", "node"), ["doc_id", "node"], "left_semi")
+    several = several.groupBy("doc_id", "node").agg(F.min_by("row", "row.text").alias("row")).select("row.*")
+    return once.unionByName(empty).unionByName(several)

@@ -57,6 +57,19 @@ def test_empty_tables_and_the_kept_rows(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(1, "a b c d e f"), (3, "x"), (None, "a b c d e f"), (4, None), (5, "other words stand in this one")], key=repr)
 
 
+def test_rows_of_one_doc_id_are_decided_each_for_itself(spark):
+    random = np.random.default_rng(9)
+    a, b, c, d, e = (text(random, 60) for _ in range(5))
+    docs = [(3, a), (3, b), (1, b + " more"), (7, a + " more")]  # 1 stands for b and 3 for a
+    docs += [(20, c), (20, d), (20, d.upper()), (21, d + " more"), (22, e), (22, e), (23, e)]
+    docs += [(7, None), (30, ""), (30, " \t"), (22, None), (22, None), (None, c), (None, c)]
+    kept = jaccard.one_of_each(spark.createDataFrame([(i, t, 1, "x", 2) for i, t in docs], SCHEMA).repartition(5))
+    want = [(3, a), (1, b + " more"), (20, c), (20, d.upper()), (22, e)]
+    want += [(7, None), (30, ""), (30, " \t"), (22, None), (22, None), (None, c), (None, c)]
+    assert kept.columns == ["doc_id", "text", "n", "node", "group"]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("sample", ["", "a", "a b c d", "A b C d e", "a b a b a b a b", "x\x1cy z\x85w q r s t u"])
 def test_shingles_count_like_tuples(sample):
     assert len(jaccard.shingles(sample.encode())) == len(shingles(sample))
