@@ -4,7 +4,7 @@ Components become ``floor(256 * x)``. The dimensions are dealt into ``LISTS`` bl
 score, and a query's score is the sum over its blocks. For a block of queries:
 
 1. every task keeps, for each query and list, its ``k`` best partial scores and the list's smallest; the lists are
-   gathered per query, the candidates seen get a lower bound (the smallest score where a list wasn't seen), and the
+   gathered per query, the rows seen get a lower bound (the smallest score where a list wasn't seen), and the
    k-th best bound is the query's safe cutoff;
 2. the cutoffs are broadcast; a candidate that stays below the floor plus an equal share of the cutoff in every list
    can't reach it. Tasks collect the entries above the share and bound what is missing from above;
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from listwright.session import stage
 
 SCALE, LISTS, QUERY_BLOCK, ROWS = 256, 4, 4096, 512
-ENTRIES = "query_id long, list int, vec_id long, partial double, low double"
+ENTRIES = "query_id long, list int, row long, partial double, low double"
 RESULT = "query_id long, vec_id long, score long"
 #: Sums below this are exact in double precision.
 EXACT = 2.0**53
@@ -47,18 +47,18 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & whole & finite).select(F.col("vec_id").cast("long").alias("vec_id"), ints.alias("v"))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) for each vector length among some rows."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(vec_ids, row numbers, matrix) for each vector length among some rows."""
     for batch in batches:
         lists = batch.column(1)
         sizes = np.diff(lists.offsets.to_numpy())
         flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-        ids = batch.column(0).to_numpy()
+        ids, numbers = batch.column(0).to_numpy(), batch.column(2).to_numpy()
         for d in np.unique(sizes):
             rows = np.flatnonzero(sizes == d)
             for i in range(0, len(rows), ROWS):
                 some = rows[i : i + ROWS]
-                yield ids[some], flat[at[some][:, None] + np.arange(d)]
+                yield ids[some], numbers[some], flat[at[some][:, None] + np.arange(d)]
 
 
 def _parts(d: int, lists: int) -> list[slice]:
@@ -101,12 +101,10 @@ def _lists(queries: Queries, k: int, lists: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for ids, rows in _blocks(batches):
+        for ids, numbers, rows in _blocks(batches):
             d = rows.shape[1]
             if d not in queries.by_length:
                 continue
-            order = np.argsort(ids, kind="stable")
-            ids, rows = ids[order], rows[order]
             asked, vectors = queries.by_length[d]
             own = asked[:, None] == ids[None, :]
             for j, part in enumerate(_parts(d, lists)):
@@ -114,7 +112,7 @@ def _lists(queries: Queries, k: int, lists: int):
                 low = scores.min(axis=1)
                 scores[own] = -np.inf
                 best = _best(scores, k)
-                some, names = np.take_along_axis(scores, best, axis=1), ids[best]
+                some, names = np.take_along_axis(scores, best, axis=1), numbers[best]
                 if (d, j) in held:
                     was, known, least = held[d, j]
                     some, names, low = np.hstack([was, some]), np.hstack([known, names]), np.minimum(least, low)
@@ -123,7 +121,7 @@ def _lists(queries: Queries, k: int, lists: int):
                 held[d, j] = some, names, low
         for (d, j), (some, names, low) in held.items():
             wide = lambda x: np.broadcast_to(x[:, None], some.shape).ravel()
-            out = {"query_id": wide(queries.by_length[d][0]), "list": np.full(some.size, j, np.int32), "vec_id": names.ravel(), "partial": some.ravel(), "low": wide(low)}
+            out = {"query_id": wide(queries.by_length[d][0]), "list": np.full(some.size, j, np.int32), "row": names.ravel(), "partial": some.ravel(), "low": wide(low)}
             yield pa.RecordBatch.from_pydict(out)
 
     return run
@@ -133,11 +131,12 @@ def cutoffs(entries: DataFrame, k: int) -> DataFrame:
     """query_id, cutoff (k-th best lower bound over the floors), floors (by list): one row per query, aggregated in the cluster."""
     floors = entries.groupBy("query_id", "list").agg(F.min("low").alias("low"))
     by_query = floors.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("list", "low"))).alias("floors"))  # LISTS entries a query
-    seen = entries.where("partial > double('-infinity')").groupBy("query_id", "list", "vec_id").agg(F.max("partial").alias("partial"))
-    rank = F.row_number().over(Window.partitionBy("query_id", "list").orderBy(F.desc("partial"), "vec_id"))
+    # By row: rows that share a vec_id may hold different vectors, whose partial scores don't add up.
+    seen = entries.where("partial > double('-infinity')").drop("low")
+    rank = F.row_number().over(Window.partitionBy("query_id", "list").orderBy(F.desc("partial"), "row"))
     seen = seen.withColumn("rank", rank).where(F.col("rank") <= k).join(floors, ["query_id", "list"])
-    bounds = seen.groupBy("query_id", "vec_id").agg(F.sum(F.col("partial") - F.col("low")).alias("bound"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "vec_id"))
+    bounds = seen.groupBy("query_id", "row").agg(F.sum(F.col("partial") - F.col("low")).alias("bound"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "row"))
     cut = bounds.withColumn("place", place).where(F.col("place") == k).select("query_id", F.col("bound").alias("cutoff"))
     return by_query.join(cut, "query_id", "left").select("query_id", F.coalesce("cutoff", F.lit(0.0)).alias("cutoff"), "floors.low")
 
@@ -147,7 +146,7 @@ def _resolve(queries: Queries, cut: dict[int, tuple[float, np.ndarray]], k: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, pd.DataFrame] = {}
-        for ids, rows in _blocks(batches):
+        for ids, _, rows in _blocks(batches):
             d = rows.shape[1]
             if d not in queries.by_length:
                 continue
@@ -181,7 +180,7 @@ def _resolve(queries: Queries, cut: dict[int, tuple[float, np.ndarray]], k: int,
 
 def top(vectors: DataFrame, queries: DataFrame, k: int, lists: int = LISTS, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` highest scores of each query vector over all other vectors."""
-    rows = stage(usable(vectors), "topk-rows")
+    rows = stage(usable(vectors).withColumn("row", F.monotonically_increasing_id()), "topk-rows")
     asked = usable(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = stage(asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(2**31))), "topk-queries")
     spark = vectors.sparkSession

@@ -32,6 +32,10 @@ def test_ties_repeats_nulls_and_lengths(spark):
     check(spark, rows, [0, 3, 20, 22, 24, 25, 26, 27])
 
 
+def test_different_vectors_under_one_id(spark):
+    check(spark, [(0, [1.0] * 4), *((i, [3.0] * 4) for i in range(1, 5)), (5, [10.0, 0.0, 0.0, 0.0]), (5, [0.0, 10.0, 0.0, 0.0])], [0], k=5)
+
+
 def test_huge_components_stay_exact(spark):
     rows = [(i, [1e6 + i, 3.0 - i, -1e6 * i]) for i in range(12)]
     check(spark, rows, [0, 5], kind="double")
