@@ -66,3 +66,14 @@ def add_up(parts: DataFrame, dtype: str) -> dict[int, np.ndarray]:
 
     rows = parts.select(F.col("chunk").cast("long"), "values").repartition("chunk").mapInArrow(add, "chunk long, values binary").collect()
     return {r["chunk"]: np.frombuffer(r["values"], dtype) for r in rows}
+
+
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """Exactly these columns, whatever others there are: a column spelled alike comes before one that differs in case.
+
+    Works by position, so names that clash but for case, or hold dots, don't matter.
+    """
+    at = [next((i for i, c in enumerate(df.columns) if c == n), next((i for i, c in enumerate(df.columns) if c.lower() == n.lower()), None)) for n in names]
+    if None in at:
+        raise ValueError(f"column {names[at.index(None)]} is missing; there are {df.columns}")
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).select(*[F.col(f"_{i}").alias(n) for i, n in zip(at, names)])
