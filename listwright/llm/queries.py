@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from listwright.llm import cover_tree, jaccard, language_id, license_scan, mixing, packing, pii, quality, topk, url_filter
+from listwright.llm import cover_tree, jaccard, language_id, license_scan, mixing, packing, pii, quality, queries_text, topk, url_filter
 from listwright.llm.common import fold, table
 
 
@@ -53,7 +53,7 @@ def op10_license_scans(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("blocks")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_quality, op3_language_id, op4_topk, op5_packing, op6_pii, op7_cover_tree, op8_mixing, op9_jaccard_join, op10_license_scans)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_quality, op3_language_id, op4_topk, op5_packing, op6_pii, op7_cover_tree, op8_mixing, op9_jaccard_join, op10_license_scans)} | queries_text.QUERIES
 
 _HITS = "len(list_filter([{terms}], lambda t: regexp_matches(u, '(^|[^a-z0-9])' || t || '([^a-z0-9]|$)')))"
 _RULES = ", ".join(f"('{rule}', '{verdict}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}')" for rule, verdict in url_filter.RULES)
@@ -153,4 +153,4 @@ best AS (SELECT r, max(c) AS c FROM found GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a AS first_word, b AS last_word,
   coalesce(base.l, '') AS base_labels, coalesce(joined.l, '') AS labels, CASE WHEN n > 0 THEN 1.0 ELSE coalesce(c, 0.0) END::DOUBLE AS score
 FROM d LEFT JOIN base USING (r) LEFT JOIN joined USING (r) LEFT JOIN best USING (r)""",
-}
+} | queries_text.SQL
