@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -98,8 +98,10 @@ def changed_on_arrival(
     may be stored, but does not become the newest. ``on_file`` holds one newest stored row per key
     (``key``, ``at``, ``fields``); ``arrival`` numbers the rows of the batch uniquely.
 
-    Each partition is replayed as a stream of Arrow batches, so memory does not grow with a key. A
-    key with more than ``limit`` rows is cut into arrival ranges of at most ``limit`` rows that are
+    A key whose rows arrive in collected order, none before its stored row, is compared row by row with the row before it: there
+    a skipped row equals the stored one, so ``lag`` is exact, on hot keys by slices. Only keys with a late row are replayed, as
+    a late row may be stored without becoming the one to compare with: each partition as a stream of Arrow batches, so memory does
+    not grow with a key. Such a key of more than ``limit`` rows is cut into arrival ranges of at most ``limit`` rows that are
     replayed side by side from guessed entry states; the exit of each range becomes the entry of
     the next one until no entry changes, which makes the result exact. After round r the first r
     ranges are right, so the loop ends; a range that stores any row forgets its entry, so two or
@@ -112,6 +114,21 @@ def changed_on_arrival(
     else:
         known = on_file.select(key, F.unix_micros(at).alias("_entry_at"), _signature(fields).alias("_entry_sig"))
         entry = lambda df: df.join(known, key, "left")
+    # A row without a time is late by definition: it can't be placed in the order.
+    seen = with_previous(rows.withColumn("_row", F.struct(F.col(at + "_us").alias("at"), F.col("_sig").alias("sig"))), [key], [arrival], "_row", "_before", limit).drop("_row")
+    seen = stage(entry(seen), "arrivals")
+    before = lambda f: F.when(F.col("_before").isNotNull(), F.col(f"_before.{f}")).otherwise(F.col(f"_entry_{f}"))
+    late = F.col(at + "_us").isNull() | (F.col("_before").isNotNull() & F.col("_before.at").isNull()) | (F.col(at + "_us") < before("at"))
+    replayed = stage(seen.where(F.coalesce(late, F.lit(False))).select(key).distinct(), "late-keys")
+    prompt = seen.join(replayed, key, "left_anti").where(before("sig").isNull() | (before("sig") != F.col("_sig"))).select(*columns)
+    if replayed.isEmpty():
+        return prompt
+    rows = seen.join(replayed, key, "left_semi").select(*columns, "_sig", at + "_us")
+    return prompt.unionByName(_replayed(rows, columns, key, arrival, at, entry, limit))
+
+
+def _replayed(rows: DataFrame, columns: list[str], key: str, arrival: str, at: str, entry: Callable[[DataFrame], DataFrame], limit: int) -> DataFrame:
+    """The rows of keys with late rows that are stored."""
     calm, hot = split_hot(rows, [key], limit)
     parts = [_replay(entry(calm.withColumn("_slice", F.lit(0).cast("long"))), key, arrival, at)]
     if hot is not None:
@@ -142,8 +159,17 @@ def changed_on_arrival(
     return reduce(lambda a, b: a.unionByName(b), [p.select(*columns) for p in parts])
 
 
-def cost_rows(listings: DataFrame, key: str = "product_id") -> DataFrame:
+def cost_rows(listings: DataFrame, key: str = "product_id", carried: tuple[str, ...] = ()) -> DataFrame:
     """Every listing with a cost struct adds a cost row, effective on the day it was collected."""
     return listings.where(F.col("costs").isNotNull()).select(
-        key, "costs.*", F.to_date("collected_at").alias("effective_date"), "collected_at", "confidence_score"
+        key, "costs.*", F.to_date("collected_at").alias("effective_date"), "collected_at", "confidence_score", *carried
     )
+
+
+def folded(on_file: DataFrame, added: DataFrame, run_no: int) -> DataFrame:
+    """Newest rows that a run changes: of its rows and the newest on file, the last by collection time, commit number and record. Both are
+    one run's worth of rows; a product whose newest row stays is not among the result."""
+    rows = on_file.unionByName(added.withColumn("run_no", F.lit(run_no).cast("long")))
+    rest = [c for c in rows.columns if c != "product_id"]
+    last = newest(rows, ["product_id"], ["collected_at", "run_no", "record_no"], rest)
+    return last.where(F.col("run_no") == run_no).select(*on_file.columns)

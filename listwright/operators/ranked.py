@@ -118,14 +118,41 @@ def _order(q: ProductQuery) -> list[Column]:
     return [first, F.col("name").asc(), F.col("product_id").asc()]
 
 
-def page(base: DataFrame, q: ProductQuery) -> DataFrame:
-    """One page with rank numbers: the first page numbers its rows only, a later one numbers all rows by ranges."""
-    order = _order(q)
-    rows = filtered(base, q)
-    if q.offset:
-        rank = F.col("rank")
-        return ranked(rows, order, "rank").withColumn("rank", rank.cast("long")).where((rank > q.offset) & (rank <= q.offset + q.limit))
-    return rows.orderBy(*order).limit(q.limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+#: Rows a task keeps to serve a page; pages further down are cut out by ranges of the sort column.
+PAGE_HEAP = 10_000
+_CUTS = 64
+
+
+def page(base: DataFrame, q: ProductQuery, heap: int = PAGE_HEAP) -> DataFrame:
+    """One page with rank numbers.
+
+    Up to ``heap`` rows from the top the first rows are kept by every task. Further down the sort column's quantiles cut
+    the rows into ranges, one aggregate counts them, and only the ranges that hold the page are sorted and numbered.
+    """
+    order, rows, end = _order(q), filtered(base, q), q.offset + q.limit
+    rank = F.col("rank")
+    on_page = (rank > q.offset) & (rank <= end)
+    if end <= heap:
+        top = rows.orderBy(*order).limit(end)
+        return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).where(on_page)
+    column = F.col(SORTABLE.get(q.sort_by or "finalScore", "final_score"))
+    cuts = rows.agg(F.percentile_approx(column, [i / _CUTS for i in range(1, _CUTS)], 10_000)).first()[0] or []
+    edges = sorted(set(cuts))
+    above = F.lit(0)
+    for edge in edges:
+        above = above + (column > F.lit(edge)).cast("int")
+    # Ranges in the order of the page; rows without a value are the last one.
+    place = above if q.sort_direction == "ASC" else F.lit(len(edges)) - above
+    place = F.when(column.isNull(), F.lit(len(edges) + 1)).otherwise(place)
+    counts = {r["place"]: r["n"] for r in rows.groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    held, ahead, passed = [], None, 0
+    for at in sorted(counts):
+        if passed < end and passed + counts[at] > q.offset:
+            held.append(at)
+            ahead = passed if ahead is None else ahead
+        passed += counts[at]
+    part = rows.where(place.isin(*held)) if held else rows.limit(0)
+    return ranked(part, order, "rank").withColumn("rank", (rank + (ahead or 0)).cast("long")).where(on_page)
 
 
 def total(base: DataFrame, q: ProductQuery) -> DataFrame:

@@ -15,36 +15,58 @@ PRODUCT_COLUMNS = [
 ] + ["verification_notes"]
 
 
-def _index(products: DataFrame, key: str) -> DataFrame:
-    """One stored product per (marketplace, key): the lowest id where a key is not unique."""
-    found = products.where(F.col(key).isNotNull() & (F.col(key) != ""))
-    return found.groupBy("marketplace", key).agg(F.min("product_id").alias(f"by_{key}"))
+KEY_KINDS = ("external_id", "url", "normalized_name")
 
 
-def _lookup(batch: DataFrame, products: DataFrame, key: str) -> DataFrame:
-    """Left join on (marketplace, key); rows without a key get one of their own instead of meeting in one task."""
-    absent = F.col(key).isNull() | (F.col(key) == "")
-    own = F.concat(F.lit("\u0000"), F.col("record_no").cast("string"))
-    index = _index(products, key).withColumnRenamed(key, "_key")
-    return batch.withColumn("_key", F.when(absent, own).otherwise(F.col(key))).join(index, ["marketplace", "_key"], "left").drop("_key")
+def key_entries(rows: DataFrame, *carried: str) -> DataFrame:
+    """One row per key a product or listing can be found under: slot (hash of the key), marketplace, kind, key and ``carried`` columns."""
+    keys = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in KEY_KINDS])
+    some = rows.where("marketplace IS NOT NULL").select("marketplace", F.explode(keys).alias("k"), *carried).where("k.key <> ''")
+    return some.select(F.xxhash64("marketplace", "k.kind", "k.key").alias("slot"), "marketplace", "k.*", *carried)
+
+
+def product_entries(products: DataFrame) -> DataFrame:
+    """The index rows of products."""
+    named = products.withColumn("sample", F.col("dataset_status").eqNullSafe("SAMPLE"))
+    return key_entries(named, "product_id", "sample").withColumn("live", F.lit(True))
+
+
+def changed_entries(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Index rows of products whose record became another: the new entries, and the old ones that no longer hold as withdrawn."""
+    now = product_entries(after)
+    gone = product_entries(before).join(now, ["slot", "marketplace", "kind", "key", "product_id"], "left_anti")
+    return now.unionByName(gone.withColumn("live", F.lit(False)))
+
+
+def match_by(batch: DataFrame, entries: DataFrame, exclude_sample: bool = False) -> DataFrame:
+    """Adds ``existing_id``: the product by external id, else by URL, else by name, of index rows ``entries``; the lowest id where a key has
+    several products.
+
+    Only entries that a row of the batch asks for are aggregated, and once per key, so neither a key that many products share
+    nor one that many rows ask for multiplies rows.
+    """
+    asked = key_entries(batch, "record_no")
+    on = ["slot", "marketplace", "kind", "key"]
+    usable = entries.where("live AND NOT sample" if exclude_sample else "live")
+    found = usable.join(asked.select(*on).distinct(), on, "left_semi").groupBy(*on).agg(F.min("product_id").alias("product_id"))
+    by = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("product_id"))).alias(f"by_{kind}")
+    hits = asked.join(found, on).groupBy("record_no").agg(*[by(k) for k in KEY_KINDS])
+    joined = batch.join(hits, "record_no", "left")
+    return joined.withColumn("existing_id", F.coalesce("by_external_id", "by_url", "by_normalized_name"))
 
 
 def match(batch: DataFrame, products: DataFrame, exclude_sample: bool = False) -> DataFrame:
-    """Adds ``existing_id``: the stored product by external id, else by URL, else by name."""
-    stored = products.where(F.col("dataset_status") != "SAMPLE") if exclude_sample else products
-    for key in ("external_id", "url", "normalized_name"):
-        batch = _lookup(batch, stored, key)
-    return batch.withColumn("existing_id", F.coalesce("by_external_id", "by_url", "by_normalized_name"))
+    """``match_by`` over the entries of products at hand, where there is no stored index."""
+    return match_by(batch, product_entries(products), exclude_sample)
 
 
-def resolve(batch: DataFrame, products: DataFrame, exclude_sample: bool = False) -> DataFrame:
-    """Adds ``product_id``, ``is_new`` and ``conflict`` to a deduplicated batch.
+def resolve(found: DataFrame) -> DataFrame:
+    """Adds ``product_id``, ``is_new`` and ``conflict`` to a deduplicated batch that was matched.
 
     Matching is against the products as they were before the batch. Rows that match nothing share
     the product of the first row of the batch with their URL; that row creates it unless it
     matched. A row whose URL belongs to another product, stored or of an earlier row, conflicts.
     """
-    found = match(batch, products, exclude_sample)
     owner = found.withColumn("_id", F.coalesce("existing_id", product_key(F.col("identity_key"))))
     heads = owner.groupBy("marketplace", "url").agg(F.min_by(F.struct("_id", "record_no", "existing_id"), "record_no").alias("_head"))
     joined = found.join(heads, ["marketplace", "url"])
@@ -57,9 +79,12 @@ def resolve(batch: DataFrame, products: DataFrame, exclude_sample: bool = False)
     return df.withColumn("conflict", F.coalesce(taken, F.lit(False))).drop("_head", "by_external_id", "by_url", "by_normalized_name")
 
 
-def snapshot(products: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Products after the batch: the last record of a product overwrites every column, also with NULL."""
+def snapshot(products: DataFrame | None, resolved: DataFrame) -> DataFrame:
+    """Products after the batch: the last record of a product overwrites every column, also with NULL. Without ``products`` only
+    those the batch changed."""
     last = resolved.groupBy("product_id").agg(F.max_by(F.struct(*PRODUCT_COLUMNS), "record_no").alias("r")).select("product_id", "r.*")
+    if products is None:
+        return last
     untouched = products.join(last.select("product_id"), "product_id", "left_anti")
     return untouched.select("product_id", *PRODUCT_COLUMNS).unionByName(last)
 

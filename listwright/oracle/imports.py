@@ -357,19 +357,58 @@ SQL = {
       {"incoming": f"""SELECT {_SEED_KEY} AS marketplace, CASE WHEN p_size % 2 = 0 THEN 'default' ELSE {binding.CATEGORY} END AS category,
         CASE p_partkey % 3 WHEN 0 THEN 'referral_percentage' WHEN 1 THEN 'commission_percentage' ELSE 'closing_fee_fixed_inr' END AS fee_type, CAST(p_size AS DOUBLE) AS fee_value FROM part"""}),
 }
-EXTRA["price_seq0"] = """SELECT product_id, record_no, floor(selling_price * 100 + 0.5) / 100 AS price, floor(mrp * 100 + 0.5) / 100 AS mrp, collected_at AS seen,
-  product_id IN (SELECT product_id FROM stored_products) AS on_file, row_number() OVER (PARTITION BY product_id ORDER BY record_no) AS n FROM l_resolved"""
 _CHANGED = "s.price IS DISTINCT FROM w.state_price OR s.mrp IS DISTINCT FROM w.state_mrp"
-EXTRA["price_walk"] = f"""SELECT * FROM (WITH RECURSIVE price_seq AS MATERIALIZED (SELECT * FROM price_seq0), walk AS (
+
+
+def price_seq(source: str, order: str, on_file: str = "false") -> str:
+    return f"""SELECT product_id, record_no, floor(selling_price * 100 + 0.5) / 100 AS price, floor(mrp * 100 + 0.5) / 100 AS mrp, collected_at AS seen,
+      {on_file} AS on_file, row_number() OVER (PARTITION BY product_id ORDER BY {order}) AS n FROM {source}"""
+
+
+def price_walk(seq: str) -> str:
+    """Rows of ``seq`` that the change gate keeps, product by product in the order of ``n``."""
+    return f"""SELECT * FROM (WITH RECURSIVE price_seq AS MATERIALIZED (SELECT * FROM {seq}), walk AS (
     SELECT product_id, CAST(NULL AS BIGINT) AS record_no, CAST(0 AS BIGINT) AS n, CASE WHEN on_file THEN TIMESTAMP '2026-09-01' END AS state_at,
-      CASE WHEN on_file THEN CAST(301.0 AS DOUBLE) END AS state_price, CAST(NULL AS DOUBLE) AS state_mrp, on_file AS known, false AS kept, CAST(NULL AS DOUBLE) AS price, CAST(NULL AS DOUBLE) AS mrp
+      CASE WHEN on_file THEN CAST(301.0 AS DOUBLE) END AS state_price, CAST(NULL AS DOUBLE) AS state_mrp, on_file AS known, false AS kept, CAST(NULL AS DOUBLE) AS price, CAST(NULL AS DOUBLE) AS mrp,
+      CAST(NULL AS TIMESTAMP) AS seen
     FROM price_seq WHERE n = 1
     UNION ALL
     SELECT s.product_id, s.record_no, s.n, CASE WHEN (NOT w.known OR {_CHANGED}) AND (w.state_at IS NULL OR s.seen >= w.state_at) THEN s.seen ELSE w.state_at END,
       CASE WHEN (NOT w.known OR {_CHANGED}) AND (w.state_at IS NULL OR s.seen >= w.state_at) THEN s.price ELSE w.state_price END,
       CASE WHEN (NOT w.known OR {_CHANGED}) AND (w.state_at IS NULL OR s.seen >= w.state_at) THEN s.mrp ELSE w.state_mrp END,
-      true, NOT w.known OR {_CHANGED}, s.price, s.mrp FROM walk w JOIN price_seq s ON s.product_id = w.product_id AND s.n = w.n + 1)
+      true, NOT w.known OR {_CHANGED}, s.price, s.mrp, s.seen FROM walk w JOIN price_seq s ON s.product_id = w.product_id AND s.n = w.n + 1)
   SELECT * FROM walk WHERE kept)"""
+
+
+EXTRA["price_seq0"] = price_seq("l_resolved", "record_no", "product_id IN (SELECT product_id FROM stored_products)")
+EXTRA["price_walk"] = price_walk("price_seq0")
+# Three submissions one after the other, each matched with the products as the one before left them.
+_STORED = "product_id, marketplace, external_id, url, normalized_name, dataset_status, name, brand, source_name"
+EXTRA["b0_store"] = f"SELECT {_STORED} FROM stored_products"
+for _k in range(1, 4):
+    EXTRA |= {
+        f"b{_k}_placed": f"SELECT * FROM l_placed WHERE record_no % 3 = {_k - 1}",
+        f"b{_k}_walk": walk(f"b{_k}_placed"),
+        f"b{_k}_kept": f"SELECT p.* FROM b{_k}_placed p JOIN b{_k}_walk USING (record_no) WHERE kept",
+        f"b{_k}_gated": gate(f"b{_k}_kept", "dataset_status"),
+        f"b{_k}_matched": matched(f"b{_k}_gated", f"b{_k - 1}_store"),
+        f"b{_k}_linked": resolved(f"b{_k}_matched"),
+        f"b{_k}_resolved": f"SELECT *, {_k} AS batch FROM b{_k}_linked WHERE NOT conflict",
+        f"b{_k}_last": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY record_no DESC) AS rn FROM b{_k}_resolved) WHERE rn = 1",
+        f"b{_k}_store": f"SELECT {_STORED} FROM b{_k}_last UNION ALL SELECT {_STORED} FROM b{_k - 1}_store WHERE product_id NOT IN (SELECT product_id FROM b{_k}_last)",
+    }
+_SEQ = "product_id, record_no, selling_price, mrp, collected_at, batch"
+EXTRA["b_all"] = " UNION ALL ".join(f"SELECT {_SEQ} FROM b{k}_resolved" for k in range(1, 4))
+EXTRA["b_seq0"] = price_seq("b_all", "batch, record_no").replace("AS n FROM", "AS n, batch FROM")
+EXTRA["b_walk"] = price_walk("b_seq0")
+EXTRA["b_newest"] = "SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY product_id) AS price_rows, row_number() OVER (PARTITION BY product_id ORDER BY seen DESC, n DESC) AS rn FROM b_walk) WHERE rn = 1"
+SQL["store_after_imports"] = q("""SELECT s.product_id, name, url, marketplace, external_id, brand, dataset_status, source_name, price_rows, w.price AS selling_price, w.record_no AS price_record
+  FROM b3_store s LEFT JOIN b_newest w USING (product_id)""")
+SQL["store_index_after_imports"] = q("""SELECT marketplace, k.kind AS kind, k.key AS key, product_id, sample FROM (
+  SELECT marketplace, product_id, dataset_status = 'SAMPLE' AS sample,
+    unnest([{'kind': 'external_id', 'key': external_id}, {'kind': 'url', 'key': url}, {'kind': 'normalized_name', 'key': normalized_name}]) AS k FROM b3_store) WHERE k.key <> ''""")
+SQL["dedupe_chain"] = f"""WITH part_chain AS (SELECT p_partkey AS record_no, 'i' || (p_partkey // 2) AS identity_key, 'n' || ((p_partkey + 1) // 2) AS name_key FROM part),
+  chain_walk AS ({walk("part_chain")}) SELECT record_no, NOT kept AS is_duplicate FROM chain_walk"""
 SQL["import_price_rows"] = q("SELECT product_id, record_no, price AS selling_price, mrp FROM price_walk")
 
 

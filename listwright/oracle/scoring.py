@@ -150,6 +150,8 @@ SQL = {
     "classification_counts": with_ctes("SELECT classification, score_status, count(*) AS products FROM scored GROUP BY ALL"),
     "ranked_products": _page("true", _FINAL_ORDER, 50),
     "ranked_filtered": _page(_FILTER, "risk_score ASC NULLS LAST", 40, 3),
+    "ranked_deep": with_ctes(f"""SELECT {_FLAT} FROM (SELECT *, row_number() OVER (ORDER BY risk_score DESC NULLS LAST, name, product_id) AS rank FROM ranked)
+      WHERE rank > (SELECT count(*) // 2 FROM part) AND rank <= (SELECT count(*) // 2 + 300 FROM part)"""),
     "ranked_total": with_ctes(f"SELECT count(*) AS total FROM ranked WHERE {_FILTER}"),
     "ranked_by_class": _page("classification = 'B' AND dataset_status <> 'SAMPLE' AND score_status='COMPLETE' AND final_score IS NOT NULL", _FINAL_ORDER, 500),
     "export_rows": with_ctes(f"""SELECT row_number() OVER (ORDER BY {_FINAL_ORDER}, name, product_id) AS rank, name AS product, url, marketplace_name AS marketplace, category,

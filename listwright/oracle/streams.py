@@ -15,4 +15,5 @@ SQL = {
     "stream_ledger": "SELECT user_id AS product_id, event_type AS field_name, count(*) AS rows FROM events GROUP BY ALL",
     "stream_import": with_ctes("""SELECT l_last.product_id, name, url, marketplace, external_id, brand, dataset_status, source_name, p.n AS price_rows FROM l_last
       LEFT JOIN (SELECT product_id, count(*) AS n FROM price_walk GROUP BY product_id) p USING (product_id)""", _NOTHING_STORED),
+    "stream_import_used_store": imports.SQL["store_after_imports"],
 }

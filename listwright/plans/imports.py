@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 from listwright import config, schemas
 from listwright.operators import dedupe, history, resolve, standardize, validate
-from listwright.session import stage
-from listwright.sources.tables import Run, Store
+from listwright.session import cleared, stage
+from listwright.sources.tables import Conflict, Run, Store, dimension
 
 DUPLICATE = "another record in this submission already describes this product"
 CONFLICT = "the listing URL already belongs to another product"
@@ -73,17 +74,18 @@ def _warned(accepted: DataFrame) -> DataFrame:
     return accepted.where(F.size("warnings") > 0).select("record_no", F.col("name").alias("identifier"), "warnings")
 
 
-def run_batch(checked: Checked, products: DataFrame, marketplaces: DataFrame, research: bool) -> Batch:
+def run_batch(checked: Checked, match: Callable[[DataFrame, bool], DataFrame], marketplaces: DataFrame, research: bool) -> Batch:
     """Marketplace check, in-file dedupe, verification gate and match with the stored products.
 
-    Research imports never match SAMPLE products, and claim VERIFIED only on request.
+    ``match`` gets the rows and whether SAMPLE products are left out, and adds what ``resolve.match_by`` adds. Research imports never
+    match SAMPLE products, and claim VERIFIED only on request.
     """
     placed = validate.unknown_marketplace(checked.accepted, marketplaces)
     keyed = stage(dedupe.with_keys(placed.where("known_marketplace")), "keyed")
     marked = stage(dedupe.split_duplicates(keyed), "deduplicated")
     claim = F.when(F.col("verification_requested"), "VERIFIED").otherwise("UNVERIFIED") if research else None
     gated = validate.gate(marked.where(~F.col("is_duplicate")), claim)
-    linked = stage(resolve.resolve(gated, products, exclude_sample=research), "resolved")
+    linked = stage(resolve.resolve(match(gated, research)), "resolved")
     resolved = linked.where(~F.col("conflict"))
     duplicates = marked.where("is_duplicate").select("record_no", F.col("name").alias("identifier"))
     rejections = [
@@ -143,9 +145,8 @@ def rejection_counts(rejections: DataFrame) -> DataFrame:
 PROVENANCE = ["source_name", "source_url", "collected_at", "confidence_score"]
 
 
-def price_rows(resolved: DataFrame, prices: DataFrame, order: list[str]) -> DataFrame:
-    """Price rows to append; compared with the newest stored row after rounding to two decimals."""
-    on_file = history.newest(prices, ["product_id"], order, ["collected_at", *history.PRICE_FIELDS])
+def price_rows(resolved: DataFrame, on_file: DataFrame) -> DataFrame:
+    """Price rows to append; compared with the newest stored row (``on_file``, one per product) after rounding to two decimals."""
     cents = lambda c: F.floor(F.col(c) * 100 + 0.5).cast("double") / 100
     rows = resolved.select(
         "product_id", "record_no", cents("selling_price").alias("selling_price"), cents("mrp").alias("mrp"), "discount_percentage", "currency", *PROVENANCE
@@ -153,8 +154,7 @@ def price_rows(resolved: DataFrame, prices: DataFrame, order: list[str]) -> Data
     return history.changed_on_arrival(rows, "product_id", "record_no", "collected_at", history.PRICE_FIELDS, on_file)
 
 
-def metrics_rows(resolved: DataFrame, metrics: DataFrame, order: list[str]) -> DataFrame:
-    on_file = history.newest(metrics, ["product_id"], order, ["collected_at", *history.METRIC_TRIGGERS])
+def metrics_rows(resolved: DataFrame, on_file: DataFrame) -> DataFrame:
     rows = history.with_any_metric(resolved.select("product_id", "record_no", *history.METRIC_FIELDS, "search_term", *PROVENANCE))
     return history.changed_on_arrival(rows, "product_id", "record_no", "collected_at", history.METRIC_TRIGGERS, on_file)
 
@@ -180,41 +180,83 @@ def _run_row(spark, run_id: str, data_source_id: int | None, status: str, now: C
     return df.withColumns({"created_at": now, "finished_at": F.current_timestamp()}).select(*[f.split()[0] for f in schemas.RUNS.split(",")])
 
 
-def write_import(store: Store, raw: DataFrame, run_id: str, now: Column, marketplaces: DataFrame, research: bool, data_source_id: int | None = None) -> None:
+#: Times an import begins again because another run was committed meanwhile.
+ATTEMPTS = 5
+
+
+def write_import(
+    store: Store, raw: DataFrame, run_id: str, now: Column, marketplaces: DataFrame | None, research: bool, data_source_id: int | None = None,
+) -> None:
     """Runs a submission and commits all its tables together; a run that is committed already changes nothing.
 
-    A run that fails leaves the tables as they were and a row with its error in the run log.
+    ``marketplaces`` are the stored ones where none are given. A run that meets another one's commit is repeated on the newer tables. A
+    run that fails leaves the tables as they were and a row with its error in the run log; staged copies go either way.
     """
-    if store.is_committed(run_id):
-        return
+    places = dimension(store, "marketplaces") if marketplaces is None else marketplaces
+    for attempt in range(ATTEMPTS):
+        if store.is_committed(run_id):
+            return
+        try:
+            with cleared(store.spark), store.begin(run_id) as run:
+                _write(run, store, raw, run_id, now, places, research, data_source_id)
+            return
+        except Conflict:
+            if attempt + 1 == ATTEMPTS:
+                raise
+        except Exception as error:
+            _log_failure(store, _run_row(store.spark, run_id, data_source_id, "failed", now, {}, str(error)[:2000]))
+            raise
+
+
+def _log_failure(store: Store, row: DataFrame) -> None:
+    """Best effort: what goes wrong here must not hide the first error."""
     try:
-        with store.begin(run_id) as run:
-            _write(run, store, raw, run_id, now, marketplaces, research, data_source_id)
-    except Exception as error:
-        attempt = f"failed-{uuid.uuid4().hex}"
-        store.append("runs", _run_row(store.spark, run_id, data_source_id, "failed", now, {}, str(error)[:2000]), attempt)
-        raise
+        store.append("runs", row, f"failed-{uuid.uuid4().hex}")
+    except Exception as second:
+        print(f"the failed run could not be logged: {second}")
+
+
+def by_index(store: Store) -> Callable[[DataFrame, bool], DataFrame]:
+    """Matches rows through the stored index: only the buckets of their keys are opened."""
+
+    def match(rows: DataFrame, exclude_sample: bool) -> DataFrame:
+        asked = stage(resolve.key_entries(rows, "record_no").select("slot").distinct(), "slots")
+        buckets = store.touched("product_keys", asked)
+        return resolve.match_by(rows, store.read_snapshot("product_keys", schemas.PRODUCT_KEYS, buckets), exclude_sample)
+
+    return match
+
+
+def load_products(run: Run, products: DataFrame) -> None:
+    """Products given as a whole, with their index."""
+    run.write_snapshot("products", products)
+    run.write_snapshot("product_keys", resolve.product_entries(products))
 
 
 def _write(run: Run, store: Store, raw: DataFrame, run_id: str, now: Column, marketplaces: DataFrame, research: bool, data_source_id: int | None) -> None:
-    products = store.read_snapshot("products", schemas.PRODUCTS)
-    past = {name: store.with_run_time(store.read_history(name, schema)) for name, schema in [("prices", schemas.PRICES), ("metrics", schemas.METRICS)]}
     checked = check_research(raw, now) if research else check_listings(raw, now)
-    batch = run_batch(checked, products, marketplaces, research)
+    batch = run_batch(checked, by_index(store), marketplaces, research)
     tagged = lambda df: df.withColumn("run_id", F.lit(run_id))
-    order = ["collected_at", "run_at", "run_id", "record_no"]  # of rows collected at one time the one of the later run is newer
-    run.append("prices", tagged(price_rows(batch.resolved, past["prices"], order)))
-    run.append("metrics", tagged(metrics_rows(batch.resolved, past["metrics"], order)))
-    run.append("costs", tagged(history.cost_rows(batch.resolved)))
+    # All tables of products share the number of buckets unless one was made with another.
+    ids = stage(batch.resolved.select("product_id").distinct(), "touched")
+    known = lambda name: store.read_snapshot(name, schemas.TABLES[name], store.touched(name, ids)).join(ids, "product_id", "left_semi")
+    costs = history.cost_rows(batch.resolved, carried=("record_no",))
+    for name, rows, order in [("prices", price_rows, history.PRICE_FIELDS), ("metrics", metrics_rows, history.METRIC_TRIGGERS), ("costs", None, None)]:
+        newest = stage(known(f"newest_{name}"), f"newest-{name}")
+        added = costs if rows is None else rows(batch.resolved, newest.select("product_id", "collected_at", *order))
+        added = stage(tagged(added), name)
+        run.append(name, added if rows else added.drop("record_no"))
+        run.upsert(f"newest_{name}", history.folded(newest, added, run.number))
     if research:
         run.append("ledger", resolve.ledger_rows(batch.resolved, F.lit(run_id)))
     run.append("rejections", batch.rejections)
     run.append("findings", tagged(findings(batch)).select("run_id", "kind", "record_no", "identifier", "details"))
     measures = stage(report(batch, research), "report")
     run.append("reports", tagged(measures).select("run_id", "measure", "n"))
-    pains = resolve.replace_by_key(store.read_snapshot("pain_points", schemas.PAIN_POINTS), resolve.pain_point_rows(batch.resolved))
-    run.write_snapshot("pain_points", pains)
-    run.write_snapshot("products", resolve.snapshot(products, batch.resolved))
+    run.upsert("pain_points", resolve.pain_point_rows(batch.resolved))
+    records = stage(resolve.snapshot(None, batch.resolved), "records")
+    run.upsert("product_keys", resolve.changed_entries(known("products"), records))
+    run.upsert("products", records)
     counts = {r["measure"]: r["n"] for r in measures.collect()}
     named = {"received": ("submitted", "received"), "duplicates": ("duplicates_in_file", "skipped_duplicate")}
     counts |= {name: next((counts[m] for m in found if m in counts), None) for name, found in named.items()}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from listwright.operators.economics import with_economics, with_fees
 from listwright.operators.history import METRIC_FIELDS, newest
 from listwright.operators.ranked import ProductQuery, page, rank_base
 from listwright.session import stage
-from listwright.sources.tables import Store
+from listwright.sources.tables import Store, dimension
 
 COST_COLUMNS = [
     "product_cost", "shipping_cost", "packaging_cost", "marketplace_fee_override", "payment_fee",
@@ -38,6 +38,14 @@ class Catalog:
     sources: DataFrame
     #: columns after ``collected_at`` that make "newest" a total order
     tiebreak: tuple[str, ...] = ("row_id",)
+    #: newest rows by history, where they are stored; the others are worked out from the history
+    newest: dict[str, DataFrame] = field(default_factory=dict)
+
+    def latest(self, name: str, values: list[str]) -> DataFrame:
+        """One row per product with the values of its newest row."""
+        if name in self.newest:
+            return self.newest[name].select("product_id", *values)
+        return newest(getattr(self, name), ["product_id"], self.order(), values)
 
     def order(self) -> list[str]:
         return ["collected_at", *self.tiebreak]
@@ -55,12 +63,11 @@ def signals(cat: Catalog) -> DataFrame:
 
     Every child table is reduced to one row per product before the join, all on the same key.
     """
-    order = cat.order()
     return (
         cat.products
-        .join(newest(cat.prices, ["product_id"], order, ["selling_price", "mrp"]), "product_id", "left")
-        .join(newest(cat.metrics, ["product_id"], order, METRIC_FIELDS), "product_id", "left")
-        .join(newest(cat.costs, ["product_id"], order, COST_COLUMNS), "product_id", "left")
+        .join(cat.latest("prices", ["selling_price", "mrp"]), "product_id", "left")
+        .join(cat.latest("metrics", METRIC_FIELDS), "product_id", "left")
+        .join(cat.latest("costs", COST_COLUMNS), "product_id", "left")
         .join(pain_counts(cat.pain_points), "product_id", "left")
     )
 
@@ -115,20 +122,24 @@ def write_scores(store: Store, cat: Catalog, as_of: dt.date, run_id: str, comput
         run.write_snapshot("scores", score_table(explained, cfg, computed_at).join(breakdown, "product_id"))
 
 
-def stored_catalog(store: Store, fees: DataFrame, marketplaces: DataFrame, sources: DataFrame) -> Catalog:
-    """The catalog as the newest commit has it; of rows collected at one time the one of the later run is newer."""
+def stored_catalog(store: Store, fees: DataFrame | None = None, marketplaces: DataFrame | None = None, sources: DataFrame | None = None) -> Catalog:
+    """The catalog as the newest commit has it, with stored dimensions where none are given; of rows collected at one time the one of the
+    later run is newer. Newest rows come from their own tables, so rescoring reads no history."""
+    fees, marketplaces, sources = (dimension(store, n) if d is None else d for n, d in (("fees", fees), ("marketplaces", marketplaces), ("sources", sources)))
+    last = {n: store.read_snapshot(f"newest_{n}", schemas.TABLES[f"newest_{n}"]) for n in ("prices", "metrics", "costs")}
     history = lambda name, schema: store.with_run_time(store.read_history(name, schema))
     return Catalog(
         products=store.read_snapshot("products", schemas.PRODUCTS).select("*", "dimensions.*", F.lit(None).cast("long").alias("data_source_id")),
         prices=history("prices", schemas.PRICES), metrics=history("metrics", schemas.METRICS),
         costs=history("costs", schemas.COSTS).withColumn("record_no", F.lit(0).cast("long")), pain_points=store.read_snapshot("pain_points", schemas.PAIN_POINTS),
-        fees=fees, marketplaces=marketplaces, sources=sources, tiebreak=("run_at", "run_id", "record_no"),
+        fees=fees, marketplaces=marketplaces, sources=sources, tiebreak=("run_at", "run_id", "record_no"), newest=last,
     )
 
 
 def restricted(cat: Catalog, ids: DataFrame) -> Catalog:
     """The catalog cut to a few requested products before anything is aggregated."""
-    return replace(cat, **{name: serve.only(getattr(cat, name), ids) for name in ("products", "prices", "metrics", "costs", "pain_points")})
+    cut = {name: serve.only(getattr(cat, name), ids) for name in ("products", "prices", "metrics", "costs", "pain_points")}
+    return replace(cat, **cut, newest={name: serve.only(rows, ids) for name, rows in cat.newest.items()})
 
 
 def opportunity_inputs(cat: Catalog, as_of: dt.date, q: ProductQuery, cfg: dict | None = None):
@@ -138,7 +149,7 @@ def opportunity_inputs(cat: Catalog, as_of: dt.date, q: ProductQuery, cfg: dict
     top = stage(page(base, forced), "top")
     few = restricted(cat, top)
     detail = economics(few, as_of)
-    searched = newest(few.metrics, ["product_id"], cat.order(), ["search_term"]) if "search_term" in few.metrics.columns else None
+    searched = few.latest("metrics", ["search_term"]) if "search_term" in few.metrics.columns else None
     details = detail.select(
         "product_id", F.col("selling_price").alias("latest_price"), F.col("mrp").alias("latest_mrp"),
         discount_pct(F.col("selling_price"), F.col("mrp")).alias("latest_discount"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwright import binding, binding_raw, config
+from listwright import binding, binding_raw, config, schemas
 from listwright.functions import text as t
 from listwright.functions import urls
 from listwright.operators import dedupe, maintain, resolve, standardize, validate
@@ -165,8 +165,26 @@ def batch_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return dedupe.split_duplicates(_keyed(spark, sf)).select("record_no", "is_duplicate")
 
 
+def dedupe_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Every part as a row that shares one key with the part before it and one with the part behind it: one chain through all rows."""
+    key = F.col("p_partkey")
+    rows = binding.table(spark, sf, "part").select(
+        key.alias("record_no"), F.concat(F.lit("i"), F.floor(key / 2)).alias("identity_key"), F.concat(F.lit("n"), F.floor((key + 1) / 2)).alias("name_key")
+    )
+    return dedupe.split_duplicates(rows).select("record_no", "is_duplicate")
+
+
+def _base_store(spark: SparkSession, sf: str) -> tables.Store:
+    """A store that holds the products on file and their index."""
+    store = tables.Store(spark, scratch_path(spark, "store"))
+    with store.begin("base") as run:
+        imports.load_products(run, _stored_wide(spark, sf))
+    return store
+
+
 def _match(spark: SparkSession, sf: str, real: bool) -> DataFrame:
-    return resolve.match(_keyed(spark, sf), binding_raw.stored(spark, sf), exclude_sample=real).select("record_no", "existing_id")
+    """Matched through the stored index of the products on file."""
+    return imports.by_index(_base_store(spark, sf))(_keyed(spark, sf), real).select("record_no", "existing_id")
 
 
 def entity_match(spark: SparkSession, sf: str) -> DataFrame:
@@ -185,14 +203,19 @@ def _stored_wide(spark: SparkSession, sf: str) -> DataFrame:
     return stored.withColumns({c: F.lit(None).cast(types[c]) for c in absent})
 
 
+def _matcher(spark: SparkSession, sf: str):
+    stored = binding_raw.stored(spark, sf)
+    return lambda rows, exclude_sample: resolve.match(rows, stored, exclude_sample)
+
+
 def _listing_batch(spark: SparkSession, sf: str) -> imports.Batch:
     checked = imports.check_listings(_raw(spark, sf, binding_raw.LISTING), _now())
-    return imports.run_batch(checked, _stored_wide(spark, sf), config.marketplaces(spark), research=False)
+    return imports.run_batch(checked, _matcher(spark, sf), config.marketplaces(spark), research=False)
 
 
 def _research_batch(spark: SparkSession, sf: str) -> imports.Batch:
     checked = imports.check_research(_raw(spark, sf, binding_raw.RESEARCH), _now())
-    return imports.run_batch(checked, _stored_wide(spark, sf), config.marketplaces(spark), research=True)
+    return imports.run_batch(checked, _matcher(spark, sf), config.marketplaces(spark), research=True)
 
 
 def import_resolved(spark: SparkSession, sf: str) -> DataFrame:
@@ -200,25 +223,75 @@ def import_resolved(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def snapshot_merge(spark: SparkSession, sf: str) -> DataFrame:
-    batch = _listing_batch(spark, sf)
-    merged = resolve.snapshot(_stored_wide(spark, sf), batch.resolved)
-    return merged.select("product_id", "name", "url", "marketplace", "external_id", "normalized_name", "brand", "dataset_status", "source_name")
+    """Products on file as a base of which one in three is out of date, a layer that mends those, and the batch as a second layer."""
+    store, stored = tables.Store(spark, scratch_path(spark, "store")), _stored_wide(spark, sf)
+    stale = F.pmod(F.xxhash64("product_id"), F.lit(3)) == 0
+    with store.begin("base") as run:
+        run.write_snapshot("products", stored.withColumns({"name": F.when(stale, "out of date").otherwise(F.col("name")), "brand": F.when(~stale, F.col("brand"))}))
+    with store.begin("mend") as run:
+        run.upsert("products", stored)
+    with store.begin("batch") as run:
+        run.upsert("products", resolve.snapshot(None, _listing_batch(spark, sf).resolved))
+    return store.read_snapshot("products", schemas.PRODUCTS).select("product_id", "name", "url", "marketplace", "external_id", "normalized_name", "brand", "dataset_status", "source_name")
 
 
 def pain_point_replace(spark: SparkSession, sf: str) -> DataFrame:
-    batch = _listing_batch(spark, sf)
-    stored = binding_raw.stored(spark, sf).select("product_id", F.lit("complaint").alias("type"), F.lit("old theme").alias("theme"), F.lit(1).cast("long").alias("mention_count"))
-    incoming = resolve.pain_point_rows(batch.resolved).select("product_id", "type", "theme", "mention_count")
-    return resolve.replace_by_key(stored, incoming)
+    """Two themes of each product on file, replaced by one in a layer, and those of the batch in a second one."""
+    store = tables.Store(spark, scratch_path(spark, "store"))
+    theme = lambda *texts: binding_raw.stored(spark, sf).select(
+        "product_id", F.lit("complaint").alias("type"), F.explode(F.array(*[F.lit(t) for t in texts])).alias("theme"), F.lit(1).cast("long").alias("mention_count"))
+    with store.begin("base") as run:
+        run.write_snapshot("pain_points", theme("first", "second"))
+    with store.begin("replaced") as run:
+        run.upsert("pain_points", theme("old theme"))
+    with store.begin("batch") as run:
+        run.upsert("pain_points", resolve.pain_point_rows(_listing_batch(spark, sf).resolved).select("product_id", "type", "theme", "mention_count"))
+    return store.read_snapshot("pain_points", schemas.PAIN_POINTS).select("product_id", "type", "theme", "mention_count")
+
+
+#: Every raw listing lands in one of three submissions.
+THIRDS = 3
+
+
+def third(rows: DataFrame, k: int) -> DataFrame:
+    return rows.where(F.col("record_no") % THIRDS == k)
+
+
+def store_state(store: tables.Store) -> DataFrame:
+    """What the store holds of each product: its record, its number of price rows, and its newest price with the record that brought it."""
+    prices = store.read_history("prices", schemas.PRICES).groupBy("product_id").agg(F.count(F.lit(1)).alias("price_rows"))
+    newest = store.read_snapshot("newest_prices", schemas.NEWEST_PRICES).select("product_id", "selling_price", F.col("record_no").alias("price_record"))
+    products = store.read_snapshot("products", schemas.PRODUCTS).join(prices, "product_id", "left").join(newest, "product_id", "left")
+    return products.select("product_id", "name", "url", "marketplace", "external_id", "brand", "dataset_status", "source_name", "price_rows", "selling_price", "price_record")
+
+
+def _three_imports(spark: SparkSession, sf: str) -> tables.Store:
+    store, rows = _base_store(spark, sf), _raw(spark, sf, binding_raw.LISTING)
+    for k in range(THIRDS):
+        imports.write_import(store, third(rows, k), f"run-{k}", _now(), config.marketplaces(spark), research=False)
+    return store
+
+
+def store_after_imports(spark: SparkSession, sf: str) -> DataFrame:
+    """Three submissions imported one after the other into a store with products; buckets of many layers are compacted in between."""
+    store = _three_imports(spark, sf)
+    store.compact(layers=2)
+    return store_state(store)
+
+
+def store_index_after_imports(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored index after three imports: entries of products as they are now, withdrawn ones left out."""
+    entries = _three_imports(spark, sf).read_snapshot("product_keys", schemas.PRODUCT_KEYS)
+    return entries.where("live").select("marketplace", "kind", "key", "product_id", "sample")
 
 
 def import_price_rows(spark: SparkSession, sf: str) -> DataFrame:
     batch = _listing_batch(spark, sf)
     on_file = binding_raw.stored(spark, sf).select(
-        "product_id", F.to_timestamp(F.lit("2026-09-01 00:00:00")).alias("collected_at"), F.lit(1).alias("row_id"),
+        "product_id", F.to_timestamp(F.lit("2026-09-01 00:00:00")).alias("collected_at"),
         F.lit(301.0).alias("selling_price"), F.lit(None).cast("double").alias("mrp"),
     )
-    return imports.price_rows(batch.resolved, on_file, ["collected_at", "row_id"]).select("product_id", "record_no", "selling_price", "mrp")
+    return imports.price_rows(batch.resolved, on_file).select("product_id", "record_no", "selling_price", "mrp")
 
 
 def field_ledger(spark: SparkSession, sf: str) -> DataFrame:
@@ -336,7 +409,7 @@ QUERIES = {
     for f in [
         standardize_listings, standardize_research, malformed_rows, pain_point_shred, csv_scan, json_scan, validate_listings, validate_research,
         unknown_marketplaces, verification_gate, canonical_urls, placeholder_urls, source_names, match_names, display_names, theme_lists,
-        dedupe_keys, batch_dedupe, entity_match, entity_match_real, import_resolved, snapshot_merge, pain_point_replace, import_price_rows,
+        dedupe_keys, batch_dedupe, dedupe_chain, store_after_imports, store_index_after_imports, entity_match, entity_match_real, import_resolved, snapshot_merge, pain_point_replace, import_price_rows,
         field_ledger, import_report, listing_ingest_summary, import_rejections, missing_critical_report, dry_run, batch_source_names,
         export_csv_lines, export_json_lines, regate_stored, status_backfill, ungated_scores, source_freshness, run_list, last_completed_run,
         seed_fees_if_absent,

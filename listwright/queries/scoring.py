@@ -168,6 +168,12 @@ def ranked_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(page(_base(spark, sf), FILTERS))
 
 
+def ranked_deep(spark: SparkSession, sf: str) -> DataFrame:
+    """A page of 300 rows that begins behind the half of all rows, cut out by ranges."""
+    base = _base(spark, sf)
+    return _flat(page(base, ProductQuery(sort_by="riskScore", sort_direction="DESC", limit=300, offset=binding.table(spark, sf, "part").count() // 2), heap=100))
+
+
 def ranked_total(spark: SparkSession, sf: str) -> DataFrame:
     from listwright.operators.ranked import total
 
@@ -290,7 +296,7 @@ QUERIES = {
     for f in [
         latest_price, latest_metrics, latest_cost, price_change_history, metrics_change_history, price_change_on_arrival,
         price_history_newest_first, cost_append, fee_asof, unit_economics, cohort_stats, sub_scores, score_evidence, score_contributions,
-        product_scores, classification_counts, ranked_products, ranked_filtered, ranked_total, ranked_by_class, export_rows, dashboard_summary,
+        product_scores, classification_counts, ranked_products, ranked_filtered, ranked_deep, ranked_total, ranked_by_class, export_rows, dashboard_summary,
         category_rollup, opportunity_explanations, verified_opportunities, opportunities_all_incomplete, compare_products, product_detail,
         product_detail_histories, provenance_list, product_sources, pain_point_counts, main_pain_points,
     ]

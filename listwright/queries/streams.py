@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from listwright import binding, binding_raw, config, schemas
 from listwright.functions.text import iso
 from listwright.operators.history import PRICE_FIELDS
+from listwright.plans.imports import write_import
+from listwright.queries.imports import _base_store, store_state, third
 from listwright.queries.scoring import _late_arrivals
 from listwright.session import scratch_path
 from listwright.sources.tables import Store
@@ -67,4 +69,24 @@ def stream_import(spark: SparkSession, sf: str) -> DataFrame:
     return products.join(prices, "product_id", "left").select("product_id", "name", "url", "marketplace", "external_id", "brand", "dataset_status", "source_name", "price_rows")
 
 
-QUERIES = {f.__name__: f for f in [stream_price_changes, stream_latest_price, stream_ledger, stream_import]}
+def stream_import_used_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Three submissions over a store that holds products: two micro-batches of one stream, one of another, then the first stream once
+    more without new files, and its first batch a second time."""
+    store, rows = _base_store(spark, sf), binding_raw.raw(spark, sf, binding_raw.LISTING)
+    now = F.to_timestamp(F.lit(binding_raw.NOW))
+    folders = {stream: (scratch_path(spark, "stream-in"), scratch_path(spark, "stream-state")) for stream in "ab"}
+
+    def run(stream: str) -> None:
+        source, checkpoint = folders[stream]
+        feed = imports.submissions(spark, source, rows.columns).drop("_metadata")
+        imports.continuous_import(feed, store, checkpoint, now, config.marketplaces(spark), research=False).awaitTermination()
+
+    for k, stream in enumerate("aab"):
+        third(rows, k).write.mode("append").option("header", True).option("escape", '"').option("emptyValue", "").csv(folders[stream][0])
+        run(stream)
+    run("a")
+    write_import(store, third(rows, 0), store.commits()[1][1], now, config.marketplaces(spark), False)
+    return store_state(store)
+
+
+QUERIES = {f.__name__: f for f in [stream_price_changes, stream_latest_price, stream_ledger, stream_import, stream_import_used_store]}

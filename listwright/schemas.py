@@ -28,3 +28,25 @@ RUNS = """run_id string, data_source_id bigint, status string, created_at timest
   updated bigint, rejected bigint, duplicates bigint, error string"""
 SCORES = """product_id string, selling_price double, final_score double, score_status string, risk_score double, classification string,
   data_completeness double, computed_at timestamp, score_breakdown string"""
+
+#: Where a product is found: live entries of external ids, URLs and names, and entries that were withdrawn.
+PRODUCT_KEYS = "slot bigint, marketplace string, kind string, key string, product_id string, sample boolean, live boolean"
+#: The newest row of each product's history, and the number of the commit that brought it.
+NEWEST_PRICES, NEWEST_METRICS = f"{PRICES}, run_no bigint", f"{METRICS}, run_no bigint"
+NEWEST_COSTS = f"{COSTS}, record_no bigint, run_no bigint"
+MARKETPLACES = "slug string, marketplace_name string, website_url string"
+FEES = "fee_id bigint, marketplace string, category string, fee_type string, fee_value double, source string, effective_date date"
+SOURCES = "data_source_id bigint, name string"
+
+TABLES = {
+    "products": PRODUCTS, "product_keys": PRODUCT_KEYS, "prices": PRICES, "metrics": METRICS, "costs": COSTS, "newest_prices": NEWEST_PRICES,
+    "newest_metrics": NEWEST_METRICS, "newest_costs": NEWEST_COSTS, "pain_points": PAIN_POINTS, "ledger": LEDGER, "rejections": REJECTIONS,
+    "findings": FINDINGS, "reports": REPORTS, "runs": RUNS, "scores": SCORES, "marketplaces": MARKETPLACES, "fees": FEES, "sources": SOURCES,
+}
+#: Key columns of the tables in buckets; the first one decides about the bucket.
+KEYS = {name: ["product_id"] for name in ("products", "prices", "metrics", "costs", "newest_prices", "newest_metrics", "newest_costs", "pain_points", "ledger", "scores")}
+KEYS["product_keys"] = ["slot", "marketplace", "kind", "key", "product_id"]
+#: Tables of which the newest layer's rows of a key are in force; the others are histories.
+SNAPSHOTS = ["products", "product_keys", "newest_prices", "newest_metrics", "newest_costs", "pain_points", "scores"]
+#: Columns whose files carry a Bloom filter.
+LOOKUPS = {"product_keys": ["slot"], "products": ["product_id"]}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from listwright.fixed import OPTIONAL_FIELDS, REQUIRED_FIELDS, UNLISTED_FIELDS
@@ -50,18 +50,38 @@ _RECORD = ", ".join(f"`{s}` string" for s in dict.fromkeys(s for f in _FIELDS fo
 _NOT_A_LIST = 'JSON payload must be an array of records, or an object with a "records" or "products" array.'
 
 
-def read_research_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON submission: a bare array, or an object with ``records`` or ``products``; snake or camel case.
+_LISTS = ("features", "variants", "sizes", "colors", "image_urls", "complaints", "positives", "opportunities")
 
-    Entries that are no objects become empty records; a payload without a list is an error. A file
-    is one submission and is read by one task.
-    """
+
+def _list_cell(c: Column) -> Column:
+    """A JSON array as a pipe list; entries that are objects with a theme become ``theme:count``. Other cells stay."""
+    entries = F.from_json(c, "array<string>")
+
+    def item(x: Column) -> Column:
+        r = F.from_json(x, "theme string, mentionCount string, mention_count string")
+        return F.when(x.startswith("{"), F.concat_ws(":", r["theme"], F.coalesce(r["mention_count"], r["mentionCount"]))).otherwise(x)
+
+    joined = F.array_join(F.transform(entries, item), "|")
+    return F.when(c.startswith("[") & entries.isNotNull(), F.when(joined != "", joined)).otherwise(c)
+
+
+def research_entries(files: DataFrame) -> DataFrame:
+    """One row per entry of JSON submissions (``value``: a file's text), each field a string."""
     body = F.col("value")
-    files = spark.read.option("wholetext", True).text(path).select("value", "_metadata")
     enveloped = F.from_json(body, "records array<string>, products array<string>")
     bare = F.from_json(body, "array<string>")
     entries = F.when(F.ltrim(body).startswith("["), bare).otherwise(F.coalesce(enveloped["records"], enveloped["products"]))
     checked = F.coalesce(entries, F.raise_error(F.lit(_NOT_A_LIST)))
     listed = files.select(F.posexplode(checked).alias("_pos", "entry"), "_metadata").withColumn("r", F.from_json("entry", _RECORD))
     spelled = lambda f: F.coalesce(F.col(f"r.{f}"), F.col(f"r.{_camel(f)}")) if _camel(f) != f else F.col(f"r.{f}")
-    return numbered(listed.select(*[spelled(f).alias(f) for f in _FIELDS], "_metadata"), first=1)
+    cell = lambda f: _list_cell(spelled(f)) if f in _LISTS else spelled(f)
+    return listed.select(*[cell(f).alias(f) for f in _FIELDS], "_metadata")
+
+
+def read_research_json(spark: SparkSession, path: str) -> DataFrame:
+    """JSON submission: a bare array, or an object with ``records`` or ``products``; snake or camel case.
+
+    Entries that are no objects become empty records; a payload without a list is an error. Lists may be pipe lists or arrays. A file
+    is one submission and is read by one task.
+    """
+    return numbered(research_entries(spark.read.option("wholetext", True).text(path).select("value", "_metadata")), first=1)

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from listwright.plans.imports import write_import
 from listwright.session import prepare, stage
-from listwright.sources.landing import numbered
+from listwright.sources.landing import numbered, research_entries
 from listwright.sources.tables import Store
 
 
@@ -26,15 +26,22 @@ def submissions(spark: SparkSession, path: str, fields: list[str], max_files: in
     return rows.select(*[F.col(f).alias(f.strip().lower()) for f in fields], "_metadata")
 
 
+def json_submissions(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """A directory of research submissions in JSON as a stream of all-string rows with their place."""
+    reader = spark.readStream.option("wholetext", True)
+    return research_entries((reader.option("maxFilesPerTrigger", max_files) if max_files else reader).text(path).select("value", "_metadata"))
+
+
 def continuous_import(
-    rows: DataFrame, store: Store, checkpoint: str, now: Column, marketplaces: DataFrame, research: bool,
-    data_source_id: int | None = None, after: Callable[[Store, str], None] | None = None,
+    rows: DataFrame, store: Store, checkpoint: str, now: Column, marketplaces: DataFrame | None, research: bool,
+    data_source_id: int | None = None, after: Callable[[Store, str], None] | None = None, first: int = 2,
 ) -> StreamingQuery:
     """Imports every micro-batch as one run.
 
     The run id follows from the checkpoint folder and the batch id: streams never share ids, and a batch that is replayed
     after a lost driver or executor finds its run committed, or starts it anew on the tables as they are. ``after`` is
-    called with the run id of each committed batch (to rescore, for example). Rows without a ``record_no`` are numbered.
+    called with the run id of each committed batch (to rescore, for example). Rows without a ``record_no`` are numbered from ``first``:
+    2 where a file begins with a header. A batch that meets a commit of another stream is repeated on the newer tables.
     """
     stream = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:12]
 
@@ -44,7 +51,7 @@ def continuous_import(
         if "record_no" in batch.columns:
             landed = stage(batch.withColumn("record_no", F.col("record_no").cast("long")).drop("_metadata"), "landed")
         else:
-            landed = numbered(batch, first=2) if "_metadata" in batch.columns else stage(batch.withColumn("record_no", F.monotonically_increasing_id()), "landed")
+            landed = numbered(batch, first=first) if "_metadata" in batch.columns else stage(batch.withColumn("record_no", F.monotonically_increasing_id()), "landed")
         write_import(store, landed, run_id, now, marketplaces, research, data_source_id)
         if after is not None:
             after(store, run_id)

@@ -7,37 +7,60 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from listwright.operators.history import _signature
 
 _STATE = "at_us bigint, sig string"
+#: ``transformWithState`` keeps its state here; the setting counts when a stream is started.
+PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def changed(rows: DataFrame, key: str, arrival: str, at: str, fields: list[str]) -> DataFrame:
-    """Rows that differ from the newest stored row of their key, with the rule of the batch job.
+class _Gate(StatefulProcessor):
+    """Keeps the newest *stored* (time, values) of a key; skipped and late rows do not move it."""
 
-    The state holds the newest *stored* (time, values); skipped and late rows do not move it. A
-    key's rows of one micro-batch are put in arrival order, so ``maxFilesPerTrigger`` or
-    ``maxBytesPerTrigger`` of the source bounds what one group holds.
-    """
-    signed = rows.withColumn("_sig", _signature(fields)).withColumn("_us", F.unix_micros(at))
+    def __init__(self, arrival: str, columns: list[str], ttl_ms: int | None) -> None:
+        self.arrival, self.columns, self.ttl_ms = arrival, columns, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", _STATE, self.ttl_ms)
 
-    def gate(_, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(chunks)).sort_values(arrival, kind="stable")
-        at_us, sig = state.get if state.exists else (None, None)
-        keep = []
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        row = initialState.sort_values("_us").iloc[-1]
+        self.newest.update((int(row["_us"]), row["_sig"]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(self.arrival, kind="stable")
+        at_us, sig = self.newest.get() if self.newest.exists() else (None, None)
+        keep, moved = [], False
         for t, s in zip(pdf["_us"].tolist(), pdf["_sig"].tolist()):
             stored = sig is None or s != sig
             keep.append(stored)
             if stored and (at_us is None or t >= at_us):
-                at_us, sig = t, s
-        state.update((at_us, sig))
-        yield pdf[keep]
+                at_us, sig, moved = t, s, True
+        if moved or self.ttl_ms:  # a key that is still seen doesn't run out
+            self.newest.update((at_us, sig))
+        yield pdf.loc[keep, self.columns]
+
+    def close(self) -> None:
+        pass
 
-    kept = signed.groupBy(key).applyInPandasWithState(gate, signed.schema, _STATE, "append", GroupStateTimeout.NoTimeout)
-    return kept.drop("_sig", "_us")
+
+def changed(rows: DataFrame, key: str, arrival: str, at: str, fields: list[str], on_file: DataFrame | None = None, ttl: str | None = None) -> DataFrame:
+    """Rows that differ from the newest stored row of their key, with the rule of the batch job.
+
+    The state is one row per key. ``on_file`` (a table of the newest stored row per key: ``key``, ``at``, ``fields``) is what a
+    stream without a checkpoint begins with; one that is started again goes on from its checkpoint. With ``ttl`` (as "30 days") a key that isn't
+    seen for that long is forgotten, and its next row is stored. A key's rows of one micro-batch are put in arrival order, so
+    ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` of the source bounds what one key holds; without a bound use the batch job in
+    ``foreachBatch``, as the imports do.
+    """
+    rows.sparkSession.conf.set(*PROVIDER)
+    signed = lambda df: df.withColumns({"_sig": _signature(fields), "_us": F.unix_micros(at)})
+    ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else None
+    first = signed(on_file).select(key, "_us", "_sig").groupBy(key) if on_file is not None else None
+    gate = _Gate(arrival, rows.columns, ttl_ms)
+    return signed(rows).groupBy(key).transformWithStateInPandas(gate, rows.schema, "Append", "ProcessingTime" if ttl else "None", first)
 
 
 def newest(rows: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
