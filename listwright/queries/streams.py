@@ -9,38 +9,46 @@ from pyspark.sql import functions as F
 
 from listwright import binding, binding_raw, config, schemas
 from listwright.functions.text import iso
+from listwright.operators import history
 from listwright.operators.history import PRICE_FIELDS
 from listwright.plans.imports import write_import
 from listwright.queries.imports import _base_store, store_state, third
 from listwright.queries.scoring import _late_arrivals
-from listwright.session import scratch_path
+from listwright.session import scratch_path, stage
 from listwright.sources.tables import Store
 from listwright.streaming import imports, state
 
 
-def _in_thirds(spark: SparkSession, rows: DataFrame, number: str, job: Callable[[DataFrame], DataFrame], mode: str, repeat_last: bool = False) -> DataFrame:
-    """Feeds ``rows`` to a stream in three successive files sets by ``number`` and returns what it wrote."""
-    source, out, checkpoint = (scratch_path(spark, n) for n in ("stream-in", "stream-out", "stream-state"))
+def _thirds(rows: DataFrame, number: str) -> list[DataFrame]:
     last = rows.agg(F.max(number)).first()[0]
     cuts = [0, last // 3, 2 * last // 3, last + 1]
-    parts = list(zip(cuts, cuts[1:]))
-    for low, high in parts + (parts[-1:] if repeat_last else []):
-        rows.where((F.col(number) >= low) & (F.col(number) < high)).write.mode("append").parquet(source)
-        stream = job(spark.readStream.schema(rows.schema).parquet(source))
+    return [rows.where((F.col(number) >= low) & (F.col(number) < high)) for low, high in zip(cuts, cuts[1:])]
+
+
+def _in_parts(spark: SparkSession, parts: list[DataFrame], job: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """Feeds parts to a stream one after the other, which is started anew from its checkpoint for each, and returns what it wrote."""
+    source, out, checkpoint = (scratch_path(spark, n) for n in ("stream-in", "stream-out", "stream-state"))
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        stream = job(spark.readStream.schema(part.schema).parquet(source))
         state.to_table(stream, out, checkpoint, mode).awaitTermination()
     return spark.read.option("recursiveFileLookup", True).parquet(out)
 
 
 def stream_price_changes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _late_arrivals(spark, sf)
-    kept = _in_thirds(spark, rows, "arrival", lambda s: state.changed(s, "product_id", "arrival", "collected_at", PRICE_FIELDS), "append")
-    return kept.select("product_id", "arrival", "selling_price")
+    """A third of the observations is on file, gated as a batch; the stream begins with its newest stored rows and takes the others."""
+    first, *rest = _thirds(_late_arrivals(spark, sf), "arrival")
+    stored = stage(history.changed_on_arrival(first, "product_id", "arrival", "collected_at", PRICE_FIELDS), "stored")
+    on_file = stage(history.newest(stored, ["product_id"], ["collected_at", "arrival"], ["collected_at", *PRICE_FIELDS]), "on-file")
+    kept = _in_parts(spark, rest, lambda s: state.changed(s, "product_id", "arrival", "collected_at", PRICE_FIELDS, on_file), "append")
+    columns = ["product_id", "arrival", "selling_price"]
+    return stored.select(*columns).unionByName(kept.select(*columns))
 
 
 def stream_latest_price(spark: SparkSession, sf: str) -> DataFrame:
     rows = _late_arrivals(spark, sf)
     values = ["arrival", "selling_price", "collected_at"]
-    updates = _in_thirds(spark, rows, "arrival", lambda s: state.newest(s, "product_id", ["collected_at", "arrival"], values), "update")
+    updates = _in_parts(spark, _thirds(rows, "arrival"), lambda s: state.newest(s, "product_id", ["collected_at", "arrival"], values), "update")
     now = updates.groupBy("product_id").agg(F.max_by(F.struct(*values), "batch_id").alias("r"))
     return now.select("product_id", "r.arrival", "r.selling_price", iso(F.col("r.collected_at")).alias("collected_at"))
 
@@ -51,7 +59,8 @@ def stream_ledger(spark: SparkSession, sf: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("observed_at"), F.col("event_id").alias("run_id"),
     )
     identity = ["product_id", "field_name", "run_id", "raw_value"]
-    kept = _in_thirds(spark, rows, "run_id", lambda s: state.ledger_without_replays(s, "observed_at", "40 days", identity), "append", repeat_last=True)
+    parts = _thirds(rows, "run_id")
+    kept = _in_parts(spark, [*parts, parts[-1]], lambda s: state.ledger_without_replays(s, "observed_at", "40 days", identity), "append")
     return kept.groupBy("product_id", "field_name").agg(F.count(F.lit(1)).alias("rows"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -25,22 +25,21 @@ class _Gate(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.newest = handle.getValueState("newest", _STATE, self.ttl_ms)
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = initialState.sort_values("_us").iloc[-1]
-        self.newest.update((int(row["_us"]), row["_sig"]))
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        at_us, sig = self.newest.get() if self.newest.exists() else (None, None)
+        if at_us is None or initialState["at_us"] >= at_us:
+            self.newest.update((initialState["at_us"], initialState["sig"]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(self.arrival, kind="stable")
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         at_us, sig = self.newest.get() if self.newest.exists() else (None, None)
-        keep, moved = [], False
-        for t, s in zip(pdf["_us"].tolist(), pdf["_sig"].tolist()):
-            stored = sig is None or s != sig
-            keep.append(stored)
-            if stored and (at_us is None or t >= at_us):
-                at_us, sig, moved = t, s, True
+        moved = False
+        for row in sorted(rows, key=lambda r: r[self.arrival]):
+            if sig is None or row["sig"] != sig:
+                if at_us is None or row["at_us"] >= at_us:
+                    at_us, sig, moved = row["at_us"], row["sig"], True
+                yield Row(**{c: row[c] for c in self.columns})
         if moved or self.ttl_ms:  # a key that is still seen doesn't run out
             self.newest.update((at_us, sig))
-        yield pdf.loc[keep, self.columns]
 
     def close(self) -> None:
         pass
@@ -56,11 +55,11 @@ def changed(rows: DataFrame, key: str, arrival: str, at: str, fields: list[str],
     ``foreachBatch``, as the imports do.
     """
     rows.sparkSession.conf.set(*PROVIDER)
-    signed = lambda df: df.withColumns({"_sig": _signature(fields), "_us": F.unix_micros(at)})
+    signed = lambda df: df.withColumns({"sig": _signature(fields), "at_us": F.unix_micros(at)})
     ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else None
-    first = signed(on_file).select(key, "_us", "_sig").groupBy(key) if on_file is not None else None
+    first = signed(on_file).select(key, "at_us", "sig").groupBy(key) if on_file is not None else None
     gate = _Gate(arrival, rows.columns, ttl_ms)
-    return signed(rows).groupBy(key).transformWithStateInPandas(gate, rows.schema, "Append", "ProcessingTime" if ttl else "None", first)
+    return signed(rows).groupBy(key).transformWithState(gate, rows.schema, "Append", "ProcessingTime" if ttl else "None", first)
 
 
 def newest(rows: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
@@ -73,10 +72,12 @@ def ledger_without_replays(rows: DataFrame, at: str, delay: str, identity: list[
     return rows.withWatermark(at, delay).dropDuplicatesWithinWatermark(identity)
 
 
-def to_table(rows: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Writes each micro-batch to its own folder, so a replayed batch overwrites itself."""
+def to_table(rows: DataFrame, path: str, checkpoint: str, mode: str = "append", once: bool = True) -> StreamingQuery:
+    """Writes each micro-batch to its own folder, so a replayed batch overwrites itself. With ``once`` it ends when everything available
+    is written; a stream with a ``ttl`` has to go on instead, as Spark starts batches for it as long as time passes."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{path}/batch={batch_id:010d}")
 
-    return rows.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = rows.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
