@@ -19,7 +19,10 @@ METRIC_TRIGGERS = METRIC_FIELDS[:3]
 
 
 def newest(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
-    """Last row per key along ``order``: one partially aggregated ``max_by``, no sort, no window."""
+    """Last row per key along ``order``: one ``max_by``, aggregated before the shuffle, no window.
+
+    Spark aggregates rows of several columns by sorting them; where a history is stored, its table of newest rows (``folded``) spares both.
+    """
     pick = F.max_by(F.struct(*values), F.struct(*order)).alias("_row")
     return df.groupBy(*keys).agg(pick).select(*keys, *[F.col("_row")[v].alias(v) for v in values])
 

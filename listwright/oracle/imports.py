@@ -433,3 +433,8 @@ SQL["export_csv_lines"] = with_ctes(
     + f"coalesce({iso('collected_at')}, 'Data unavailable') AS collected_at, 'Data unavailable' AS score_computed_at FROM ranked"
 )
 SQL["export_json_lines"] = with_ctes(f"SELECT {_RANK} AS rank, name AS product, classification IS NULL AS class_is_null, 24 AS fields FROM ranked")
+SQL["research_csv_scan"] = q("SELECT record_no AS part, record_no + 2 AS record_no, name, url, marketplace, selling_price, competitor_count, 'two' || chr(10) || 'lines, \"quoted\"' AS description FROM r")
+_OF = "record_no % 3 = {k} - 1"
+SQL["stored_run_log"] = q(" UNION ALL ".join(f"""SELECT 'run-{k - 1}' AS run_id, 'completed' AS status, (SELECT count(*) FROM raw_l WHERE {_OF.format(k=k)}) AS received,
+  (SELECT count(*) FROM b{k}_resolved WHERE is_new) AS created, (SELECT count(*) FROM b{k}_resolved WHERE NOT is_new) AS updated,
+  (SELECT count(*) FROM {_L_REJECTED.replace('l_linked', f'b{k}_linked')} WHERE {_OF.format(k=k)}) AS rejected, (SELECT count(*) FROM b{k}_walk WHERE NOT kept) AS duplicates""" for k in range(1, 4)))

@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from listwright import config, schemas
 from listwright.operators import dedupe, history, resolve, standardize, validate
@@ -175,9 +176,10 @@ def source_names(standardized: DataFrame) -> DataFrame:
 
 
 def _run_row(spark, run_id: str, data_source_id: int | None, status: str, now: Column, counts: dict[str, int], error: str | None) -> DataFrame:
-    row = (run_id, data_source_id, status, *(counts.get(c) for c in ("received", "created", "updated", "rejected", "duplicates")), error)
-    df = spark.createDataFrame([row], "run_id string, data_source_id bigint, status string, received bigint, created bigint, updated bigint, rejected bigint, duplicates bigint, error string")
-    return df.withColumns({"created_at": now, "finished_at": F.current_timestamp()}).select(*[f.split()[0] for f in schemas.RUNS.split(",")])
+    given = {"run_id": run_id, "data_source_id": data_source_id, "status": status, "error": error, **{c: counts.get(c) for c in ("received", "created", "updated", "rejected", "duplicates")}}
+    times = {"created_at": now, "finished_at": F.current_timestamp()}
+    fields = StructType.fromDDL(schemas.RUNS).fields
+    return spark.range(0, 1, 1, 1).select(*[(times[f.name] if f.name in times else F.lit(given[f.name])).cast(f.dataType).alias(f.name) for f in fields])
 
 
 #: Times an import begins again because another run was committed meanwhile.
@@ -216,13 +218,20 @@ def _log_failure(store: Store, row: DataFrame) -> None:
         print(f"the failed run could not be logged: {second}")
 
 
+#: Keys of a batch that are looked up in the files' statistics and Bloom filters; larger batches join the opened buckets only.
+PUSHED = 500
+
+
 def by_index(store: Store) -> Callable[[DataFrame, bool], DataFrame]:
-    """Matches rows through the stored index: only the buckets of their keys are opened."""
+    """Matches rows through the stored index: only the buckets of their keys are opened, and of a small batch only the files that may hold one."""
 
     def match(rows: DataFrame, exclude_sample: bool) -> DataFrame:
         asked = stage(resolve.key_entries(rows, "record_no").select("slot").distinct(), "slots")
-        buckets = store.touched("product_keys", asked)
-        return resolve.match_by(rows, store.read_snapshot("product_keys", schemas.PRODUCT_KEYS, buckets), exclude_sample)
+        entries = store.read_snapshot("product_keys", schemas.PRODUCT_KEYS, store.touched("product_keys", asked))
+        slots = [r["slot"] for r in asked.limit(PUSHED + 1).collect()]
+        if len(slots) <= PUSHED:
+            entries = entries.where(F.col("slot").isin(slots))
+        return resolve.match_by(rows, entries, exclude_sample)
 
     return match
 
@@ -233,20 +242,28 @@ def load_products(run: Run, products: DataFrame) -> None:
     run.write_snapshot("product_keys", resolve.product_entries(products))
 
 
+def newest_on_file(store: Store, name: str, ids: DataFrame) -> DataFrame:
+    """The newest stored row of each of some products (``ids``: product_id), from the buckets that hold them."""
+    table = f"newest_{name}"
+    return store.read_snapshot(table, schemas.TABLES[table], store.touched(table, ids)).join(ids, "product_id", "left_semi")
+
+
+def append_history(run: Run, name: str, added: DataFrame, newest: DataFrame) -> None:
+    """A run's history rows, and the newest rows that follow: both are as large as the run, whatever the history holds."""
+    run.append(name, added.select(*StructType.fromDDL(schemas.TABLES[name]).names))
+    run.upsert(f"newest_{name}", history.folded(newest, added, run.number))
+
+
 def _write(run: Run, store: Store, raw: DataFrame, run_id: str, now: Column, marketplaces: DataFrame, research: bool, data_source_id: int | None) -> None:
     checked = check_research(raw, now) if research else check_listings(raw, now)
     batch = run_batch(checked, by_index(store), marketplaces, research)
     tagged = lambda df: df.withColumn("run_id", F.lit(run_id))
-    # All tables of products share the number of buckets unless one was made with another.
     ids = stage(batch.resolved.select("product_id").distinct(), "touched")
-    known = lambda name: store.read_snapshot(name, schemas.TABLES[name], store.touched(name, ids)).join(ids, "product_id", "left_semi")
-    costs = history.cost_rows(batch.resolved, carried=("record_no",))
-    for name, rows, order in [("prices", price_rows, history.PRICE_FIELDS), ("metrics", metrics_rows, history.METRIC_TRIGGERS), ("costs", None, None)]:
-        newest = stage(known(f"newest_{name}"), f"newest-{name}")
-        added = costs if rows is None else rows(batch.resolved, newest.select("product_id", "collected_at", *order))
-        added = stage(tagged(added), name)
-        run.append(name, added if rows else added.drop("record_no"))
-        run.upsert(f"newest_{name}", history.folded(newest, added, run.number))
+    known = lambda name: stage(newest_on_file(store, name, ids), f"newest-{name}")
+    for name, rows, fields in [("prices", price_rows, history.PRICE_FIELDS), ("metrics", metrics_rows, history.METRIC_TRIGGERS)]:
+        newest = known(name)
+        append_history(run, name, stage(tagged(rows(batch.resolved, newest.select("product_id", "collected_at", *fields))), name), newest)
+    append_history(run, "costs", stage(tagged(history.cost_rows(batch.resolved, carried=("record_no",))), "costs"), known("costs"))
     if research:
         run.append("ledger", resolve.ledger_rows(batch.resolved, F.lit(run_id)))
     run.append("rejections", batch.rejections)
@@ -255,7 +272,8 @@ def _write(run: Run, store: Store, raw: DataFrame, run_id: str, now: Column, mar
     run.append("reports", tagged(measures).select("run_id", "measure", "n"))
     run.upsert("pain_points", resolve.pain_point_rows(batch.resolved))
     records = stage(resolve.snapshot(None, batch.resolved), "records")
-    run.upsert("product_keys", resolve.changed_entries(known("products"), records))
+    before = store.read_snapshot("products", schemas.PRODUCTS, store.touched("products", ids)).join(ids, "product_id", "left_semi")
+    run.upsert("product_keys", resolve.changed_entries(before, records))
     run.upsert("products", records)
     counts = {r["measure"]: r["n"] for r in measures.collect()}
     named = {"received": ("submitted", "received"), "duplicates": ("duplicates_in_file", "skipped_duplicate")}

@@ -9,6 +9,7 @@ from listwright import binding, binding_raw, config, schemas
 from listwright.functions import text as t
 from listwright.functions import urls
 from listwright.operators import dedupe, maintain, resolve, standardize, validate
+from listwright.operators.skew import ranked
 from listwright.plans import imports, rescore
 from listwright.session import scratch_path
 from listwright.sources import export, landing, tables
@@ -64,6 +65,18 @@ def csv_scan(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("best_seller_rank").alias("part"), F.col("record_no").cast("long").alias("record_no"), "name", "url", "selling_price")
 
 
+def research_csv_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw research records written as CSV files whose cells hold line breaks, landed again and standardized."""
+    path = scratch_path(spark, "submission")
+    cells = _raw(spark, sf, binding_raw.RESEARCH)
+    cells = cells.withColumns({"search_term": F.col("record_no").cast("string"), "description": F.lit('two\nlines, "quoted"')}).withColumnRenamed("product_name", " Product_Name ")
+    cells.repartitionByRange(8, "record_no").sortWithinPartitions("record_no").drop("record_no").write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    out = standardize.research(landing.read_csv(spark, path)).where("malformed IS NULL")
+    return out.select(
+        F.col("search_term").cast("long").alias("part"), F.col("record_no").cast("long").alias("record_no"), "name", "url", "marketplace", "selling_price", "competitor_count", "description"
+    )
+
+
 def json_scan(spark: SparkSession, sf: str) -> DataFrame:
     """The raw research records written as JSON envelopes in camel case, landed again and standardized."""
     path = scratch_path(spark, "submission")
@@ -175,8 +188,8 @@ def dedupe_chain(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _base_store(spark: SparkSession, sf: str) -> tables.Store:
-    """A store that holds the products on file and their index."""
-    store = tables.Store(spark, scratch_path(spark, "store"))
+    """A store that holds the products on file and their index, in buckets fit for a small table."""
+    store = tables.Store(spark, scratch_path(spark, "store"), buckets=16)
     with store.begin("base") as run:
         imports.load_products(run, _stored_wide(spark, sf))
     return store
@@ -279,6 +292,26 @@ def store_after_imports(spark: SparkSession, sf: str) -> DataFrame:
     return store_state(store)
 
 
+def stored_run_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The run log that three imports wrote, oldest run first."""
+    runs = _three_imports(spark, sf).read_history("runs", schemas.RUNS)
+    return runs.select("run_id", "status", "received", "created", "updated", "rejected", "duplicates")
+
+
+def newest_price_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Newest prices as three commits leave them: every observation belongs to one of the runs, and each folds its own rows into the table."""
+    store = tables.Store(spark, scratch_path(spark, "store"))
+    rows = ranked(binding.prices(spark, sf).select("product_id", "collected_at", "row_id", "selling_price", "mrp"), [F.col("row_id"), F.col("product_id")], "record_no")
+    for k in range(THIRDS):
+        own = rows.where(F.dayofyear("collected_at") % THIRDS == k).withColumn("run_id", F.lit(f"run-{k}"))
+        fields = tables.empty(spark, schemas.PRICES).schema.fields
+        added = own.select(*[F.col(f.name).cast(f.dataType) if f.name in own.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+        with store.begin(f"run-{k}") as run:
+            imports.append_history(run, "prices", added, imports.newest_on_file(store, "prices", own.select("product_id").distinct()))
+    newest = store.read_snapshot("newest_prices", schemas.NEWEST_PRICES)
+    return newest.select("product_id", "selling_price", "mrp")
+
+
 def store_index_after_imports(spark: SparkSession, sf: str) -> DataFrame:
     """The stored index after three imports: entries of products as they are now, withdrawn ones left out."""
     entries = _three_imports(spark, sf).read_snapshot("product_keys", schemas.PRODUCT_KEYS)
@@ -407,9 +440,9 @@ def seed_fees_if_absent(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in [
-        standardize_listings, standardize_research, malformed_rows, pain_point_shred, csv_scan, json_scan, validate_listings, validate_research,
+        standardize_listings, standardize_research, malformed_rows, pain_point_shred, csv_scan, research_csv_scan, json_scan, validate_listings, validate_research,
         unknown_marketplaces, verification_gate, canonical_urls, placeholder_urls, source_names, match_names, display_names, theme_lists,
-        dedupe_keys, batch_dedupe, dedupe_chain, store_after_imports, store_index_after_imports, entity_match, entity_match_real, import_resolved, snapshot_merge, pain_point_replace, import_price_rows,
+        dedupe_keys, batch_dedupe, dedupe_chain, store_after_imports, store_index_after_imports, stored_run_log, newest_price_table, entity_match, entity_match_real, import_resolved, snapshot_merge, pain_point_replace, import_price_rows,
         field_ledger, import_report, listing_ingest_summary, import_rejections, missing_critical_report, dry_run, batch_source_names,
         export_csv_lines, export_json_lines, regate_stored, status_backfill, ungated_scores, source_freshness, run_list, last_completed_run,
         seed_fees_if_absent,

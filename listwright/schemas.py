@@ -49,4 +49,4 @@ KEYS["product_keys"] = ["slot", "marketplace", "kind", "key", "product_id"]
 #: Tables of which the newest layer's rows of a key are in force; the others are histories.
 SNAPSHOTS = ["products", "product_keys", "newest_prices", "newest_metrics", "newest_costs", "pain_points", "scores"]
 #: Columns whose files carry a Bloom filter.
-LOOKUPS = {"product_keys": ["slot"], "products": ["product_id"]}
+LOOKUPS = {"product_keys": ["slot"]}

@@ -25,6 +25,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Whole texts travel in batches: fewer rows at a time bound what a Python worker holds.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    # Keys of a small batch reach the Bloom filters of stored files as they are.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "500",
 }
 #: For the session builder only: call sites of every column expression double the time it takes to
 #: build a wide projection.

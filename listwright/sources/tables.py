@@ -9,6 +9,7 @@ from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from listwright import schemas
 
@@ -20,6 +21,11 @@ class Conflict(RuntimeError):
     """Another run was committed since this one began."""
 
 
+def empty(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows of a schema; Catalyst sees that there are none."""
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema).fields])
+
+
 def bucket_of(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
@@ -157,7 +163,7 @@ class Store:
         calm = [(layers[0], b) for b, layers in live if len(layers) == 1]
         base = [(layers[0], b) for b, layers in live if len(layers) > 1]
         newer = [(x, b) for b, layers in live for x in layers[1:]]
-        columns = self.spark.createDataFrame([], schema).columns
+        columns = StructType.fromDDL(schema).names
         parts = []
         if calm:
             parts.append(self._read(name, schema, self._folders(name, manifest, calm)).select(*columns))
@@ -168,15 +174,15 @@ class Store:
             rows = read(base).unionByName(read(newer)).join(last, key, "left")
             parts.append(rows.where(F.col("_last").isNull() | (F.col("_at") == F.col("_last"))).select(*columns))
         if not parts:
-            return self.spark.createDataFrame([], schema)
+            return empty(self.spark, schema)
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def read_history(self, name: str, schema, buckets: list[int] | None = None, at: str | None = None) -> DataFrame:
         """Rows of all committed runs, of some buckets or all."""
         manifest = self.manifest(name, at)
         pairs = [(layer, b) for b in (range(manifest["buckets"]) if buckets is None else buckets) for layer in manifest["live"][b]]
-        columns = self.spark.createDataFrame([], schema).columns
-        return self._read(name, schema, self._folders(name, manifest, pairs)).select(*columns) if pairs else self.spark.createDataFrame([], schema)
+        columns = StructType.fromDDL(schema).names
+        return self._read(name, schema, self._folders(name, manifest, pairs)).select(*columns) if pairs else empty(self.spark, schema)
 
     def touched(self, name: str, keys: DataFrame) -> list[int]:
         """The buckets of the rows of ``keys`` (first key column of the table): a list of at most as many numbers as there are buckets."""
@@ -239,7 +245,8 @@ class Run:
         placed = placed.hint("rebalance", "bucket") if key else placed
         writer = placed.write.partitionBy("bucket").mode("overwrite")
         for column in schemas.LOOKUPS.get(name, []):
-            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+            # As large as the rows of a file need; the fixed size would be a megabyte a file.
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
         writer.parquet(f"{self.store.root}/{name}/{folder}")
         buckets = [int(f[7:]) for f in self.store._names(name, folder) if f.startswith("bucket=")]
         return [folder, len(buckets)], buckets
@@ -316,8 +323,8 @@ def seed_dimensions(store: Store, run_id: str, marketplaces: DataFrame | None =
     Marketplaces are told apart by slug, sources by name, fees by marketplace, category, fee type and effective date.
     """
     fitted = lambda name, df: df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name)
-                                          for f in store.spark.createDataFrame([], schemas.TABLES[name]).schema.fields])
-    skipped = store.spark.createDataFrame([], schemas.FEES)
+                                          for f in StructType.fromDDL(schemas.TABLES[name]).fields])
+    skipped = empty(store.spark, schemas.FEES)
     if store.is_committed(run_id):
         return skipped
     with store.begin(run_id) as run:
