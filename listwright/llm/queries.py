@@ -60,7 +60,9 @@ _RULES = ", ".join(f"('{rule}', '{verdict}', '{rule.partition('/')[0]}', '/{rule
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 _PHRASES = ", ".join(f"({p.split()}, '{label}')" for p, label in license_scan.PHRASES.items())
-_NOTICES = ", ".join(f"({sorted(set(t.split()))}, '{label}', {license_scan.need(len(set(t.split())), license_scan.CONTAINMENT)})" for label, t in license_scan.NOTICES)
+_HEADERS = [(label, sorted(b" ".join(t).decode() for t in license_scan.tokens_of(text)), list(telling)) for label, text, telling in license_scan.NOTICES]
+_NOTICES = ", ".join(f"({tokens}, '{label}', {license_scan.need(len(tokens), license_scan.CONTAINMENT)}, {telling})" for label, tokens, telling in _HEADERS)
+_BLOCK, _STEP = license_scan.blocking()
 
 SQL = {
     "op1_url_filters": f"""
@@ -137,15 +139,17 @@ SELECT doc_id, len(g)::BIGINT AS n_shingles, c AS component_id FROM s JOIN root
     "op10_license_scans": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 phrases(p, label) AS (VALUES {_PHRASES}),
-notices(t, label, need) AS (VALUES {_NOTICES}),
+notices(t, label, need, telling) AS (VALUES {_NOTICES}),
 places AS (SELECT r, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + len(p)] = p)) AS i FROM d, phrases WHERE list_has_all(w, p)),
 base AS (SELECT r, count(*) AS n, min(i) AS a, max(i) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM places GROUP BY r),
 blocks AS (
-  SELECT r, w[k + 1 : k + {license_scan.BLOCK}] AS b
-  FROM (SELECT r, w, unnest(range(0, greatest(len(w) - {license_scan.BLOCK} + {license_scan.STEP}, 1), {license_scan.STEP})) AS k FROM d)),
+  SELECT r, list_distinct(list_transform(range(1, len(b)), lambda i: b[i] || ' ' || b[i + 1])) AS b
+  FROM (
+    SELECT r, w[k + 1 : k + {_BLOCK}] AS b
+    FROM (SELECT r, w, unnest(range(0, greatest(len(w) - {_BLOCK} + {_STEP}, 1), {_STEP})) AS k FROM d))),
 matches AS (
-  SELECT r, label, len(list_intersect(list_distinct(b), t)) AS shared, len(t) AS size, need
-  FROM blocks, notices),
+  SELECT r, label, len(list_intersect(b, t)) AS shared, len(t) AS size, need
+  FROM blocks, notices WHERE list_has_all(b, telling)),
 found AS (SELECT r, label, max(shared::DOUBLE / size) AS c FROM matches WHERE shared >= need GROUP BY r, label),
 labels AS (SELECT r, label FROM places UNION SELECT r, label FROM found),
 joined AS (SELECT r, string_agg(label, ',' ORDER BY label) AS l FROM labels GROUP BY r),
