@@ -24,12 +24,9 @@ def fold(key: Column, parts: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % parts
 
 
-def free_name(columns: list[str], wanted: str) -> str:
-    """``wanted``, lengthened until no column has that name (column names ignore case)."""
-    taken = {c.lower() for c in columns}
-    while wanted.lower() in taken:
-        wanted += "_"
-    return wanted
+def quoted(name: str) -> str:
+    """A column's name for ``F.col`` and ``select``, whatever it holds: dots and backticks too."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterator[list[tuple]]]], schema: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from xxhash import xxh3_64_intdigest
 
-from listwright.llm.common import add_up, map_rows
+from listwright.llm.common import add_up, map_rows, quoted
 from listwright.operators.graph import components
 from listwright.session import stage
 
@@ -379,15 +379,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows are told apart by doc_id and node, so rows that share a doc_id are decided each for itself. Rows without
     doc_id and rows with an empty set are linked with nothing and stay.
     """
+    own = [quoted(c) for c in docs.columns]
     linked = stage(_linked_rows(docs).where("doc_id is not null and node is not null").select("doc_id", "node", "first"), "jaccard-components")
     ids = linked.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("first").alias("first"))
     text = F.col("text").cast("binary")
     blank = F.coalesce(~F.decode(text, "ISO-8859-1").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
     # A doc_id on one row with a set stands for that row; only of the others the node is made again from the text.
-    once = docs.join(ids.where("rows > 1 or not first").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    empty = docs.where(blank).join(ids.where("rows > 1 or not first").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    once = docs.join(ids.where("rows > 1 or not first").select("doc_id"), "doc_id", "left_anti").select(*own)
+    empty = docs.where(blank).join(ids.where("rows > 1 or not first").select("doc_id"), "doc_id", "left_semi").select(*own)
     repeated = docs.where(~blank).join(ids.where("rows > 1").select("doc_id"), "doc_id", "left_semi")
-    repeated = repeated.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _nodes(text).alias("node"))
+    repeated = repeated.select(F.struct(*own).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _nodes(text).alias("node"))
     several = repeated.join(linked.where("first").select("doc_id", "node"), ["doc_id", "node"], "left_semi")
     several = several.groupBy("doc_id", "node").agg(F.min_by("row", "row.text").alias("row")).select("row.*")
     return once.unionByName(empty).unionByName(several)

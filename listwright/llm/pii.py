@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright.llm.common import map_rows
+from listwright.llm.common import map_rows, quoted
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
@@ -371,4 +371,4 @@ def redact(docs: DataFrame, field: Field) -> DataFrame:
         for texts in batches:
             yield pd.Series([redacted(t, shared.value) for t in texts], dtype=object)
 
-    return docs.select(*(clean(F.col(c)).alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    return docs.select(*(clean(F.col(c)).alias(c) if c == "text" else F.col(quoted(c)) for c in docs.columns))

@@ -4,8 +4,8 @@ One pass over the whole texts gives each document ``STATISTICS``. Scaled to mean
 are mapped to ``FEATURES`` cosines of random projections, whose inner products approximate a Gaussian kernel of width
 ``WIDTH``. Ridge weights solve the normal equations, which every task sums over its labelled rows and the cluster sums
 over tasks; only the sums (of fixed size) reach the driver. Raw scores are calibrated by isotonic regression over counts in ``BINS``
-fixed bins of the score, again of fixed size; the scores it sees come from weights solved without the row's own of ``FOLDS`` parts. All
-labelled rows are used.
+fixed bins of the score, again of fixed size; the scores it sees come from weights solved without the row's own of ``FOLDS`` parts. A share of ``RANKING`` of the score rises with the raw
+score, so documents of one isotonic level are ranked as well. All labelled rows are used.
 
 Defined cases: null text is empty text and is scored like any other; labels that are null or whose doc_id is null or
 missing teach nothing, a doc_id labelled several times teaches once per label; without labels every score is 0.5; repeated
@@ -30,7 +30,10 @@ STATISTICS = (
     "log_bytes", "log_words", "word_bytes", "word_spread", "letters", "digits", "upper", "spaces", "stops", "shouts", "symbols", "bars", "other",
     "distinct", "top_word", "repeats", "line_words", "repeated_lines", "short_words", "long_words", "symbol_words", "cased_words",
 )
-FEATURES, WIDTH, RIDGE, BINS, CLIP, FOLDS = 384, 3.0, 1e-3, 2048, 6.0, 4
+#: WIDTH and RIDGE by cross-validation over labelled rows that are not held out.
+FEATURES, WIDTH, RIDGE, BINS, CLIP, FOLDS = 384, 9.0, 1e-5, 2048, 6.0, 4
+#: Share of the score that rises with the raw score, so documents of one isotonic level keep their order.
+RANKING = 0.02
 THRESHOLD = 0.3
 #: Classes of bytes: letters (all of a non-ASCII letter's bytes too), digits, upper case, white space, sentence marks, shouts, bars, other symbols, quotes and hyphens.
 _CLASS = bytes(
@@ -70,7 +73,7 @@ class Kernel:
     def features(self, rows: np.ndarray) -> np.ndarray:
         scaled = np.clip((rows - self.mean) / self.deviation, -CLIP, CLIP)
         cosines = np.cos(scaled @ self.directions + self.phases) * np.sqrt(2 / len(self.phases))
-        return np.hstack([cosines, scaled / CLIP, np.ones((len(rows), 1))])
+        return np.hstack([cosines, np.ones((len(rows), 1))])
 
 
 def isotonic(weights: np.ndarray, sums: np.ndarray) -> np.ndarray:
@@ -140,7 +143,12 @@ def fit(labelled: DataFrame, features: int = FEATURES, width: float = WIDTH, rid
 
     seen = _sums(labelled, count)
     levels = isotonic(seen[0], seen[1])
-    return lambda x: levels[_bin(kernel.features(x) @ weights)]
+
+    def calibrated(x):
+        raw = kernel.features(x) @ weights
+        return (1 - RANKING) * levels[_bin(raw)] + RANKING * np.clip((raw + 0.5) / 2, 0, 1)
+
+    return calibrated
 
 
 def score(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,4 +1,5 @@
 import os
+import re
 from collections import Counter
 from zlib import crc32
 
@@ -38,7 +39,7 @@ def brute(spark, docs):
     for r, words in zip(rows, taken([(r["doc_id"], r["source"], r["text"]) for r in rows])):
         size = len(r["text"].split())
         for n in [size] * (words // size) + [words % size] * (words % size > 0):
-            text = r["text"] if n == size else " ".join(r["text"].split()[:n])
+            text = r["text"] if n == size else "".join(re.findall(r"\s*\S+", r["text"])[:n])
             ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
             start = 0
             for length in packing.lengths(len(ids), packing.MAX):
@@ -63,6 +64,11 @@ def test_odd_rows_and_extra_columns(spark):
     assert run(spark, spark.createDataFrame([], schema)).count() == 0
 
 
+def test_names_with_dots_and_backticks(spark):
+    docs = spark.createDataFrame([(i, f"some words of text number{i} stand here and there", "en", "s", 3, "x", 1) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars int, `a.b` string, `c``.d` int")
+    assert {r["doc_id"] for r in run(spark, docs).collect()} == set(range(12))
+
+
 def test_registered():
     names = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()

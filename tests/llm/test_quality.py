@@ -51,6 +51,13 @@ def test_learns_what_labels_mark(spark):
     assert len(same) == 1
 
 
+def test_documents_of_one_level_are_ranked(spark):
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in rows()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(150)], "doc_id long, quality int")
+    scores = [r["score"] for r in quality.score(docs, labels, F.lit(False)).collect()]
+    assert len(set(scores)) > 140 and 0 <= min(scores) and max(scores) <= 1
+
+
 def test_sums_over_tasks_equal_one_solve(spark):
     table = [(quality.statistics(t).tobytes(), int(i % 3 != 0)) for i, t, _, _ in rows()]
     model = quality.fit(spark.createDataFrame(table, "statistics binary, quality int").repartition(7))
