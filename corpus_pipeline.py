@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listwright.llm import jaccard, language_id, mixing, packing, pii
-from listwright.llm.common import table
+from listwright.llm.common import quoted, table
 from listwright.session import prepare, stage
 
 #: A text none of whose languages holds this share of its words is rejected.
@@ -26,7 +26,7 @@ def _counted(docs: DataFrame) -> DataFrame:
     if "n_chars" not in docs.columns:
         return docs
     length = F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return docs.select(*(length.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    return docs.select(*(length.alias(c) if c == "n_chars" else F.col(quoted(c)) for c in docs.columns))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
