@@ -7,8 +7,9 @@ score, and a query's score is the sum over its blocks. For a block of queries:
    gathered per query, the rows seen get a lower bound (the smallest score where a list wasn't seen), and the
    k-th best bound is the query's safe cutoff;
 2. the cutoffs are broadcast; a candidate that stays below the floor plus an equal share of the cutoff in every list
-   can't reach it. Tasks collect the entries above the share and bound what is missing from above;
-3. the remaining scores are resolved exactly and the best ``k`` of every task ranked per query.
+   can't reach it. Tasks collect entries list by list; what the lists still to come can add is bounded by the
+   lengths of their parts, and a candidate that can't reach the cutoff any more is left;
+3. the remaining scores are resolved, for the candidates left alone, exactly, and the best ``k`` of every task ranked per query.
 
 The rows are read in place; only queries travel, ``QUERY_BLOCK`` vectors at a time (a bounded broadcast), so the job
 is a stated query set against all rows, in blocks. No list of candidates grows with the table: a task sends ``k`` entries
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from listwright.session import stage
 
-SCALE, LISTS, QUERY_BLOCK, ROWS = 256, 4, 4096, 512
+SCALE, LISTS, QUERY_BLOCK, ROWS, PAIRS = 256, 4, 4096, 512, 1 << 16
 ENTRIES = "query_id long, list int, row long, partial double, low double"
 RESULT = "query_id long, vec_id long, score long"
 #: Sums below this are exact in double precision.
@@ -66,12 +67,31 @@ def _parts(d: int, lists: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges, edges[1:])]
 
 
-def _product(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Exact integer inner products, as doubles while they are exact there and as Python numbers beyond."""
+def _exactly(queries: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both as doubles while sums of their products are exact there, else as Python numbers."""
     if not rows.size or not queries.size or np.abs(rows).max() * np.abs(queries).max() * rows.shape[1] < EXACT:
-        return queries @ rows.T
+        return queries, rows
     whole = np.vectorize(int, otypes=[object])
-    return whole(queries) @ whole(rows).T
+    return whole(queries), whole(rows)
+
+
+def _product(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Exact integer inner products of all queries and rows."""
+    queries, rows = _exactly(queries, rows)
+    return queries @ rows.T
+
+
+def _of_pairs(queries: np.ndarray, rows: np.ndarray, q: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Inner products of the pairs of query ``q`` and row ``row`` alone; one product where most pairs are asked for."""
+    if len(q) * 8 > len(queries) * len(rows):
+        return (queries @ rows.T)[q, row]
+    parts = [(queries[q[i : i + PAIRS]] * rows[row[i : i + PAIRS]]).sum(axis=1) for i in range(0, len(q), PAIRS)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def _lengths(vectors: np.ndarray, parts: list[slice]) -> np.ndarray:
+    """The length of each vector's part, by list; rounded up, so that products of lengths bound inner products."""
+    return np.stack([np.sqrt((vectors[:, p].astype(float) ** 2).sum(axis=1)) for p in parts]) * (1 + 1e-9)
 
 
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
@@ -142,7 +162,7 @@ def cutoffs(entries: DataFrame, k: int) -> DataFrame:
 
 
 def _resolve(queries: Queries, cut: dict[int, tuple[float, np.ndarray]], k: int, lists: int):
-    """Phases 2 and 3: entries above the uniform share, then exact scores of what may still reach the cutoff."""
+    """Phases 2 and 3: entries list by list, as long as a candidate may still reach the cutoff, down to exact scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, pd.DataFrame] = {}
@@ -156,17 +176,23 @@ def _resolve(queries: Queries, cut: dict[int, tuple[float, np.ndarray]], k: int,
             floors = np.array([cut.get(q, none)[1] for q in asked])
             known = np.array([cut.get(q, none)[0] for q in asked])
             known -= 1e-9 * (np.abs(known) + np.abs(floors).sum(axis=1))  # covers rounding where partial scores aren't exact in doubles
-            share = (known / len(parts))[:, None]
-            upper, reached = np.zeros((len(asked), len(ids))), np.zeros((len(asked), len(ids)), bool)
-            for j, part in enumerate(parts):
-                above = _product(vectors[:, part], rows[:, part]).astype(float) - floors[:, j, None]
-                collected = above >= share
-                upper += np.where(collected, above, share)
-                reached |= collected
-            q, row = np.nonzero(reached & (upper >= known[:, None]) & (asked[:, None] != ids[None, :]))
-            exact = _product(vectors, rows)[q, row]
-            keep = exact.astype(float) >= (known + floors.sum(axis=1))[q]
-            found = pd.DataFrame({"q": q[keep], "score": exact[keep], "id": ids[row[keep]]})
+            share = known / len(parts)
+            need = known + floors.sum(axis=1)
+            mine, theirs = _lengths(vectors, parts), _lengths(rows, parts)
+            left, right = _exactly(vectors, rows)
+            first = left[:, parts[0]] @ right[:, parts[0]].T
+            q, row = np.nonzero((first + mine[1:].T @ theirs[1:] >= need[:, None]) & (asked[:, None] != ids[None, :]))
+            score = first[q, row]
+            reached = score - floors[q, 0] >= share[q]
+            for j, part in enumerate(parts[1:], 1):
+                partial = _of_pairs(left[:, part], right[:, part], q, row)
+                score, reached = score + partial, reached | (partial - floors[q, j] >= share[q])
+                ahead = (mine[j + 1 :, q] * theirs[j + 1 :, row]).sum(axis=0)
+                still = (score + ahead >= need[q]).astype(bool)
+                q, row, score, reached = q[still], row[still], score[still], reached[still]
+            reached = reached.astype(bool)
+            q, row, score = q[reached], row[reached], score[reached]
+            found = pd.DataFrame({"q": q, "score": score, "id": ids[row]})
             if d in held:
                 found = pd.concat([held[d], found])
             held[d] = found.sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable").groupby("q", sort=False).head(k)

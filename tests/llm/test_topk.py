@@ -26,6 +26,14 @@ def test_equals_brute_force_in_blocks(spark):
     check(spark, rows, [0, 50, 100, 150, 200], k=5, query_block=2)
 
 
+def test_groups_and_long_vectors(spark):
+    random = np.random.default_rng(2)
+    middles = random.normal(size=(12, 32))
+    rows = [(i, [float(x) for x in middles[i % 12] * random.uniform(0.1, 4) + random.normal(size=32) * 0.1]) for i in range(500)]
+    check(spark, rows, list(range(0, 500, 50)), k=5)
+    check(spark, [(i, [-abs(x) for x in v] if i % 3 else v) for i, v in rows], list(range(0, 500, 50)), k=7, lists=3)
+
+
 def test_ties_repeats_nulls_and_lengths(spark):
     same = [0.5, -0.25, 0.125]
     rows = [(i, same) for i in range(9)] + [(3, same), (3, [0.0, 0.0, 0.0]), (20, None), (21, []), (22, [nan, 1.0, 1.0]), (23, [inf, 0.0, 0.0]), (24, [None, 0.0, 0.0]), (None, same), (25, [1.0, 2.0]), (26, [1.0]), (27, [-0.5, 0.25, -0.125])]
