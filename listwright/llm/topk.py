@@ -3,9 +3,8 @@
 Components become ``floor(256 * x)``. The dimensions are dealt into ``LISTS`` blocks; a block gives every candidate a partial
 score, and a query's score is the sum over its blocks. For a block of queries:
 
-1. every task keeps, for each query and list, its ``k`` best partial scores and the list's smallest; the lists are
-   gathered per query, the rows seen get a lower bound (the smallest score where a list wasn't seen), and the
-   k-th best bound is the query's safe cutoff;
+1. every task keeps, for each query and list, its ``k`` best partial scores with their rows' whole scores, and the list's
+   smallest; the lists are gathered per query, and the k-th best whole score among the rows seen is the query's safe cutoff;
 2. the cutoffs are broadcast; a candidate that stays below the floor plus an equal share of the cutoff in every list
    can't reach it. Tasks collect entries list by list; what the lists still to come can add is bounded by the
    lengths of their parts, and a candidate that can't reach the cutoff any more is left;
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from listwright.session import stage
 
 SCALE, LISTS, QUERY_BLOCK, ROWS, PAIRS = 256, 4, 4096, 512, 1 << 16
-ENTRIES = "query_id long, list int, row long, partial double, low double"
+ENTRIES = "query_id long, list int, row long, partial double, score double, low double"
 RESULT = "query_id long, vec_id long, score long"
 #: Sums below this are exact in double precision.
 EXACT = 2.0**53
@@ -120,44 +119,43 @@ def _lists(queries: Queries, k: int, lists: int):
     """Phase 1: the local score lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        held: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
         for ids, numbers, rows in _blocks(batches):
             d = rows.shape[1]
             if d not in queries.by_length:
                 continue
             asked, vectors = queries.by_length[d]
             own = asked[:, None] == ids[None, :]
-            for j, part in enumerate(_parts(d, lists)):
-                scores = _product(vectors[:, part], rows[:, part]).astype(float)
+            partial = [_product(vectors[:, part], rows[:, part]).astype(float) for part in _parts(d, lists)]
+            total = sum(partial)
+            for j, scores in enumerate(partial):
                 low = scores.min(axis=1)
                 scores[own] = -np.inf
                 best = _best(scores, k)
-                some, names = np.take_along_axis(scores, best, axis=1), numbers[best]
+                some, whole, names = np.take_along_axis(scores, best, axis=1), np.take_along_axis(total, best, axis=1), numbers[best]
                 if (d, j) in held:
-                    was, known, least = held[d, j]
-                    some, names, low = np.hstack([was, some]), np.hstack([known, names]), np.minimum(least, low)
+                    some, whole, names, low = (*(np.hstack(x) for x in zip(held[d, j], (some, whole, names))), np.minimum(held[d, j][3], low))
                     best = np.lexsort((names, -some), axis=1)[:, :k]
-                    some, names = np.take_along_axis(some, best, axis=1), np.take_along_axis(names, best, axis=1)
-                held[d, j] = some, names, low
-        for (d, j), (some, names, low) in held.items():
+                    some, whole, names = (np.take_along_axis(x, best, axis=1) for x in (some, whole, names))
+                held[d, j] = some, whole, names, low
+        for (d, j), (some, whole, names, low) in held.items():
             wide = lambda x: np.broadcast_to(x[:, None], some.shape).ravel()
-            out = {"query_id": wide(queries.by_length[d][0]), "list": np.full(some.size, j, np.int32), "row": names.ravel(), "partial": some.ravel(), "low": wide(low)}
+            out = {"query_id": wide(queries.by_length[d][0]), "list": np.full(some.size, j, np.int32), "row": names.ravel(), "partial": some.ravel(), "score": whole.ravel(), "low": wide(low)}
             yield pa.RecordBatch.from_pydict(out)
 
     return run
 
 
 def cutoffs(entries: DataFrame, k: int) -> DataFrame:
-    """query_id, cutoff (k-th best lower bound over the floors), floors (by list): one row per query, aggregated in the cluster."""
+    """query_id, cutoff (k-th best score seen, over the floors), floors (by list): one row per query, aggregated in the cluster."""
     floors = entries.groupBy("query_id", "list").agg(F.min("low").alias("low"))
     by_query = floors.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("list", "low"))).alias("floors"))  # LISTS entries a query
-    # By row: rows that share a vec_id may hold different vectors, whose partial scores don't add up.
-    seen = entries.where("partial > double('-infinity')").drop("low")
     rank = F.row_number().over(Window.partitionBy("query_id", "list").orderBy(F.desc("partial"), "row"))
-    seen = seen.withColumn("rank", rank).where(F.col("rank") <= k).join(floors, ["query_id", "list"])
-    bounds = seen.groupBy("query_id", "row").agg(F.sum(F.col("partial") - F.col("low")).alias("bound"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "row"))
-    cut = bounds.withColumn("place", place).where(F.col("place") == k).select("query_id", F.col("bound").alias("cutoff"))
+    seen = entries.where("partial > double('-infinity')").withColumn("rank", rank).where(F.col("rank") <= k)
+    scores = seen.groupBy("query_id", "row").agg(F.max("score").alias("score"))  # by row: rows may share a vec_id
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "row"))
+    cut = scores.withColumn("place", place).where(F.col("place") == k).join(floors.groupBy("query_id").agg(F.sum("low").alias("floor")), "query_id")
+    cut = cut.select("query_id", (F.col("score") - F.col("floor")).alias("cutoff"))
     return by_query.join(cut, "query_id", "left").select("query_id", F.coalesce("cutoff", F.lit(0.0)).alias("cutoff"), "floors.low")
 
 
