@@ -68,6 +68,13 @@ class Tree:
             last[own] = parent
         self.levels.append((np.arange(len(nodes)), np.zeros(len(nodes), np.float32), last))
 
+    def __getstate__(self):
+        return self.nodes, self.weights, self.points, self.levels
+
+    def __setstate__(self, state):
+        self.nodes, self.weights, self.points, self.levels = state
+        self.coarse = self.points.astype(np.float32)
+
 
 def traverse(a: Tree, b: Tree, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """(places in a, places in b, matrix of the pairs at or above the threshold); both orders of a pair when a is b."""
@@ -153,7 +160,12 @@ def _trees(nodes: DataFrame, count: int, tree: int, pivots: int) -> DataFrame:
         import pyarrow as pa
 
         key, held = None, []
-        row = lambda: pa.RecordBatch.from_pydict({"size": [key[0]], "nodes": [len(held)], "blob": [pickle.dumps(([h[0] for h in held], [h[1] for h in held], np.frombuffer(b"".join(h[2] for h in held)).reshape(len(held), -1)))]}, schema=pa.schema([("size", pa.int32()), ("nodes", pa.int64()), ("blob", pa.binary())]))
+
+        def row():  # a tree is built once, here, and travels with its levels
+            ids, weights, vectors = zip(*held)
+            own = Tree(ids, weights, np.frombuffer(b"".join(vectors)).reshape(len(held), -1))
+            return pa.RecordBatch.from_pydict({"size": [key[0]], "nodes": [len(held)], "blob": [pickle.dumps(own)]}, schema=pa.schema([("size", pa.int32()), ("nodes", pa.int64()), ("blob", pa.binary())]))
+
         for batch in batches:
             for size, pivot, part, node, weight, v in zip(*(c.to_pylist() for c in batch.columns)):
                 if key is not None and key != (size, pivot, part):
@@ -187,7 +199,7 @@ def link(vectors: DataFrame, cosine: float = COSINE, tree: int = TREE, grid: int
             for cell, passing, blob in zip(zip(a, b), streamed, blobs):
                 if cell != state["cell"]:
                     state.update(cell=cell, trees=[])
-                own = Tree(*pickle.loads(blob))
+                own = pickle.loads(blob)
                 if cell[0] == cell[1]:
                     yield report(own, own, cosine)
                 if cell[0] == cell[1] or passing:
