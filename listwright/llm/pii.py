@@ -331,7 +331,7 @@ def joined(spans: list[Span]) -> str:
 
 
 def find(docs: DataFrame, field: Field) -> DataFrame:
-    """One row per document: doc_id, counts of the base spans, base_sha256, spans."""
+    """One row per document: doc_id, counts of the base spans, base_sha256, spans, n_spans (all of them)."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def make():
@@ -340,12 +340,12 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
             for doc_id, text in zip(ids, texts):
                 base, every = all_spans(text or "", shared.value)
                 counts = Counter(kind for kind, _, _ in base)
-                rows.append((doc_id, *(counts[k] for k in BASE), sha256(joined(base).encode()).hexdigest(), joined(every)))
+                rows.append((doc_id, *(counts[k] for k in BASE), sha256(joined(base).encode()).hexdigest(), joined(every), len(every)))
             yield rows
 
         return work
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, schema)
 
 

@@ -104,6 +104,7 @@ def test_finds_what_the_patterns_miss_and_keeps_the_base(spark):
         assert r["base_sha256"] == hashlib.sha256(said.encode()).hexdigest() and {(k, str(a), str(b)) for k, a, b in base} <= {tuple(s.split(":")) for s in r["spans"].split(",")}
     assert got[102]["n_card"] == 0 and got[102]["spans"] and set(got[102]["spans"].split(",")) <= {"card:4:20", "card:21:37"}
     assert got[103]["spans"] == "" and got[101]["spans"] == "" and got[100]["n_email"] == 0
+    assert all(r["n_spans"] == len([x for x in r["spans"].split(",") if x]) for r in got.values())
     assert "secret:" in got[7]["spans"]
     clean = pii.redact(docs, field)
     assert clean.columns == docs.columns
