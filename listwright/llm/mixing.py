@@ -92,21 +92,31 @@ def _position(copy: int, schedules) -> Column:
     return F.when(_taken(copy) > 0, moment(share, F.col("class"), schedules))
 
 
+def _ordered(placed: DataFrame, repeats: int, schedules, carried: list[str], untaken: bool = False) -> DataFrame:
+    """Copies (``carried`` columns, copy, words, position) in training order, sorted by range partitioning. With ``untaken`` a row of which nothing is taken stays as a copy without words and position, behind the others."""
+    copies = F.array(*(F.struct(F.lit(k).alias("copy"), _taken(k).alias("words"), _position(k, schedules).alias("position")) for k in range(repeats)))
+    rows = placed.select("doc_id", *carried, F.explode(copies).alias("c")).select("doc_id", *carried, "c.*")
+    rows = rows.where("words > 0 OR copy = 0" if untaken else "words > 0")
+    # Further keys also part the copies without position, which no range bound of positions could.
+    order = (F.col("position").asc_nulls_last(), F.xxhash64("doc_id"), F.col("doc_id"))
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def assign(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS, schedules=SCHEDULES) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, position of its first copy (null if untaken)."""
-    sized = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words(F.col("text")).alias("size")), "mix-sizes")
-    taken = sum((_taken(k) for k in range(1, repeats)), _taken(0))
-    return _placed(sized, weights, budget, repeats).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), _position(0, schedules).alias("position"))
+    """One row per document: doc_id, source, size, source_size, target, taken, position of its first copy (null if untaken). Added up from the mix's copies, which are written in training order without their texts."""
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words(F.col("text")).alias("size"))
+    sized = stage(sized.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
+    about = ["row", "source", "size", "source_size", "target"]
+    copies = stage(_ordered(_placed(sized, weights, budget, repeats), repeats, schedules, about, untaken=True), "mix-order")
+    rows = copies.groupBy("doc_id", *about).agg(F.sum("words").alias("taken"), F.min_by("position", "copy").alias("position"))
+    return rows.drop("row")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS, schedules=SCHEDULES) -> DataFrame:
     """The mixed corpus in training order: the columns of ``docs``, a row for each copy taken. The copy at which a target is reached is cut behind the words it still takes and is the text's start as it was."""
     sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.struct(*map(quoted, docs.columns)).alias("row"))
-    placed = _placed(sized, weights, budget, repeats)
-    copies = F.array(*(F.struct(_taken(k).alias("words"), _position(k, schedules).alias("position")) for k in range(repeats)))
-    rows = placed.select("row", "size", F.explode(copies).alias("copy")).where("copy.words > 0")
-    rows = rows.repartitionByRange("copy.position").sortWithinPartitions("copy.position", F.xxhash64("row.doc_id"), "row.doc_id")
+    rows = _ordered(_placed(sized, weights, budget, repeats), repeats, schedules, ["row", "size"])
     # Cut behind each word, so every piece keeps the white space ahead of its word.
-    pieces = F.slice(F.split("row.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.col("copy.words").cast("int"))
-    text = F.when(F.col("copy.words") < F.col("size"), F.array_join(pieces, "")).otherwise(F.col("row.text"))
+    pieces = F.slice(F.split("row.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.col("words").cast("int"))
+    text = F.when(F.col("words") < F.col("size"), F.array_join(pieces, "")).otherwise(F.col("row.text"))
     return rows.select(*(text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -70,3 +70,22 @@ def test_empty_and_wordless(spark):
 def test_repeated_rows_share_the_target(spark):
     rows = mixing.assign(spark.createDataFrame(corpus([(7, "a", "x y z")] * 4 + [(8, "b", "x " * 30)]), SCHEMA)).collect()
     assert sum(r["taken"] for r in rows if r["doc_id"] == 7) == 24 and max(r["taken"] for r in rows if r["doc_id"] == 7) <= 6
+
+
+def test_assign_adds_up_copies_in_training_order(spark, monkeypatch):
+    staged = {}
+
+    def stage(df, name):
+        staged[name] = (mixing_stage(df, name), [p for p in df.collect()] if name == "mix-order" else None)
+        return staged[name][0]
+
+    mixing_stage = mixing.stage
+    monkeypatch.setattr(mixing, "stage", stage)
+    rows = {r["doc_id"]: r for r in mixing.assign(spark.createDataFrame(corpus(ROWS), SCHEMA)).collect()}
+    copies = staged["mix-order"][1]
+    positions = [r["position"] for r in copies if r["position"] is not None]
+    assert positions == sorted(positions) and all(r["words"] == 0 for r in copies[len(positions):])
+    for i in rows:
+        assert rows[i]["taken"] == sum(r["words"] for r in copies if r["doc_id"] == i)
+    mixed = [r["doc_id"] for r in mixing.mix(spark.createDataFrame(corpus(ROWS), SCHEMA)).collect()]
+    assert mixed == [r["doc_id"] for r in copies[:len(positions)]]
