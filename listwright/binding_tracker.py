@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listwright import binding
+from listwright.operators.skew import spread
 
 CATEGORY = "home-organization"
 AT = "2026-09-29 12:00:00"
@@ -46,7 +47,7 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = {"productType": "INT", "availabilityAmazon": "INT"}
     number = ("lastUpdate", "lastPriceChange") + tuple(n for n in CELLS if n.startswith(("package", "item")))
     cells = [F.expr(f"CAST({e} AS {kinds.get(n, 'BIGINT' if n in number else 'STRING')})").alias(n) for n, e in CELLS.items()]
-    return binding.table(spark, sf_dir, "part").select(
+    return spread(binding.table(spark, sf_dir, "part")).select(
         F.col("p_partkey").alias("record_no"), *cells,
         F.expr(f"array({csv})").alias("csv"), F.expr(f"struct({current} AS current, {stats}, {FBA} AS buyBoxIsFBA)").alias("stats"),
         F.expr("CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 4 = 1 THEN array(named_struct('l', concat('x', p_partkey), 'm', 'y'), named_struct('l', CAST(NULL AS STRING), 'm', 'z'), named_struct('l', CAST(NULL AS STRING), 'm', '')) ELSE CAST(array() AS ARRAY<STRUCT<l:STRING,m:STRING>>) END").alias("images"),
