@@ -8,7 +8,9 @@ A document's set holds its distinct shingles of ``N`` words as 64-bit hashes. Eq
 2. matrix: tokens are ordered by how often they occur (from tables of fixed size over all documents: which tokens
    some task met twice, and how often each occurs), rarest first. Of a similar pair the rarest token they share stands in both prefixes of ``n - ceil(0.75 n) + 1`` tokens, with
    enough tokens left behind it (positional filter). The matrix holds one row per token and group, with the
-   group's range of set sizes. Groups with a token in common that passes the length and positional filters are candidates.
+   group's range of set sizes. Groups with a token in common that passes the length and positional filters are candidates. A token
+   that more than ``CROWD`` groups hold first compares each of them with one of them only, the one with the fewest rarer tokens ahead of it
+   and so the least of its own: what is linked with it joins it, and near copies that missed their centre don't meet one another in pairs.
 3. bound: the nodes of the smaller group ask the blocks (up to about ``BLOCK`` nodes) of the other one. A block's token union
    bounds the overlap with each of its nodes; only where the bound reaches 0.75 of the query is the block opened and
    its nodes compared exactly. Before whole sets are moved, parity bits of fixed size, which differ no more than the
@@ -54,6 +56,8 @@ COUNTERS, MARKS, BITS = 20, 26, 20
 PARITY = 4096
 #: Nodes of a block, queries of one task's share of a block, buckets a node has to share with its centre.
 BLOCK, SHARE, VOTES = 64, 512, 2
+#: Groups that may hold a token before one of them is asked first.
+CROWD = 16
 _MULTIPLIERS = np.random.default_rng(20).integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 BUCKETS = [f"b{i}" for i in range(HASHES // 2)]
@@ -313,14 +317,57 @@ def _labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(roots, "node", "left").select("node", "n", "rep", F.coalesce("root", "node").alias("group"))
 
 
-def _candidates(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
-    """a, b: pairs of groups that share a prefix token and pass the length and positional filters."""
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """node, n, rep, group for every node, with the groups that the links (a, b: nodes) connect as one."""
+    name = groups.select("node", "group")
+    between = links.join(name.withColumnsRenamed({"node": "a", "group": "ga"}), "a").join(name.withColumnsRenamed({"node": "b", "group": "gb"}), "b")
+    roots = components(between.select(F.col("ga").alias("a"), F.col("gb").alias("b"))).select(F.col("node").alias("group"), "root")
+    return groups.join(roots, "group", "left").select("node", "n", "rep", F.coalesce("root", "group").alias("group"))
+
+
+def _matrix(prefixes: DataFrame, groups: DataFrame) -> DataFrame:
+    """token, group, least, most, room: the group's range of set sizes and most tokens from this one on, one row per token and group."""
     n, room = F.shiftright("size", 32), F.col("size").bitwiseAND(F.lit(0xFFFFFFFF))
-    matrix = prefixes.join(labels.select("node", "group"), "node").groupBy("token", "group").agg(F.min(n).alias("least"), F.max(n).alias("most"), F.max(room).alias("room"))
-    other = matrix.select("token", *(F.col(c).alias(f"{c}2") for c in ("group", "least", "most", "room")))
+    return prefixes.join(groups.select("node", "group"), "node").groupBy("token", "group").agg(F.min(n).alias("least"), F.max(n).alias("most"), F.max(room).alias("room"))
+
+
+def _second(matrix: DataFrame) -> DataFrame:
+    return matrix.select("token", *(F.col(c).alias(f"{c}2") for c in ("group", "least", "most", "room")))
+
+
+def _may_link() -> Column:
+    """The length and positional filters of two groups that hold a token."""
     lengths = (F.col("least") * ABOVE <= F.col("most2") * BELOW) & (F.col("least2") * ABOVE <= F.col("most") * BELOW)
-    enough = F.least("room", "room2") * (ABOVE + BELOW) >= (F.col("least") + F.col("least2")) * ABOVE
-    return matrix.join(other, "token").where((F.col("group") < F.col("group2")) & lengths & enough).select(F.col("group").alias("a"), F.col("group2").alias("b")).distinct()
+    return lengths & (F.least("room", "room2") * (ABOVE + BELOW) >= (F.col("least") + F.col("least2")) * ABOVE)
+
+
+def _crowds(matrix: DataFrame, groups: DataFrame) -> DataFrame:
+    """a, b: each group that holds crowded tokens, and the group that leads most of them; as many pairs as groups at most."""
+    sizes = groups.groupBy("group").agg(F.count("*").alias("nodes"))
+    held = matrix.groupBy("token").agg(F.count("*").alias("groups")).where(F.col("groups") > CROWD).select("token")
+    crowd = stage(matrix.join(held, "token").join(sizes, "group"), "jaccard-crowd")
+    most = F.max(F.struct((F.col("room") - F.col("most")).alias("ahead"), "nodes", "group", "least", "most", "room")).alias("lead")
+    leads = crowd.groupBy("token").agg(most).select("token", *(F.col(f"lead.{c}").alias(f"{c}2") for c in ("nodes", "group", "least", "most", "room")))
+    votes = crowd.join(leads, "token").where((F.col("group") != F.col("group2")) & _may_link()).groupBy("group", "nodes2", "group2").agg(F.count("*").alias("votes"))
+    return votes.groupBy("group").agg(F.max(F.struct("votes", "nodes2", "group2"))["group2"].alias("b")).select(F.col("group").alias("a"), "b")
+
+
+def _candidates(matrix: DataFrame) -> DataFrame:
+    """a, b: pairs of groups that share a prefix token and pass the length and positional filters."""
+    return matrix.join(_second(matrix), "token").where((F.col("group") < F.col("group2")) & _may_link()).select(F.col("group").alias("a"), F.col("group2").alias("b")).distinct()
+
+
+def _between(docs: DataFrame, nodes: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b: links of nodes between the given pairs (a, b) of groups; the smaller one's nodes ask the blocks of the larger one."""
+    sizes = groups.groupBy("group").agg(F.count("*").alias("size"))
+    first, second = sizes.select(F.col("group").alias("a"), F.col("size").alias("size_a")), sizes.select(F.col("group").alias("b"), F.col("size").alias("size_b"))
+    sided = pairs.join(first, "a").join(second, "b").withColumn("swap", F.col("size_a") > F.col("size_b"))
+    sided = sided.select(F.when(F.col("swap"), F.col("b")).otherwise(F.col("a")).alias("group"), F.when(F.col("swap"), F.col("a")).otherwise(F.col("b")).alias("block"), F.ceil(F.greatest("size_a", "size_b") / BLOCK).alias("slices"))
+    sided = stage(sided, "jaccard-pairs")
+    asking = sided.join(groups.select("group", "node"), "group").select("block", "node", F.explode(F.sequence(F.lit(0), (F.col("slices") - 1).cast("int"))).alias("slice"))
+    opened = sided.select(F.col("block").alias("group"), "slices").distinct().join(groups.select("group", "node"), "group")
+    opened = opened.select(F.col("group").alias("block"), "node", F.pmod(F.xxhash64("node"), "slices").cast("int").alias("slice"))
+    return _links(docs, nodes, opened, asking)
 
 
 def _linked_rows(docs: DataFrame) -> DataFrame:
@@ -340,22 +387,13 @@ def _linked_rows(docs: DataFrame) -> DataFrame:
     of_token = Window.partitionBy("token")
     prefixes = _prefixes(texts.where("doc_id is not null").select("text"), levels, repeated)
     shared = prefixes.withColumn("low", F.min("node").over(of_token)).withColumn("high", F.max("node").over(of_token)).where("low < high").drop("low", "high")
-    pairs = _candidates(stage(shared.distinct(), "jaccard-prefixes"), groups)
-
-    sizes = groups.groupBy("group").agg(F.count("*").alias("size"))
-    first, second = sizes.select(F.col("group").alias("a"), F.col("size").alias("size_a")), sizes.select(F.col("group").alias("b"), F.col("size").alias("size_b"))
-    sided = pairs.join(first, "a").join(second, "b").withColumn("swap", F.col("size_a") > F.col("size_b"))
-    sided = sided.select(F.when(F.col("swap"), F.col("b")).otherwise(F.col("a")).alias("group"), F.when(F.col("swap"), F.col("a")).otherwise(F.col("b")).alias("block"), F.ceil(F.greatest("size_a", "size_b") / BLOCK).alias("slices"))
-    sided = stage(sided, "jaccard-pairs")
-    asking = sided.join(groups.select("group", "node"), "group").select("block", "node", F.explode(F.sequence(F.lit(0), (F.col("slices") - 1).cast("int"))).alias("slice"))
-    opened = sided.select(F.col("block").alias("group"), "slices").distinct().join(groups.select("group", "node"), "group")
-    opened = opened.select(F.col("group").alias("block"), "node", F.pmod(F.xxhash64("node"), "slices").cast("int").alias("slice"))
-    found = _links(texts, nodes, opened, asking)
-
-    name = groups.select("node", "group")
-    between = found.join(name.withColumnsRenamed({"node": "a", "group": "ga"}), "a").join(name.withColumnsRenamed({"node": "b", "group": "gb"}), "b")
-    roots = components(between.select(F.col("ga").alias("a"), F.col("gb").alias("b"))).select(F.col("node").alias("group"), "root")
-    whole = groups.join(roots, "group", "left").select("node", "rep", F.coalesce("root", "group").alias("root"))
+    prefixes = stage(shared.distinct(), "jaccard-prefixes")
+    matrix = stage(_matrix(prefixes, groups), "jaccard-matrix")
+    crowds = stage(_crowds(matrix, groups), "jaccard-crowds")
+    if not crowds.isEmpty():
+        groups = stage(_joined(groups, _between(texts, nodes, groups, crowds)), "jaccard-groups")
+        matrix = _matrix(prefixes, groups)
+    whole = _joined(groups, _between(texts, nodes, groups, _candidates(matrix))).withColumnRenamed("group", "root")
     smallest = whole.groupBy("root").agg(F.min(F.struct("rep", "node")).alias("least"))
     named = whole.join(smallest, "root").select("node", F.col("least.rep").alias("component"), (F.col("node") == F.col("least.node")).alias("leads"))
     out = rows.join(named, "node", "left")

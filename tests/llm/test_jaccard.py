@@ -87,3 +87,14 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {i: 0 for i in range(61)} | {100: 100, 200: 100, 300: 100} | {i: 1000 for i in range(1000, 1051)}
     assert got == want
+
+
+def test_near_copies_that_missed_their_centre_join_the_large_group_before_pairs_are_made(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CROWD", 4, raising=False)
+    random, pairs, crowded = np.random.default_rng(8), [], jaccard._candidates
+    monkeypatch.setattr(jaccard, "_candidates", lambda *args: pairs.append(crowded(*args)) or pairs[-1])
+    base = text(random, 140)
+    docs = [(i, base if i == 0 else edited(random, base, 0.018)) for i in range(300)]
+    docs += [(1000 + i, text(random, 60)) for i in range(20)]
+    compare(spark, docs)
+    assert pairs[0].count() < 40
